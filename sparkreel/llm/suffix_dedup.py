@@ -8,17 +8,19 @@ Method. A suffix array over everything would have to live in one place, so windo
 are dealt to shards first: a window belongs to the shard of its smallest hashed
 GRAM-byte string, which is a function of its content alone, so equal windows meet
 in one shard wherever they come from. Neighbouring windows mostly have the same
-smallest string and travel as one segment. In a shard, segments whose string occurs
-in one document only are dropped (nothing in them can be shared); over the others a
-suffix array is built by induced sorting (suffix_array.py), its permuted common
-prefixes mark runs of suffixes that agree in WINDOW bytes, and the smallest doc_id
-of a run decides about each window in it.
-
-Scale. One shuffle of segments, one of (document, range) results, one of texts, all
-packed; the number of shards follows the bytes. A segment that a slice of text holds
-in more than HOT documents is sent once, with its smallest doc_id; the others are
-covered by that one, so a passage in a third of all documents costs at most HOT rows
-a slice, never one a copy.
+smallest string and form one segment. 1. The strings meet by hash; a segment whose
+string is in one document only cannot share a window and ends here. 2. The bytes of
+the others go to their shards. There a suffix array is built by induced sorting
+(suffix_array.py), its permuted common prefixes mark runs of suffixes that agree in
+WINDOW bytes, and the smallest doc_id of a run decides about each window in it.
+3. Each document drops the bytes of its covered windows.
+
+Scale. Shuffles carry packed blocks: string hashes, the bytes of shared segments,
+ranges per document, and the texts once (both uses share one exchange). The number of
+shards follows the bytes. A segment that one group of documents (some MB of text)
+holds in more than HOT documents is sent with its smallest doc_id only, which covers
+the others; so a passage in a third of all documents costs HOT rows a group, never
+one a copy, and a string's hash costs one row for each slice of text.
 
 Defined cases: null or empty text has 0 bytes and nothing removed; the hash is that
 of the empty string. Rows with a null doc_id are compared with nothing and keep
@@ -39,79 +41,150 @@ from . import suffix_array as sx
 from . import textkit as tk
 
 WINDOW, GRAM, HOT = 50, 20, 8
+_CHUNK = 1 << 17
+_MARK = np.uint32(0xFFFFFFFF)
+_C = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _smallest(buf: np.ndarray) -> np.ndarray:
     """For each window start, the smallest hash of the strings of GRAM bytes inside."""
-    n = len(buf)
-    w = sx.word_view(sx.padded(buf))
-    m = n - GRAM + 1
-    h = tk.mix(tk.mix(tk.mix(w[:m]) + w[8 : m + 8]) + (w[12 : m + 12] >> np.uint64(32)))
-    span, have = WINDOW - GRAM + 1, 1
-    while have < span:
-        step = min(have, span - have)
-        h = np.minimum(h[: len(h) - step], h[step:])
-        have += step
-    return h
+    n = len(buf) - WINDOW + 1
+    out = np.empty(max(n, 0), np.uint64)
+    for a in range(0, n, _CHUNK):  # arrays of a chunk stay in the cache
+        part = buf[a : a + _CHUNK + WINDOW - 1]
+        w = sx.word_view(sx.padded(part))
+        m = len(part) - GRAM + 1
+        h = w[:m] * _C[0] + (w[8 : m + 8] ^ (w[:m] >> np.uint64(29))) * _C[1] + (w[12 : m + 12] >> np.uint64(32)) * _C[2]
+        h ^= h >> np.uint64(32)
+        h *= _C[3]
+        h ^= h >> np.uint64(29)
+        span, have = WINDOW - GRAM + 1, 1
+        while have < span:
+            step = min(have, span - have)
+            h = np.minimum(h[: len(h) - step], h[step:])
+            have += step
+        out[a : a + len(h)] = h
+    return out
 
 
 def segments(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(shard hash, row, first byte, bytes) of the segments of all rows."""
-    count = np.maximum(np.diff(off) - WINDOW + 1, 0)
-    if not count.sum():
+    h = _smallest(buf)
+    if not len(h):
         z = np.zeros(0, np.int64)
         return z.view(np.uint64), z, z, z
-    at, row = tk.expand(off[:-1], count)
-    h = _smallest(buf)[at]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    return tk.mix(h[first]), row[first], at[first], np.diff(np.append(first, len(h))) + WINDOW - 1
+    valid = np.ones(len(buf) + 1, bool)
+    valid[-1] = False
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        valid[max(a, b - WINDOW + 1) : b] = False
+    valid = valid[: len(h) + 1]
+    valid[-1] = False
+    change = np.ones(len(h) + 1, bool)
+    change[1:-1] = h[1:] != h[:-1]
+    change[1:] |= ~valid[:-1]
+    first = np.flatnonzero(valid[:-1] & change[:-1])
+    last = np.flatnonzero(valid[:-1] & (change[1:] | ~valid[1:]))
+    return tk.mix(h[first]), np.searchsorted(off, first, "right") - 1, first, last - first + WINDOW
 
 
 def _scan(bits, doc_bits):
-    def hot(buf, h, doc, at, size):
-        """Which segments a smaller document of this slice covers, where a segment is in more than HOT."""
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        cut = np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])), len(s))
-        gone = np.zeros(len(h), bool)
-        for k in np.flatnonzero(np.diff(cut) > HOT).tolist():
-            own: dict[bytes, list[int]] = {}
-            for i in order[cut[k] : cut[k + 1]].tolist():
-                own.setdefault(buf[at[i] : at[i] + size[i]].tobytes(), []).append(i)
-            for same in own.values():
-                if len(same) > HOT:
-                    same = np.array(same)
-                    gone[same[doc[same] > doc[same].min()]] = True
-        return gone
+    """Strings of all segments: by hash, and by document (a negative bucket) where a slice has the string in two documents."""
 
     def rows(stream):
         for rb in stream:
             col = rb.column(0)
             ids, known = col.fill_null(-1).to_numpy(zero_copy_only=False), col.is_valid().to_numpy(zero_copy_only=False)
             for a, b, buf, off in tk.text_slices(rb, "text"):
-                h, row, at, size = segments(buf, off)
+                h, row, at, _ = segments(buf, off)
                 ok = known[a:b][row]
-                if not ok.all():
-                    h, row, at, size = h[ok], row[ok], at[ok], size[ok]
+                h, row, at = h[ok], row[ok], at[ok]
+                if not len(h):
+                    continue
+                order = np.argsort(h, kind="stable")
+                h, doc, pos = h[order], ids[a:b][row][order], (at - off[row]).astype(np.uint32)[order]
+                cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                many = np.minimum.reduceat(doc, cut) < np.maximum.reduceat(doc, cut)
+                shared = np.repeat(many, np.diff(np.append(cut, len(h))))
+                if many.any():
+                    yield from ((-1 - k, x) for k, x in bl.to_documents(doc[shared], doc_bits, pos[shared]))
+                mark = np.zeros(len(h), bool)
+                mark[cut[many]] = True
+                keep = np.flatnonzero(~shared | mark)
+                yield from bl.by_bucket(bl.high_bits(h[keep], bits), h[keep], doc[keep], np.where(mark[keep], _MARK, pos[keep]).astype(np.uint32), delta=(0,))
+
+    return lambda stream: bl.batches(rows(stream))
+
+
+def _meet(doc_bits):
+    """Of a range of hashes: (document, first byte) of the segments whose string is in several documents."""
+
+    def work(bucket, held):
+        if bucket < 0:
+            yield from ((-1 - bucket, b) for b in held)
+            return
+        h, doc, pos = bl.joined(held)
+        order = np.argsort(h, kind="stable")
+        h, doc, pos = h[order], doc[order], pos[order]
+        cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        many = (np.minimum.reduceat(doc, cut) < np.maximum.reduceat(doc, cut)) | (np.maximum.reduceat(pos, cut) == _MARK)
+        hit = np.repeat(many, np.diff(np.append(cut, len(h)))) & (pos != _MARK)
+        if hit.any():
+            yield from bl.to_documents(doc[hit], doc_bits, pos[hit])
+
+    each = bl.each_bucket(work)
+    return lambda stream: bl.batches(each(stream))
+
+
+def _hot(buf, h, doc, at, size):
+    """Which segments a smaller document of this slice covers, where a segment is in more than HOT."""
+    order = np.argsort(h, kind="stable")
+    cut = np.append(np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]])), len(h))
+    gone = np.zeros(len(h), bool)
+    for k in np.flatnonzero(np.diff(cut) > HOT).tolist():
+        own: dict[bytes, list[int]] = {}
+        for i in order[cut[k] : cut[k + 1]].tolist():
+            own.setdefault(buf[at[i] : at[i] + size[i]].tobytes(), []).append(i)
+        for same in own.values():
+            if len(same) > HOT:
+                same = np.array(same)
+                gone[same[doc[same] > doc[same].min()]] = True
+    return gone
+
+
+def _deal(bits, doc_bits):
+    """The bytes of a group's shared segments, by shard."""
+
+    def work(docs: pa.Table, held: pa.Table) -> pa.Table:
+        out, got = [], held.column("block").to_pylist()
+        if got:
+            d, p = bl.joined(got)
+            want = np.unique(tk.mix(d.view(np.uint64), 4) + p)
+        for rb in docs.combine_chunks().to_batches() if got else ():
+            col = rb.column(rb.schema.get_field_index("doc_id"))
+            ids, known = col.fill_null(-1).to_numpy(zero_copy_only=False), col.is_valid().to_numpy(zero_copy_only=False)
+            for a, b, buf, off in tk.text_slices(rb, "text"):
+                h, row, at, size = segments(buf, off)
                 doc, pos = ids[a:b][row], at - off[row]
-                gone = hot(buf, h, doc, at, size)
+                key = tk.mix(doc.astype(np.int64).view(np.uint64), 4) + pos.astype(np.uint64)
+                ok = (want[np.minimum(np.searchsorted(want, key), len(want) - 1)] == key) & known[a:b][row]
+                h, doc, pos, at, size = h[ok], doc[ok], pos[ok], at[ok], size[ok]
+                gone = _hot(buf, h, doc, at, size)
                 if gone.any():
                     d, s, e = tk.merged(doc[gone], pos[gone], pos[gone] + size[gone])
-                    yield from ((-1 - k, x) for k, x in bl.to_documents(d, doc_bits, s.astype(np.uint32), e.astype(np.uint32)))
+                    out += ((-1 - k, x) for k, x in bl.to_documents(d, doc_bits, s.astype(np.uint32), e.astype(np.uint32)))
                 keep = np.flatnonzero(~gone)
                 keep = keep[np.argsort(h[keep], kind="stable")]
                 bucket = bl.high_bits(h[keep], bits)
-                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keep) else []
-                for i, j in zip(cut, np.append(cut[1:], len(keep)).astype(int) if len(keep) else [], strict=True):
+                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keep) else np.zeros(0, int)
+                for i, j in zip(cut, np.append(cut[1:], len(keep)), strict=False):
                     k = keep[i:j]
                     where, _ = tk.expand(at[k], size[k])
-                    yield int(bucket[i]), bl.pack(h[k], doc[k], pos[k].astype(np.uint32), size[k].astype(np.uint32), buf[where], delta=(0,))
+                    out.append((int(bucket[i]), bl.pack(h[k], doc[k], pos[k].astype(np.uint32), size[k].astype(np.uint32), buf[where], delta=(0,))))
+        return pa.Table.from_batches([bl.batch(out)])
 
-    return lambda stream: bl.batches(rows(stream))
+    return work
 
 
 def repeats(h, doc, pos, size, data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,8 +278,10 @@ def remove_covered(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked."""
     docs = docs.select("doc_id", "text")
     total = bl.text_bytes(docs)
-    doc_bits, bits = bl.bits_for(total, 4 << 20), bl.bits_for(total * 3.5, 8 << 20)
+    doc_bits, bits = bl.bits_for(total, 4 << 20), bl.bits_for(total, 4 << 20)
     scan = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_scan(bits, doc_bits), bl.BLOCK_SCHEMA)
-    ranges = bl.regrouped(scan).mapInArrow(_shard(doc_bits), bl.BLOCK_SCHEMA)
-    both = bl.texts(docs, doc_bits).groupBy("bucket").cogroup(ranges.groupBy("bucket"))
-    return both.applyInArrow(_finish(with_text), OUT + ", kept binary" * with_text)
+    shared = bl.regrouped(scan).mapInArrow(_meet(doc_bits), bl.BLOCK_SCHEMA)
+    by_doc = bl.texts(docs, doc_bits).groupBy("bucket")
+    dealt = by_doc.cogroup(shared.groupBy("bucket")).applyInArrow(_deal(bits, doc_bits), bl.BLOCK_SCHEMA)
+    ranges = bl.regrouped(dealt).mapInArrow(_shard(doc_bits), bl.BLOCK_SCHEMA)
+    return by_doc.cogroup(ranges.groupBy("bucket")).applyInArrow(_finish(with_text), OUT + ", kept binary" * with_text)
