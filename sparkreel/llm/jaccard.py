@@ -17,14 +17,18 @@ Method. Pivots are documents, and regions are the documents near a pivot:
    region's own shingle counts as the order.
 3. The links of all regions form the components.
 
-Frequent shingles are those that one scan task sees in HOT_DOCS documents or more, the
+The order puts shingles that some scan task sees in HOT_DOCS documents or more last, the
 FREQUENT most common of them (a bounded list, sent to the tasks). Any list gives the same
 links: it is only an order, which keeps a passage in many documents from making a region.
+Of a shared leading shingle, those documents need no region whose place of it is beyond the
+first seventh of their set, unless a smaller set has it there (if it is the first that two
+sets share, the rest of the smaller must still hold 6/7 of it).
 
 Scale. Shuffles carry packed blocks: a quarter of the shingle hashes, the sets of documents
 that share a pivot, and the texts once. Equal sets of a slice of text are one document
 there. A region holds the documents that share a leading, infrequent shingle.
-Shingles are compared by 64-bit hashes.
+Shingles are compared by 52-bit hashes: in a pair of sets of 1000, a false match has a chance
+of about 2e-10.
 
 Defined cases: null or empty text, or white space only, has no shingles and no links. A
 null doc_id has no links and a null component. Rows with the same doc_id are one node with
@@ -43,8 +47,10 @@ from . import textkit as tk
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 75
-HOT_DOCS, FREQUENT = 8, 1 << 17
+HOT_DOCS, FREQUENT = 2, 1 << 21
 SPLIT = 64
+#: A set's hashes have 64 - ROW_BITS bits; their low bits are 0.
+ROW_BITS = 12
 
 _SCAN = "doc_id long, n_shingles long, h long, df long"
 
@@ -62,11 +68,17 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if len(few):
             h = np.concatenate([h, tk.window_hashes(words, width, width)[first[few]]])
             row = np.concatenate([row, few])
-    by = np.lexsort((h, row))
-    h, row = h[by], row[by]
-    new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])) if len(h) else np.zeros(0, bool)
-    h, row = h[new], row[new]
-    return h, np.searchsorted(row, np.arange(len(off)))
+    # one sort: the row in the high bits, the hash below
+    key = np.sort((row.astype(np.uint64) << np.uint64(64 - ROW_BITS)) | (h >> np.uint64(ROW_BITS)))
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    return key << np.uint64(ROW_BITS), np.searchsorted(key >> np.uint64(64 - ROW_BITS), np.arange(len(off)).astype(np.uint64))
+
+
+def _slices(rb: pa.RecordBatch):
+    """Slices of at most 2**ROW_BITS rows."""
+    for k in range(0, rb.num_rows, 1 << ROW_BITS):
+        for a, b, buf, off in tk.text_slices(rb.slice(k, 1 << ROW_BITS), "text", 2 << 20):
+            yield a + k, b + k, buf, off
 
 
 def lead(n: np.ndarray) -> np.ndarray:
@@ -81,46 +93,44 @@ def like_size(n: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 def _census(stream):
     """Per document its size, per task its frequent shingles."""
-    counted: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[np.ndarray] = []
+    often: list[tuple[np.ndarray, np.ndarray]] = []
     schema = pa.schema([(x.split()[0], pa.int64()) for x in _SCAN.split(", ")])
 
-    def fold():
-        h = np.concatenate([x[0] for x in counted])
-        n = np.concatenate([x[1] for x in counted])
-        by = np.argsort(h, kind="stable")
-        h, n = h[by], n[by]
-        cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        n = np.add.reduceat(n, cut)
-        return h[cut], n
+    def count():
+        h = np.sort(np.concatenate(held))
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        n = np.diff(np.append(at, len(h)))
+        often.append((h[at[n >= HOT_DOCS]], n[n >= HOT_DOCS]))
+        held.clear()
 
     for rb in stream:
-        for a, b, buf, off in tk.text_slices(rb, "text"):
+        for a, b, buf, off in _slices(rb):
             h, edge = shingle_sets(buf, off)
             m = b - a
             yield pa.RecordBatch.from_arrays([rb.column(0).slice(a, m), pa.array(np.diff(edge).astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=schema)
-            u, n = np.unique(h, return_counts=True)
-            if len(u):
-                counted.append((u, n))
-                if sum(len(x[0]) for x in counted) > 4_000_000:
-                    u, n = fold()
-                    keep = n > 1
-                    counted = [(u[keep], n[keep])]
-    if counted:
-        u, n = fold()
-        hot = n >= HOT_DOCS
-        m = int(hot.sum())
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(u[hot].view(np.int64)), pa.array(n[hot].astype(np.int64))], schema=schema)
-
-
-def leading(h: np.ndarray, edge: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index into h, row) of each row's leading shingles; hot is ascending."""
+            held.append(h)
+            if sum(map(len, held)) > 8_000_000:
+                count()
+    if held:
+        count()
+    if often:
+        h, n = np.concatenate([x[0] for x in often]), np.concatenate([x[1] for x in often])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
+
+
+def leading(h: np.ndarray, edge: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into h, row, place in the row's order) of each row's leading shingles; hot is ascending."""
     n = np.diff(edge)
     row = np.repeat(np.arange(len(n)), n)
     late = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
-    order = np.lexsort((h, late, row))
-    nth = np.arange(len(h)) - edge[row]
-    keep = nth < lead(n)[row]
-    return order[keep], row[keep]
+    lates = np.append(0, np.cumsum(late))
+    before = lates[:-1] - lates[edge[:-1]][row]  # late ones before it in the row
+    nth = np.arange(len(h)) - edge[:-1][row]
+    early = (n - (lates[edge[1:]] - lates[edge[:-1]]))[row]
+    nth = np.where(late, early + before, nth - before)
+    keep = np.flatnonzero(nth < lead(n)[row])
+    return keep, row[keep], nth[keep]
 
 
 def _lead_rows(frequent, bits, doc_bits):
@@ -129,7 +139,7 @@ def _lead_rows(frequent, bits, doc_bits):
         for rb in stream:
             col = rb.column(0)
             ids, known = col.fill_null(-1).to_numpy(zero_copy_only=False), col.is_valid().to_numpy(zero_copy_only=False)
-            for a, b, buf, off in tk.text_slices(rb, "text"):
+            for a, b, buf, off in _slices(rb):
                 h, edge = shingle_sets(buf, off)
                 n, doc = np.diff(edge), ids[a:b]
                 use = (n > 0) & known[a:b]
@@ -147,12 +157,13 @@ def _lead_rows(frequent, bits, doc_bits):
                     yield -1 - int(bl.doc_bucket(doc[:1], doc_bits)[0]), bl.pack(doc[by][twin], doc[rep][twin])
                 use = np.zeros(len(n), bool)
                 use[by[new]] = True
-                at, row = leading(h, edge, hot)
+                at, row, nth = leading(h, edge, hot)
                 keep = use[row]
-                at, row = at[keep], row[keep]
-                order = np.argsort(h[at], kind="stable")
-                at, row = at[order], row[order]
-                yield from bl.by_bucket(bl.high_bits(h[at], bits), h[at], doc[row], n[row].astype(np.uint32), delta=(0,))
+                at, row, nth = at[keep], row[keep], nth[keep]
+                order = np.argsort(h[at])
+                at, row, nth = at[order], row[order], nth[order]
+                size = n[row].astype(np.uint32)
+                yield from bl.by_bucket(bl.high_bits(h[at], bits), h[at], doc[row], size, (7 * nth <= size).astype(np.uint8), delta=(0,))
 
     return lambda stream: bl.batches(rows(stream))
 
@@ -168,10 +179,24 @@ def _pivots(doc_bits):
             u, v = bl.joined(held)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.binary()), pa.array(u), pa.array(v)], schema=_PAIRS)
             return
-        h, doc, n = bl.joined(held)
-        n = n.astype(np.int64)
-        by = np.lexsort((n, h))
-        h, doc, n = h[by], doc[by], n[by]
+        h, doc, n, early = bl.joined(held)
+        order = np.argsort(h)
+        s = h[order]
+        again = np.append(False, s[1:] == s[:-1])
+        again[:-1] |= again[1:]
+        order = order[again]
+        if not len(order):
+            return
+        h, doc, n, early = h[order], doc[order], n[order].astype(np.int64), early[order] == 1
+        by = np.lexsort((~early, n, h))
+        h, doc, n, early = h[by], doc[by], n[by], early[by]
+        # the smaller set of a pair must have the first shared shingle in its first seventh
+        cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        seen = np.cumsum(early)
+        ok = seen - np.repeat(seen[cut] - early[cut], np.diff(np.append(cut, len(h)))) > 0
+        if not ok.any():
+            return
+        h, doc, n = h[ok], doc[ok], n[ok]
         cut = np.flatnonzero(like_size(n, h))
         size = np.diff(np.append(cut, len(h)))
         pivot = np.repeat(np.minimum.reduceat(doc, cut), size)
@@ -198,7 +223,7 @@ def _members(region_bits):
         for rb in docs.combine_chunks().to_batches() if got else ():
             col = rb.column(rb.schema.get_field_index("doc_id"))
             ids, known = col.fill_null(-1).to_numpy(zero_copy_only=False), col.is_valid().to_numpy(zero_copy_only=False)
-            for a, b, buf, off in tk.text_slices(rb, "text"):
+            for a, b, buf, off in _slices(rb):
                 doc = ids[a:b]
                 lo, hi = np.searchsorted(x, doc), np.searchsorted(x, doc, "right")
                 hi = np.where(known[a:b], hi, lo)
@@ -216,7 +241,7 @@ def _members(region_bits):
                     # each set once in a block, however many regions want it
                     u, back = np.unique(r, return_inverse=True)
                     where, _ = tk.expand(edge[u], edge[u + 1] - edge[u])
-                    out.append((int(bucket[i]), bl.pack(region[i:j], back.astype(np.uint32), doc[u], (edge[u + 1] - edge[u]).astype(np.uint32), h[where])))
+                    out.append((int(bucket[i]), bl.pack(region[i:j], back.astype(np.uint32), doc[u], (edge[u + 1] - edge[u]).astype(np.uint32), np.diff(h[where] >> np.uint64(ROW_BITS), prepend=np.uint64(0)))))
         return pa.Table.from_batches([bl.batch(out)])
 
     return work
@@ -309,7 +334,7 @@ def _regions(_, held):
     shift = np.cumsum([0] + [len(p[2]) for p in parts[:-1]])
     region = np.concatenate([p[0] for p in parts])
     member = np.concatenate([p[1].astype(np.int64) + k for p, k in zip(parts, shift, strict=True)])
-    s = Sets(*(np.concatenate([p[k] for p in parts]) for k in (2, 3, 4)))
+    s = Sets(*(np.concatenate([p[k] for p in parts]) for k in (2, 3)), np.concatenate([np.cumsum(p[4], dtype=np.uint64) for p in parts]))
     by = np.lexsort((s.doc[member], region))
     region, member = region[by], member[by]
     cut = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
