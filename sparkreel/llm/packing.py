@@ -32,6 +32,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections import deque
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,14 @@ from . import textkit as tk
 LENGTH, END = 4096, 2
 SENTENCE, INSIDE, LONG = 4, 64, 256
 CHUNK = 1 << 20
-WORDS_HELD = 400_000
+WORDS_HELD = 800_000
+_BAR = "|"
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: 1: an ASCII letter; 2: a mark that no letter run holds.
+_KIND = np.zeros(256, np.uint8)
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[list(b",.;:!?")] = 2
 
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -57,7 +65,11 @@ class Words(dict):
 
 
 class Encoder:
-    """Ids of texts by way of their different words."""
+    """Ids of texts by way of their different words.
+
+    The tokenizer folds case and treats a run of letters and the marks after it as separate
+    pre-tokens, so words are looked up without case (of ASCII) and cut before such marks.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,40 +77,77 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.bar = self.tokenizer.encode(_BAR, add_special_tokens=False).ids
         self.reset()
 
     def reset(self) -> None:
-        self.words, self.ids, self.ends = Words(), [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        self.words, self.ids, self.ends, self.stops = Words(), np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
         self.count = 0
 
-    def learn(self) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words held, offsets by word)."""
-        if len(self.words) > self.count:
-            new = [w.decode("utf-8", "replace") for w in list(self.words)[self.count :]]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            self.ids.append(np.fromiter((i for x in got for i in x), np.uint32, int(n.sum())))
-            self.ends.append(self.ends[-1][-1] + np.cumsum(n))
-            self.count = len(self.words)
-            self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
-        return self.ids[0], self.ends[0]
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all texts: ids with END after each, the texts' ends in them, ends of sentences in them."""
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many of each). Many words go through the tokenizer as one text, with bars between them."""
+        groups = [words[k : k + 128] for k in range(0, len(words), 128)]
+        ids, sizes = [], []
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([f" {_BAR} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            a = np.array(got.ids, np.uint32)
+            bars = np.flatnonzero(a == self.bar[0])
+            if len(bars) == len(group) - 1:
+                ids.append(np.delete(a, bars))
+                sizes.append(np.diff(np.concatenate([[-1], bars, [len(a)]])) - 1)
+            else:  # a word has the bar's id itself
+                alone = [e.ids for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                ids.append(np.fromiter(chain.from_iterable(alone), np.uint32))
+                sizes.append(np.fromiter(map(len, alone), np.int64))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def learn(self) -> None:
+        total = len(self.words)
+        if total == self.count:
+            return
+        new = list(islice(self.words, self.count, None))
+        got, n = self._ids([w.decode("utf-8", "replace") for w in new])
+        have = int(self.ends[self.count])
+        ends = have + np.cumsum(n)
+        for name, need in (("ids", int(ends[-1])), ("ends", total + 1), ("stops", total)):
+            a = getattr(self, name)
+            if len(a) < need:
+                setattr(self, name, np.concatenate([a, np.zeros(max(need, len(a)), a.dtype)]))
+        self.ids[have : ends[-1]] = got
+        self.ends[self.count + 1 : total + 1] = ends
+        self.stops[self.count : total] = np.fromiter((w[-1] in b".!?" for w in new), bool, len(new))
+        self.count = total
+
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all rows: ids with END after each, the rows' ends in them, ends of sentences in them."""
         if len(self.words) > WORDS_HELD:
             self.reset()
-        split = [t.split() for t in texts]
+        kind = _KIND[buf]
+        at = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
+        at = at[~np.isin(at, off)] if len(at) else at
+        raw = np.insert(_LOWER[buf], at, 32).tobytes()
+        off = (off + np.searchsorted(at, off)).tolist()
+        split = [raw[i:j].split() for i, j in zip(off[:-1], off[1:], strict=True)]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        code = np.fromiter((self.words[w] for s in split for w in s), np.int64, int(counts.sum()))
-        stop = np.fromiter((w[-1] in b".!?" for s in split for w in s), bool, len(code))
-        ids, ends = self.learn()
-        at, which = tk.expand(ends[code], ends[code + 1] - ends[code])
-        last = np.cumsum(ends[code + 1] - ends[code])  # of each word
+        code = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        self.learn()
+        size = self.ends[code + 1] - self.ends[code]
+        at, which = tk.expand(self.ends[code], size)
+        last = np.cumsum(size)  # of each word
         doc_of = np.repeat(np.arange(len(split)), counts)
         doc_end = np.append(0, last)[np.cumsum(counts)] + np.arange(1, len(split) + 1)
         out = np.full(len(at) + len(split), END, np.uint32)
-        out[np.arange(len(at)) + doc_of[which]] = ids[at]
-        return out, doc_end, (last + doc_of)[stop]
+        out[np.arange(len(at)) + doc_of[which]] = self.ids[at]
+        return out, doc_end, (last + doc_of)[self.stops[code]]
+
+
+_HELD: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process; its words serve all tasks of the process."""
+    if path not in _HELD:
+        _HELD[path] = Encoder(path)
+    return _HELD[path]
 
 
 def cuts(bounds: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -202,12 +251,11 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 
 def _pack(path):
     def run(stream):
-        encoder, held = Encoder(path), _Stream(TaskContext.get().partitionId() << 33)
+        words, held = encoder(path), _Stream(TaskContext.get().partitionId() << 33)
         for rb in stream:
             ids = rb.column(0)
             for a, b, buf, off in tk.text_slices(rb, "text", 1 << 20):
-                raw = buf.tobytes()
-                held.add(*encoder.encode([raw[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]), ids.slice(a, b - a).to_pylist())
+                held.add(*words.encode(buf, off), ids.slice(a, b - a).to_pylist())
                 if len(held.ids) >= CHUNK:
                     yield _batch(held.finish(False))
         yield _batch(held.finish(True))
