@@ -17,9 +17,10 @@ Method. Pivots are documents, and regions are the documents near a pivot:
    region's own shingle counts as the order.
 3. The links of all regions form the components.
 
-The order puts shingles that some scan task sees in HOT_DOCS documents or more last, the
-FREQUENT most common of them (a bounded list, sent to the tasks). Any list gives the same
-links: it is only an order, which keeps a passage in many documents from making a region.
+The order puts frequent shingles last: those that scan tasks see in HOT_DOCS documents or
+more, the FREQUENT most common of them at most, as a bitmap of 2**LATE_BITS bits by hash (2 MB
+at any input size, sent to the tasks). Any bitmap gives the same links: it is only an order,
+which keeps a passage in many documents from making a region.
 Of a shared leading shingle, those documents need no region whose place of it is beyond the
 first seventh of their set, unless a smaller set has it there (if it is the first that two
 sets share, the rest of the smaller must still hold 6/7 of it).
@@ -47,7 +48,7 @@ from . import textkit as tk
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 75
-HOT_DOCS, FREQUENT = 2, 1 << 21
+HOT_DOCS, FREQUENT, LATE_BITS = 2, 1 << 22, 24
 SPLIT = 64
 #: A set's hashes have 64 - ROW_BITS bits; their low bits are 0.
 ROW_BITS = 12
@@ -120,10 +121,11 @@ def _census(stream):
 
 
 def leading(h: np.ndarray, edge: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index into h, row, place in the row's order) of each row's leading shingles; hot is ascending."""
+    """(index into h, row, place in the row's order) of each row's leading shingles; hot is the bitmap of late ones."""
     n = np.diff(edge)
     row = np.repeat(np.arange(len(n)), n)
-    late = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+    at = h >> np.uint64(64 - LATE_BITS)
+    late = (hot[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
     lates = np.append(0, np.cumsum(late))
     before = lates[:-1] - lates[edge[:-1]][row]  # late ones before it in the row
     nth = np.arange(len(h)) - edge[:-1][row]
@@ -350,6 +352,21 @@ def _regions(_, held):
         yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], names=["u", "v"])
 
 
+def _bitmap(counts: DataFrame) -> np.ndarray:
+    """Bits of the most common of (h, df): as many as FREQUENT allows, by their count."""
+    least, n = 1 << 20, 0
+    for r in sorted(counts.groupBy(F.least("df", F.lit(1 << 20)).alias("df")).count().collect(), key=lambda r: -r["df"]):
+        n += r["count"]
+        if n > FREQUENT:
+            break
+        least = r["df"]
+    at = F.shiftrightunsigned("h", 64 - LATE_BITS)
+    words = counts.where(F.col("df") >= least).groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(h, {64 - LATE_BITS}) & 63 as int)))").alias("bits")).toPandas()
+    out = np.zeros(1 << (LATE_BITS - 6), np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -357,8 +374,7 @@ def groups(docs: DataFrame) -> DataFrame:
     total = bl.text_bytes(docs)
     doc_bits, bits = bl.bits_for(total, 4 << 20), bl.bits_for(total, 12 << 20)
     census = bl.cut(docs.mapInArrow(_census, _SCAN))
-    hot = census.where("df is not null").groupBy("h").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "h").limit(FREQUENT).select("h").toPandas()
-    frequent = spark.sparkContext.broadcast(np.sort(hot["h"].to_numpy(np.int64).view(np.uint64)))
+    frequent = spark.sparkContext.broadcast(_bitmap(census.where("df is not null").groupBy("h").agg(F.sum("df").alias("df"))))
     leads = docs.mapInArrow(_lead_rows(frequent, bits, doc_bits), bl.BLOCK_SCHEMA)
     both = bl.cut(bl.regrouped(leads).mapInArrow(_pivots(doc_bits), "bucket long, block binary, u long, v long"))
     by_doc = bl.texts(docs, doc_bits).groupBy("bucket")
