@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, mixing, nearest, packing, quality, substring_dedup, suffix_dedup
+from . import jaccard, language, mixing, nearest, packing, quality, substring_dedup, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_covered(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(_table(spark, sf_dir, "documents"), budget=1.0)
     return mix.select("doc_id", "source", "epoch", "block", "block_rank", "position", "tokens")
@@ -49,7 +53,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_temperature_mixing, op4_jaccard_join, op6_substring_dedup, op7_packing, op8_quality_rules, op9_language, op10_nearest)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_temperature_mixing, op4_jaccard_join, op6_substring_dedup, op7_packing, op8_quality_rules, op9_language, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
