@@ -41,6 +41,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import blocks as bl
@@ -383,3 +384,15 @@ def groups(docs: DataFrame) -> DataFrame:
     links = bl.regrouped(sets).mapInArrow(bl.each_bucket(_regions), "u long, v long")
     found = components(links.union(both.where("bucket is null").select("u", "v")))
     return census.where("df is null").select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the document with the smallest doc_id.
+
+    Of rows that share a doc_id one stays; rows with a null doc_id stay.
+    """
+    found = groups(docs)
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    copy = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.rand(1))).orderBy(F.xxhash64("text"))
+    return left.withColumn("_copy", F.row_number().over(copy)).where("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

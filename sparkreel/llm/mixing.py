@@ -29,8 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .blocks import cut
+
 REPETITIONS, BLOCK_TOKENS, SEED = 2.0, 1_000_000, 7
 STEPS = 40
+#: Up to so many sources their table (one narrow row each) is broadcast; beyond, documents join it by shuffle.
+FEW_SOURCES = 10_000
 
 
 def _exponent(repetitions: float, entropy: float | None, budget: float | None) -> str:
@@ -74,7 +78,9 @@ def mix(docs: DataFrame, repetitions: float = REPETITIONS, entropy: float | None
     s = F.lit(seed)
     name = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     rows = docs.withColumns({"_source": name, "_tokens": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("n"))})
-    sources = plan(rows.select("_source", "_tokens"), repetitions, entropy, budget, block_tokens)
+    sources = cut(plan(rows.select("_source", "_tokens"), repetitions, entropy, budget, block_tokens))
+    if sources.count() <= FEW_SOURCES:
+        sources = F.broadcast(sources)
 
     def in_block(df):
         return df.join(sources, "_source").withColumn("_block", F.conv(F.substring(_hash(F.col("_id"), s), 1, 8), 16, 10).cast("long") % F.col("blocks"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, mixing, nearest, packing, quality, substring_dedup, suffix_dedup, warc
+from . import html_tree, jaccard, language, mixing, nearest, packing, quality, substring_dedup, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -52,8 +56,14 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_temperature_mixing, op4_jaccard_join, op6_substring_dedup, op7_packing, op8_quality_rules, op9_language, op10_nearest)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_temperature_mixing, op4_jaccard_join, op5_html_extraction, op6_substring_dedup, op7_packing, op8_quality_rules, op9_language, op10_nearest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,6 +32,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import blocks as bl
 from . import textkit as tk
@@ -191,14 +192,46 @@ def _finish(with_text):
     return work
 
 
+def _repeats(docs: DataFrame, by_doc, doc_bits: int, total: int) -> DataFrame:
+    """Blocks of (document, start) of all repeated windows; by_doc: the documents, grouped by bucket."""
+    bits = bl.bits_for(total, 6 << 20)
+    scan = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_scan(bits, doc_bits), bl.BLOCK_SCHEMA)
+    shared = bl.regrouped(scan).mapInArrow(_meet(doc_bits), bl.BLOCK_SCHEMA)
+    full = by_doc.cogroup(shared.groupBy("bucket")).applyInArrow(_extend(bits, doc_bits), bl.BLOCK_SCHEMA)
+    return bl.regrouped(full).mapInArrow(_meet(doc_bits), bl.BLOCK_SCHEMA)
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and kept_text if asked."""
     docs = docs.select("doc_id", "text")
     total = bl.text_bytes(docs)
-    doc_bits, bits = bl.bits_for(total, 4 << 20), bl.bits_for(total, 6 << 20)
-    scan = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_scan(bits, doc_bits), bl.BLOCK_SCHEMA)
-    shared = bl.regrouped(scan).mapInArrow(_meet(doc_bits), bl.BLOCK_SCHEMA)
+    doc_bits = bl.bits_for(total, 4 << 20)
     by_doc = bl.texts(docs, doc_bits).groupBy("bucket")
-    full = by_doc.cogroup(shared.groupBy("bucket")).applyInArrow(_extend(bits, doc_bits), bl.BLOCK_SCHEMA)
-    repeats = bl.regrouped(full).mapInArrow(_meet(doc_bits), bl.BLOCK_SCHEMA)
+    repeats = _repeats(docs, by_doc, doc_bits, total)
     return by_doc.cogroup(repeats.groupBy("bucket")).applyInArrow(_finish(with_text), OUT + ", kept_text string" * with_text)
+
+
+def rewritten(docs: DataFrame) -> DataFrame:
+    """The rows of docs with repeats taken out of `text` (and `n_chars`, if there is one, set to its new length).
+
+    Texts that lose nothing stay as they are; the others become their kept words, joined by one space.
+    """
+    names, total = docs.columns, bl.text_bytes(docs)
+    doc_bits = bl.bits_for(total, 4 << 20)
+    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string"), "_bucket": bl.doc_bucket_sql("doc_id", doc_bits)})
+    by_doc = rows.groupBy("_bucket")
+    repeats = _repeats(docs, by_doc, doc_bits, total)
+
+    def work(group: pa.Table, held: pa.Table) -> pa.Table:
+        found, texts = _by_doc(held), []
+        group = group.combine_chunks()
+        for d, text in zip(group.column("doc_id").to_pylist(), group.column("text").to_pylist(), strict=True):
+            starts = found.get(-1 if d is None else d)
+            texts.append(text if starts is None or not text else kept(text.encode(), starts)[2].decode())
+        out = group.set_column(group.column_names.index("text"), "text", pa.array(texts, pa.string()))
+        if "n_chars" in names:
+            k = group.column_names.index("n_chars")
+            out = out.set_column(k, "n_chars", pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(group.schema.field(k).type))
+        return out.select(names)
+
+    return by_doc.cogroup(repeats.groupBy("bucket")).applyInArrow(work, rows.drop("_bucket").schema)
