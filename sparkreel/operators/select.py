@@ -70,11 +70,11 @@ def select_events(stable: DataFrame, distance: int = K.DUP_DISTANCE) -> DataFram
     return judged.select("video_id", "seg", "kind", "idx", "bm", "h", "from_stable", event.alias("event"), F.when(~F.col("kept"), "duplicate").alias("reason"))
 
 
-def close_segments(segs: list[dict], distance: int, limit: int) -> list[tuple]:
+def close_segments(segs: list[dict], distance: int, limit: int, seen: list[int] | None = None) -> list[tuple]:
     """Events of one video under the streaming rule: images are held per segment against what is
-    seen and held, at most `limit`; at the end of the segment the mail is judged, then the held images."""
+    seen and held, at most `limit`; at the end of the segment the mail is judged, then the held images. `seen` is what was selected before, and grows."""
     near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= distance
-    seen: list[int] = []
+    seen = [] if seen is None else seen
     out = []
     for s in segs:
         held, over = [], []

@@ -1,0 +1,95 @@
+"""From frames of recordings to exported images: the whole batch plan.
+
+scan -> one Arrow pass over pixels (metrics and hash) -> categories -> segments by windows ->
+representatives and repeats -> stitched scrolls -> outputs. Pixels are read twice: once for the
+metrics, once for the frames that are exported or stitched; all between works on narrow rows.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..functions import pixels as P
+from ..functions.stitch import Stitcher, assemble
+from ..operators import frames as fr
+from ..operators import select
+from ..sources.images import cropped_png, png, rgb
+
+
+def measured(frames: DataFrame) -> DataFrame:
+    """(video_id, idx, bm, dk, hd, h) of frames, in one pass; blank (loading) frames get no hash."""
+
+    def run(stream):
+        for pdf in stream:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                img = rgb(r.data, r.height, r.width, r.n_channels)
+                bm, dk, hd = P.metrics(img)
+                blank = bm < K.LOADING_BM and dk <= K.FULLSCREEN_DK
+                rows.append((r.video_id, r.idx, bm, dk, hd, None if blank else P.phash(P.gray_pillow(img))))
+            out = pd.DataFrame(rows, columns=["video_id", "idx", "bm", "dk", "hd", "h"])
+            yield out.astype({"h": "Int64"})
+
+    return frames.mapInPandas(run, "video_id long, idx int, bm double, dk double, hd double, h long")
+
+
+def stitched(frames: DataFrame, segmented: DataFrame, auto: bool = False, scale: int = 1) -> DataFrame:
+    """Per segment: (video_id, seg, accepted, height, truncated, png) of its stitched detail frames.
+
+    A segment is one mail's frames, in order; with auto header estimation the estimate is carried
+    from segment to segment, so a video is the group then.
+    """
+    detail = segmented.where("cat = 'detail'").select("video_id", "idx", "seg")
+    rows = frames.join(detail, ["video_id", "idx"])
+    keys = ["video_id"] if auto else ["video_id", "seg"]
+
+    def run(pdf):
+        out, skip, estimated = [], None, False
+        for seg, g in pdf.sort_values("idx").groupby("seg", sort=True):
+            s, kept = None, {}
+            for r in g.itertuples(index=False):
+                img = rgb(r.data, r.height, r.width, r.n_channels)
+                img = img[int(r.height * K.STATUS_BAR) :]
+                if s is None:
+                    cap = max(1, K.MAX_STITCH_BYTES // (r.width * 4))
+                    s = Stitcher(len(img), r.width, skip or 0, scale, recheck=scale > 1, auto=auto, estimated=estimated, max_rows=cap)
+                d = s.push(P.gray_cv(img))
+                if d["accepted"]:
+                    kept[d["i"]] = img
+            skip, estimated = s.skip, s.estimated
+            image = png(assemble(kept, s.recipe)) if s.accepted else None
+            out.append((pdf["video_id"].iloc[0], seg, s.accepted, s.rows if s.accepted else None, s.truncated, image))
+        return pd.DataFrame(out, columns=["video_id", "seg", "accepted", "height", "truncated", "png"]).astype({"height": "Int64"})
+
+    return rows.groupBy(*keys).applyInPandas(run, "video_id long, seg int, accepted long, height long, truncated long, png binary")
+
+
+def rescue(frames: DataFrame, stitch: bool = True, auto: bool = False) -> DataFrame:
+    """Selected outputs of recordings: (video_id, seg, kind, idx, t, event, reason, stitched, png).
+
+    A mail's image is its stitched scroll if there was any scroll, else its representative frame
+    without the status bar. Skipped outputs stay, with the reason and without an image.
+    """
+    f = fr.classify(measured(frames))
+    seg = fr.segments(f)
+    events = select.select_events(select.stability(seg))
+    chosen = events.where("event = 'selected'").select("video_id", "seg", "kind", "idx")
+
+    def encode(stream):
+        for pdf in stream:
+            pdf["png"] = [cropped_png(np.ascontiguousarray(rgb(r.data, r.height, r.width, r.n_channels)), K.STATUS_BAR) for r in pdf.itertuples(index=False)]
+            yield pdf[["video_id", "idx", "kind", "png"]]
+
+    singles = frames.join(chosen, ["video_id", "idx"]).mapInPandas(encode, "video_id long, idx int, kind string, png binary")
+    out = events.join(singles.withColumnRenamed("png", "_one"), ["video_id", "idx", "kind"], "left")
+    if stitch:
+        s = stitched(frames, seg, auto).where("accepted > 0").select("video_id", "seg", F.lit("mail").alias("kind"), F.col("png").alias("_tall"))
+        out = out.join(s, ["video_id", "seg", "kind"], "left")
+    else:
+        out = out.withColumn("_tall", F.lit(None).cast("binary"))
+    keep = F.col("event") == "selected"
+    return out.select("video_id", "seg", "kind", "idx", (F.col("idx") / F.lit(float(K.FPS))).alias("t"), "event", "reason", (keep & F.col("_tall").isNotNull()).alias("stitched"), F.when(keep, F.coalesce("_tall", "_one")).alias("png"))
