@@ -138,18 +138,18 @@ def _scan(bits, doc_bits):
     return lambda stream: bl.batches(rows(stream))
 
 
-def _slices(table: pa.Table):
+def _slices(table: pa.Table, id_column: str = "doc_id", text: str = "text"):
     """(ids, texts' bytes, offsets) of a group of documents, some MB at a time."""
     for rb in table.combine_chunks().to_batches():
-        ids = rb.column(rb.schema.get_field_index("doc_id"))
-        for a, b, buf, off in tk.text_slices(rb, "text"):
+        ids = rb.column(rb.schema.get_field_index(id_column))
+        for a, b, buf, off in tk.text_slices(rb, text):
             yield ids.slice(a, b - a), buf, off
 
 
-def _extend(bits, doc_bits):
+def _extend(bits, doc_bits, id_column, text):
     def work(docs: pa.Table, held: pa.Table) -> pa.Table:
         found, out = _by_doc(held), []
-        for ids, buf, off in _slices(docs) if found else ():
+        for ids, buf, off in _slices(docs, id_column, text) if found else ():
             starts, ends, first = tk.words(buf, off)
             words = tk.span_hashes(buf, starts, ends)
             h, h2 = tk.window_hashes(words, WINDOW, 1), tk.window_hashes(words, WINDOW, 2)
@@ -192,12 +192,12 @@ def _finish(with_text):
     return work
 
 
-def _repeats(docs: DataFrame, by_doc, doc_bits: int, total: int) -> DataFrame:
-    """Blocks of (document, start) of all repeated windows; by_doc: the documents, grouped by bucket."""
+def _repeats(docs: DataFrame, by_doc, doc_bits: int, total: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Blocks of (document, start) of all repeated windows; by_doc: the documents (with these names), grouped by bucket."""
     bits = bl.bits_for(total, 6 << 20)
     scan = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_scan(bits, doc_bits), bl.BLOCK_SCHEMA)
     shared = bl.regrouped(scan).mapInArrow(_meet(doc_bits), bl.BLOCK_SCHEMA)
-    full = by_doc.cogroup(shared.groupBy("bucket")).applyInArrow(_extend(bits, doc_bits), bl.BLOCK_SCHEMA)
+    full = by_doc.cogroup(shared.groupBy("bucket")).applyInArrow(_extend(bits, doc_bits, id_column, text), bl.BLOCK_SCHEMA)
     return bl.regrouped(full).mapInArrow(_meet(doc_bits), bl.BLOCK_SCHEMA)
 
 
@@ -216,22 +216,25 @@ def rewritten(docs: DataFrame) -> DataFrame:
 
     Texts that lose nothing stay as they are; the others become their kept words, joined by one space.
     """
-    names, total = docs.columns, bl.text_bytes(docs)
+    total = bl.text_bytes(docs)
     doc_bits = bl.bits_for(total, 4 << 20)
-    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string"), "_bucket": bl.doc_bucket_sql("doc_id", doc_bits)})
-    by_doc = rows.groupBy("_bucket")
-    repeats = _repeats(docs, by_doc, doc_bits, total)
+    names = [f"c{k}" for k in range(len(docs.columns))]  # any column name may clash with ours or hold a dot
+    own = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names).withColumns({own["doc_id"]: F.col(own["doc_id"]).cast("long"), own["text"]: F.col(own["text"]).cast("string")})
+    schema = rows.schema
+    by_doc = rows.withColumn("bucket", bl.doc_bucket_sql(own["doc_id"], doc_bits)).groupBy("bucket")
+    repeats = _repeats(docs, by_doc, doc_bits, total, own["doc_id"], own["text"])
 
     def work(group: pa.Table, held: pa.Table) -> pa.Table:
         found, texts = _by_doc(held), []
         group = group.combine_chunks()
-        for d, text in zip(group.column("doc_id").to_pylist(), group.column("text").to_pylist(), strict=True):
+        for d, text in zip(group.column(own["doc_id"]).to_pylist(), group.column(own["text"]).to_pylist(), strict=True):
             starts = found.get(-1 if d is None else d)
             texts.append(text if starts is None or not text else kept(text.encode(), starts)[2].decode())
-        out = group.set_column(group.column_names.index("text"), "text", pa.array(texts, pa.string()))
-        if "n_chars" in names:
-            k = group.column_names.index("n_chars")
-            out = out.set_column(k, "n_chars", pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(group.schema.field(k).type))
+        out = group.set_column(group.column_names.index(own["text"]), own["text"], pa.array(texts, pa.string()))
+        if "n_chars" in own:
+            k = group.column_names.index(own["n_chars"])
+            out = out.set_column(k, own["n_chars"], pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(group.schema.field(k).type))
         return out.select(names)
 
-    return by_doc.cogroup(repeats.groupBy("bucket")).applyInArrow(work, rows.drop("_bucket").schema)
+    return by_doc.cogroup(repeats.groupBy("bucket")).applyInArrow(work, schema).toDF(*docs.columns)
