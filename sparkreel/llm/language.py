@@ -35,6 +35,8 @@ GRAM, PROBES, SLOT_BITS = 4, 3, 20
 TRAIN_DOCS, PROFILE, MIN_DOCS = 2000, 20_000, 2
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
+#: Bytes of text handled at once in a task.
+SLICE = 1 << 18
 #: Documents with a lower score are rejected by `known`.
 LEAST_SCORE = 0.02
 
@@ -85,7 +87,7 @@ def _profile(stream):
     seen: dict[str, list[np.ndarray]] = {}
     for rb in stream:
         langs = rb.column(0).to_pylist()
-        for a, b, buf, off in tk.text_slices(rb, "text", 1 << 20):
+        for a, b, buf, off in tk.text_slices(rb, "text", SLICE):
             h, row = grams(buf, off)
             order = np.lexsort((h, row))
             h, row = h[order], row[order]
@@ -165,7 +167,7 @@ def predictor(model: Filter | None):
 
     def predict(rb: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
         names, scores = [], []
-        for a, b, buf, off in tk.text_slices(rb, "text", 1 << 20):
+        for a, b, buf, off in tk.text_slices(rb, "text", SLICE):
             ok = has_letters(buf, off)
             if model is None:
                 names += [UNKNOWN] * (b - a)
