@@ -7,14 +7,17 @@ importance after Yi, Liu, Li, "Eliminating Noisy Information in Web Pages for Da
 styles) and of its content (its text), each divided by log(pages). Content that changes from
 page to page scores near 1, a template's fixed text 0. A node that occurs on MIN_PAGES
 different pages or more and whose content importance, with all nodes below it, is under
-LEAST is a low-importance branch and is removed from every page of the host, except inside
-an article: there a fixed line is part of the text.
-
-What a template's entropy cannot tell (advertisements and menus that change with every page,
-hosts with few pages) its markup tells: scripts, styles, forms, navigation, asides, footers and
-elements whose class, id or role names such a part are removed at once, and readers' comments
-too. If a page has an article (or main) element, or one that is named so, its text is the text
-there; else that of the body without removed branches and without blocks that are all links.
+LEAST is a low-importance branch and is removed from every page of the host, in an article
+too. Inline elements are no nodes of the tree; their text is that of the block around them.
+
+Elements that are no text by their tag (scripts, styles, forms, nav, aside, footer) and hidden
+ones are removed at once. Class, id and role names decide nothing on a host of MIN_PAGES
+different pages or more. On a smaller one, where entropy cannot tell, they are a prior:
+elements named as advertisement, menu, comments and the like, and headers outside articles, are
+removed; headings never are. If the article and main elements of a host hold at least as many
+characters, weighted by content importance, as all else outside links, the text of its pages
+that have any is the text there; else it is all of both. On smaller hosts each page is weighed
+alone, without weights. Blocks outside articles that are all links are left out.
 
 Text. Character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined in page order by a line feed; empty blocks do not count. A line break
@@ -68,7 +71,7 @@ _NAMES = frozenset(
 )
 _HEADERS = frozenset("header masthead head sitehead".split())
 _ARTICLE = frozenset("article main".split())
-_ARTICLE_NAMES = frozenset("article articlebody story post entry maincontent main".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -82,10 +85,10 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "removed", "article", "children", "texts", "low")
+    __slots__ = ("tag", "path", "removed", "named", "article", "children", "texts", "low")
 
-    def __init__(self, tag, path, removed, article):
-        self.tag, self.path, self.removed, self.article, self.low = tag, path, removed, article, False
+    def __init__(self, tag, path, removed, named, article):
+        self.tag, self.path, self.removed, self.named, self.article, self.low = tag, path, removed, named, article, False
         self.children: list[str] = []
         self.texts: list[str] = []
 
@@ -123,7 +126,7 @@ def _below(path: str, style: str) -> str:
 
 def walk(html: str):
     """Events of a page in order: ("open", node), ("close", node), ("text", node, text), ("break", node)."""
-    root = Node("", "", False, False)
+    root = Node("", "", False, False, False)
     stack, at, hide = [root], 0, ""
 
     def pop_to(k):
@@ -175,10 +178,11 @@ def walk(html: str):
             continue
         style, words, hidden = _style(tag, attrs)
         up = stack[-1]
-        article = up.article or tag in _ARTICLE or bool(words & _ARTICLE_NAMES and tag in ("div", "section", "td") and not words & _NAMES)
-        removed = up.removed or hidden or tag in _REMOVED or bool(words & _NAMES) and tag != "body" and tag != "html"
-        header = (tag == "header" or bool(words & _HEADERS)) and not up.article and tag not in ("body", "html", "h1", "h2")
-        node = Node(tag, _below(up.path, style), removed or header, article)
+        article = up.article or tag in _ARTICLE
+        removed = up.removed or hidden or tag in _REMOVED
+        part = words & _NAMES or (tag == "header" or words & _HEADERS) and not up.article
+        named = up.named or bool(part) and tag not in ("body", "html") and tag not in _HEADINGS
+        node = Node(tag, _below(up.path, style), removed, named, article)
         up.children.append(style)
         yield "open", node
         if tag in _VOID:
@@ -191,30 +195,39 @@ def walk(html: str):
     yield from pop_to(1)
 
 
-def features(html: str) -> list[tuple[str, str, str, str]]:
-    """(path, path above, presentation digest, content digest) of each style path of a page outside its article."""
-    seen: dict[str, list] = {}
+def features(html: str) -> list[tuple[str, str, str, str, int]]:
+    """(path, path above, presentation digest, content digest, characters outside links, negative outside articles) of each style path of a page, and a row of the page itself, with the empty path."""
+    seen: dict[str, list] = {"": [[], [], 0]}
     above: dict[str, str] = {}
-    stack = [""]
+    stack = [Node("", "", False, False, False)]  # open blocks
+    links = 0  # open links
     for event in walk(html):
         node = event[1]
+        links += (event[0] == "open") - (event[0] == "close") if node.tag == "a" else 0
         if event[0] == "open":
-            above.setdefault(node.path, stack[-1])
-            stack.append(node.path)
+            if node.tag not in _INLINE:
+                above.setdefault(node.path, stack[-1].path)
+                stack.append(node)
         elif event[0] == "close":
+            if node.tag in _INLINE:
+                continue
             stack.pop()
-            if not node.removed and not node.article and node.path:
-                own = seen.setdefault(node.path, [[], []])
+            if not node.removed and node.path:
+                own = seen.setdefault(node.path, [[], [], 0])
                 own[0].append(",".join(c for k, c in enumerate(node.children) if not k or c != node.children[k - 1]))
                 own[1].append(" ".join("".join(node.texts).split()))
-        elif event[0] == "text" and len(event) == 3:
-            node.texts.append(event[2])
+        elif event[0] == "text" and len(event) == 3 and not node.removed:
+            stack[-1].texts.append(event[2])
+            if not links:
+                n = len(event[2].strip())
+                seen.setdefault(stack[-1].path, [[], [], 0])[2] += n if stack[-1].article else -n
     digest = lambda parts: hashlib.blake2b("\1".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-    return [(p, above.get(p, ""), digest(own[0]), digest(own[1]) if any(own[1]) else "") for p, own in seen.items()]
+    return [(p, above.get(p, ""), digest(own[0]), digest(own[1]) if any(own[1]) else "", own[2]) for p, own in seen.items()]
 
 
-def main_text(html: str, noise: frozenset = frozenset()) -> str:
-    """The text of a page without removed and low-importance branches."""
+def main_text(html: str, noise: frozenset | None = None, articles: bool | None = None) -> str:
+    """The text of a page without removed and low-importance branches; without noise, that is of a host with too few pages, names decide instead. articles: whether they are the main part, if the host tells."""
+    prior, noise = noise is None, noise or frozenset()
     blocks: list[tuple[str, bool, float]] = []  # text, in the article, share of it in links
     buf: list[str] = []
     state = {"linked": 0, "size": 0}  # characters of the open block
@@ -233,7 +246,7 @@ def main_text(html: str, noise: frozenset = frozenset()) -> str:
     for event in walk(html):
         kind, node = event[0], event[1]
         if kind == "text":
-            if not node.removed and (node.article or not gone):
+            if not (node.removed or gone or prior and node.named):
                 buf.append(event[2])
                 n = len(event[2].strip())
                 state["size"] += n
@@ -245,7 +258,7 @@ def main_text(html: str, noise: frozenset = frozenset()) -> str:
             if node.tag not in _INLINE:
                 flush(current)
             links += node.tag == "a"
-            node.low = node.path in noise
+            node.low = node.tag not in _INLINE and node.path in noise
             gone += node.low
         elif kind == "close":
             if node.tag not in _INLINE:
@@ -253,57 +266,62 @@ def main_text(html: str, noise: frozenset = frozenset()) -> str:
             links -= node.tag == "a"
             gone -= node.low
     flush(current)
-    if any(b[1] for b in blocks):
+    inside = sum(len(b[0]) for b in blocks if b[1])
+    outside = sum(len(b[0]) for b in blocks if not b[1] and b[2] < 0.9)
+    if inside and (inside >= outside if articles is None else articles):
         return "\n".join(b[0] for b in blocks if b[1])
-    return "\n".join(b[0] for b in blocks if b[2] < 0.9)
+    return "\n".join(b[0] for b in blocks if b[1] or b[2] < 0.9)
 
 
 def _features(stream):
     for rb in stream:
-        host, page, path, up, look, content = [], [], [], [], [], []
+        host, page, path, up, look, content, chars = [], [], [], [], [], [], []
         for h, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
             if not text:
                 continue
             ident = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-            for p, a, x, y in features(text):
+            for p, a, x, y, n in features(text):
                 host.append(h)
                 page.append(ident)
                 path.append(p)
                 up.append(a)
                 look.append(x)
                 content.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (host, page, path, up, look, content)], names=["host", "page", "path", "above", "look", "content"])
+                chars.append(n)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (host, page, path, up, look, content)] + [pa.array(chars, pa.int64())], names=["host", "page", "path", "above", "look", "content", "chars"])
 
 
 def _entropy(rows: DataFrame, feature: str) -> DataFrame:
     """Pages and normalised entropy of a feature by host and path."""
-    n = rows.groupBy("host", "path", "above", feature).agg(F.count("*").alias("n"))
-    total = n.groupBy("host", "path", "above").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max(F.when(F.col(feature) != "", 1).otherwise(0)).alias("filled"))
-    return total.select("host", "path", "above", "m", "filled", F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0).alias(feature))
+    n = rows.groupBy("host", "path", "above", feature).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    total = n.groupBy("host", "path", "above").agg(F.sum("n").alias("m"), F.sum("chars").alias("chars"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max(F.when(F.col(feature) != "", 1).otherwise(0)).alias("filled"))
+    return total.select("host", "path", "above", "m", "filled", "chars", F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0).alias(feature))
 
 
 def importance(pages: DataFrame, host: str = "host", text: str = "html") -> DataFrame:
-    """One row per style node outside articles: host, path, above, pages m, presentation and content importance."""
-    rows = pages.select(F.col(host), F.col(text)).mapInArrow(_features, "host string, page string, path string, above string, look string, content string").dropDuplicates(["host", "page", "path"])
+    """One row per style node: host, path, above, pages m, presentation and content importance, chars as in features, of all pages; the empty path stands for the host."""
+    rows = pages.select(F.col(host), F.col(text)).mapInArrow(_features, "host string, page string, path string, above string, look string, content string, chars long").dropDuplicates(["host", "page", "path"])
     rows = cut(rows)  # narrow; both entropies read it, and pages are parsed once for them
     look, content = _entropy(rows, "look"), _entropy(rows, "content")
-    return look.drop("filled").join(content.drop("m"), ["host", "path", "above"])
+    return look.drop("filled", "chars").join(content.drop("m"), ["host", "path", "above"])
 
 
 def low_branches(nodes: DataFrame) -> DataFrame:
-    """(host, noise): of each host the paths under which nothing is important.
+    """(host, articles, noise): of each host of MIN_PAGES pages or more whether its articles are the main part, and the paths under which nothing is important.
 
     Paths of fewer than MIN_PAGES pages count as important; of them only a mark on the path above
     remains, so a host's row holds the paths that its pages share.
     """
     marks = nodes.where(F.col("m") < MIN_PAGES).groupBy("host", F.col("above").alias("path")).agg(F.lit(True).alias("rare"))
     shared = nodes.where(F.col("m") >= MIN_PAGES).join(marks, ["host", "path"], "left")
-    tree = shared.groupBy("host").agg(F.collect_list(F.struct("path", "above", "content", "filled", "rare")).alias("nodes"))
+    articles = nodes.groupBy("host").agg((F.sum(F.col("content") * F.col("chars")) >= 0).alias("articles"))
+    tree = shared.groupBy("host").agg(F.collect_list(F.struct("path", "above", "content", "filled", "rare")).alias("nodes")).join(articles, "host").select("host", "articles", "nodes")
 
     def prune(stream):
         for rb in stream:
             hosts, out = rb.column(0).to_pylist(), []
-            for nodes_ in rb.column(1).to_pylist():
+            for nodes_ in rb.column(2).to_pylist():
+                nodes_ = [n for n in nodes_ if n["path"]]
                 best = {}
                 below: dict[str, list[str]] = {}
                 for n in nodes_:
@@ -318,9 +336,9 @@ def low_branches(nodes: DataFrame) -> DataFrame:
                 for p in reversed(order):
                     best[p] = max([best[p], *(best[c] for c in below.get(p, []))])
                 out.append(sorted(p for p, v in best.items() if v < LEAST))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(out, pa.list_(pa.string()))], names=["host", "noise"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), rb.column(1), pa.array(out, pa.list_(pa.string()))], names=["host", "articles", "noise"])
 
-    return tree.mapInArrow(prune, "host string, noise array<string>").where(F.size("noise") > 0)
+    return tree.mapInArrow(prune, "host string, articles boolean, noise array<string>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -331,7 +349,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(stream):
         for rb in stream:
-            text = [main_text(h, frozenset(n or ())) if h else "" for h, n in zip(rb.column(2).to_pylist(), rb.column(3).to_pylist(), strict=True)]
+            text = [main_text(h, None if n is None else frozenset(n), a) if h else "" for h, n, a in zip(*(rb.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.join(noise, "host", "left").select("page_id", "url", "html", "noise").mapInArrow(run, OUT)
+    return rows.join(noise, "host", "left").select("page_id", "url", "html", "noise", "articles").mapInArrow(run, OUT)

@@ -77,3 +77,19 @@ def test_table(spark, sf_dir):
             parts = re.split(r"</?(?:h\d|p|div|ul|li|article)\b[^>]*>", re.sub(r"<!--.*?-->", "", m[1], flags=re.S))
             want = [" ".join(html.unescape(re.sub(r"<[^>]*>", " " if "<br" in x else "", x)).split()) for x in parts]
             assert r.text == "\n".join(x for x in want if x) and r.n_chars == len(r.text)
+
+
+def test_names_do_not_decide_on_large_hosts(spark):
+    """Entropy keeps changing parts that are named like a menu or a notice and drops fixed ones inside an article."""
+    story = '<body><article><h2 id="discussion">Discussion {k}</h2><section id="notice"><p>Notice {n}</p></section><div class="social-policy">Policy of {k}</div><div class=x>Fixed line</div></article></body>'
+    date = '<body><div class="post-date">Day {k}</div><div class=c><p>Story {k} says {n} in many words</p></div></body>'
+    rows = [(k, f"http://one.example/{k}", story.format(k=k, n=k * k)) for k in range(20)] + [(100 + k, f"http://two.example/{k}", date.format(k=k, n=k * k)) for k in range(20)]
+    got = {r.page_id: r.text for r in html_tree.extract(pages(spark, rows)).collect()}
+    for k in range(20):
+        assert got[k] == f"Discussion {k}\nNotice {k * k}\nPolicy of {k}"
+        assert got[100 + k] == f"Day {k}\nStory {k} says {k * k} in many words"
+
+
+def test_small_article_does_not_hide_the_rest():
+    page = "<body><article><p>teaser</p></article><div><p>A text that is much longer than the teaser.</p></div></body>"
+    assert html_tree.main_text(page) == "teaser\nA text that is much longer than the teaser."
