@@ -51,6 +51,8 @@ from .components import components
 SHINGLE, THRESHOLD = 5, 75
 HOT_DOCS, FREQUENT, LATE_BITS = 2, 1 << 22, 24
 SPLIT = 64
+#: Buckets from here on hold identities of sets, not shingles.
+IDENTITY = 1 << 40
 #: A set's hashes have 64 - ROW_BITS bits; their low bits are 0.
 ROW_BITS = 12
 
@@ -136,6 +138,22 @@ def leading(h: np.ndarray, edge: np.ndarray, hot: np.ndarray) -> tuple[np.ndarra
     return keep, row[keep], nth[keep]
 
 
+def identities(h: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each row's set, the same wherever it stands in a slice."""
+    out = []
+    for seed in (11, 12):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(h, seed), dtype=np.uint64)])
+        out.append(total[edge[1:]] - total[edge[:-1]])
+    return out[0], out[1]
+
+
+def equal_sets(doc: np.ndarray, k1: np.ndarray, k2: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, representative of each row in that order): the smallest document stands for all with its set."""
+    by = np.lexsort((doc, k2, k1, n))
+    new = np.append(True, (k1[by[1:]] != k1[by[:-1]]) | (k2[by[1:]] != k2[by[:-1]]) | (n[by[1:]] != n[by[:-1]])) if len(by) else np.zeros(0, bool)
+    return by, by[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
 def _lead_rows(frequent, bits, doc_bits):
     def rows(stream):
         hot = frequent.value
@@ -147,19 +165,20 @@ def _lead_rows(frequent, bits, doc_bits):
                 n, doc = np.diff(edge), ids[a:b]
                 use = (n > 0) & known[a:b]
                 # equal sets of this slice: the smallest document stands for all
-                cells = np.append(0, np.cumsum(tk.mix(h, 11)))
-                cells2 = np.append(0, np.cumsum(tk.mix(h, 12)))
-                k1, k2 = cells[edge[1:]] - cells[edge[:-1]], cells2[edge[1:]] - cells2[edge[:-1]]
-                by = np.lexsort((doc, k2, k1, n, ~use))[: int(use.sum())]
-                new = np.append(True, (k1[by[1:]] != k1[by[:-1]]) | (k2[by[1:]] != k2[by[:-1]]) | (n[by[1:]] != n[by[:-1]])) if len(by) else np.zeros(0, bool)
-                if not len(by):
+                rows_ = np.flatnonzero(use)
+                if not len(rows_):
                     continue
-                rep = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+                k1, k2 = identities(h, edge)
+                by, rep = equal_sets(doc[rows_], k1[rows_], k2[rows_], n[rows_])
+                by, rep = rows_[by], rows_[rep]
                 twin = doc[by] != doc[rep]
                 if twin.any():
                     yield -1 - int(bl.doc_bucket(doc[:1], doc_bits)[0]), bl.pack(doc[by][twin], doc[rep][twin])
+                one = np.unique(rep)
                 use = np.zeros(len(n), bool)
-                use[by[new]] = True
+                use[one] = True
+                one = one[np.argsort(k1[one])]
+                yield from bl.by_bucket(IDENTITY + bl.high_bits(k1[one], doc_bits), k1[one], k2[one], n[one].astype(np.uint32), doc[one], delta=(0,))
                 at, row, nth = leading(h, edge, hot)
                 keep = use[row]
                 at, row, nth = at[keep], row[keep], nth[keep]
@@ -175,13 +194,28 @@ _PAIRS = pa.schema([("bucket", pa.int64()), ("block", pa.binary()), ("u", pa.int
 
 
 def _pivots(doc_bits):
-    """Of a range of shingles: blocks of (document, pivot) for those that share a leading shingle, and links of equal sets."""
+    """Of a range of shingles: blocks of (document, pivot, 0) for those that share a leading shingle. Of a range
+    of identities: links of equal sets, and blocks of (document, identity, 1) for those that another stands for."""
+
+    def _to_documents(doc, value, kind):
+        rows = list(bl.to_documents(doc, doc_bits, value, np.full(len(doc), kind, np.uint8)))
+        m = len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=_PAIRS)
 
     def work(bucket, held):
         if bucket < 0:
             u, v = bl.joined(held)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.binary()), pa.array(u), pa.array(v)], schema=_PAIRS)
             return
+        if bucket >= IDENTITY:
+            k1, k2, n, doc = bl.joined(held)
+            by, rep = equal_sets(doc, k1, k2, n)
+            twin = doc[by] != doc[rep]
+            by, rep = by[twin], rep[twin]
+            if len(by):
+                yield from _to_documents(doc[by], k1[by].view(np.int64), 1)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(by), pa.int64()), pa.nulls(len(by), pa.binary()), pa.array(doc[by]), pa.array(doc[rep])], schema=_PAIRS)
+            return
         h, doc, n, early = bl.joined(held)
         order = np.argsort(h)
         s = h[order]
@@ -207,9 +241,7 @@ def _pivots(doc_bits):
         x, p = doc[ok], pivot[ok]
         if len(x):
             pair = np.unique(np.stack([x, p], 1), axis=0)
-            rows = list(bl.to_documents(pair[:, 0], doc_bits, pair[:, 1]))
-            m = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=_PAIRS)
+            yield from _to_documents(pair[:, 0], pair[:, 1], 0)
 
     return bl.each_bucket(work)
 
@@ -220,7 +252,9 @@ def _members(region_bits):
     def work(docs: pa.Table, held: pa.Table) -> pa.Table:
         got, out = held.column("block").to_pylist(), []
         if got:
-            x, p = bl.joined(got)
+            x, p, kind = bl.joined(got)
+            gone, stood = set(zip(x[kind == 1].tolist(), p[kind == 1].tolist(), strict=True)), np.unique(x[kind == 1])
+            x, p = x[kind == 0], p[kind == 0]
             pair = np.unique(np.stack([x, p], 1), axis=0)
             x, p = pair[:, 0], pair[:, 1]
         for rb in docs.combine_chunks().to_batches() if got else ():
@@ -233,6 +267,11 @@ def _members(region_bits):
                 if not (hi > lo).any():
                     continue
                 h, edge = shingle_sets(buf, off)
+                if gone:  # another document with the same set is in its regions
+                    k1 = identities(h, edge)[0].view(np.int64)
+                    hi = np.where([bool(m) and (d, k) in gone for m, d, k in zip(np.isin(doc, stood).tolist(), doc.tolist(), k1.tolist(), strict=True)], lo, hi)
+                    if not (hi > lo).any():
+                        continue
                 at, row = tk.expand(lo, hi - lo)
                 region = p[at]
                 bucket = bl.high_bits(tk.mix(region.view(np.uint64), 6), region_bits)
@@ -251,18 +290,49 @@ def _members(region_bits):
 
 
 class Sets:
-    """Documents and their sets (ascending hashes)."""
+    """Documents and their sets (ascending hashes); `at` are their places in the label list of their region."""
 
-    def __init__(self, doc: np.ndarray, size: np.ndarray, h: np.ndarray):
+    def __init__(self, doc: np.ndarray, size: np.ndarray, h: np.ndarray, at: np.ndarray | None = None, label: np.ndarray | None = None):
         self.doc, self.size, self.h = doc, size.astype(np.int64), h
+        self.at = np.arange(len(doc)) if at is None else at
+        self.label = np.arange(len(doc)) if label is None else label  # shared by all parts of a region
         self.edge = np.append(0, np.cumsum(self.size))
+        self.code: np.ndarray | None = None  # the hashes as small numbers
+
+    def coded(self) -> None:
+        """For many overlaps: shingles are looked up by number then."""
+        names, code = np.unique(self.h, return_inverse=True)
+        self.code, self.mark = code.astype(np.int32), np.zeros(len(names), np.bool_)
+
+    def one_overlap(self, r: int, which: np.ndarray) -> np.ndarray:
+        """overlap with the set of row r."""
+        if self.code is None:
+            return self.overlap(self.of(r), which)
+        own = self.code[self.edge[r] : self.edge[r + 1]]
+        self.mark[own] = True
+        where, _ = tk.expand(self.edge[which], self.size[which])
+        hits = np.append(0, np.cumsum(self.mark[self.code[where]], dtype=np.int64))
+        self.mark[own] = False
+        end = np.cumsum(self.size[which])
+        return hits[end] - hits[end - self.size[which]]
 
     def of(self, k: int) -> np.ndarray:
         return self.h[self.edge[k] : self.edge[k + 1]]
 
     def some(self, which: np.ndarray) -> Sets:
         where, _ = tk.expand(self.edge[which], self.size[which])
-        return Sets(self.doc[which], self.size[which], self.h[where])
+        return Sets(self.doc[which], self.size[which], self.h[where], self.at[which], self.label)
+
+    def one(self) -> bool:
+        """Whether all are known to be one component."""
+        mine = self.label[self.at]
+        return bool((mine == mine[0]).all()) if len(mine) else True
+
+    def join(self, which: np.ndarray) -> None:
+        """Notes that these are one component."""
+        mine = np.unique(self.label[self.at[which]])
+        if len(mine) > 1:
+            self.label[np.isin(self.label, mine[1:])] = mine[0]
 
     def overlap(self, own: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Size of the intersection of a set with each of `which`."""
@@ -279,12 +349,15 @@ def linked(inter, n, m):
 
 
 def region_links(s: Sets, first: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links among the documents of a region with pivot `first`, enough of them for its components."""
+    """Links among the documents of a region with pivot `first`, enough of them for its components: pairs that links connect already are not compared."""
     m = len(s.doc)
+    if s.one():
+        return []
     inter = s.overlap(s.of(first), np.arange(m))
     near = linked(inter, s.size, s.size[first])
     near[first] = True
     out = [(s.doc[near], np.full(int(near.sum()), s.doc[first]))]
+    s.join(np.flatnonzero(near))
     rest = np.flatnonzero(~near)
     if len(rest) > SPLIT:
         return out + _split(s, near, first)
@@ -298,9 +371,15 @@ def region_links(s: Sets, first: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _against(s: Sets, r: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one document with those among the others whose size allows it."""
+    """Links of one document with those among the others whose size allows it, a few more at a time, as each link spares its component."""
     window = np.flatnonzero(among & (100 * np.minimum(s.size, s.size[r]) >= THRESHOLD * np.maximum(s.size, s.size[r])))
-    got = window[linked(s.overlap(s.of(r), window), s.size[window], s.size[r])]
+    out, take = [np.zeros(0, np.int64)], 16
+    while len(window := window[s.label[s.at[window]] != s.label[s.at[r]]]):
+        some, window, take = window[:take], window[take:], 2 * take
+        got = some[linked(s.one_overlap(r, some), s.size[some], s.size[r])]
+        out.append(got)
+        s.join(np.append(got, r))
+    got = np.concatenate(out)
     return s.doc[got], np.full(len(got), s.doc[r])
 
 
@@ -322,10 +401,13 @@ def _split(s: Sets, near: np.ndarray, first: int) -> list[tuple[np.ndarray, np.n
     cut = np.flatnonzero(np.append(True, pair[1:, 0] != pair[:-1, 0])) if len(pair) else np.zeros(0, int)
     for a, b in zip(cut, np.append(cut[1:], len(pair)), strict=False):
         who = pair[a:b, 1]
+        if (s.label[s.at[who]] == s.label[s.at[who[0]]]).all():
+            continue
         sub = s.some(who)
         if len(who) <= 0.9 * m:
             out += region_links(sub, int(np.searchsorted(who, pair[a, 0])))
             continue
+        sub.coded()
         for r in np.flatnonzero(~near[who]).tolist():
             out.append(_against(sub, r, np.ones(len(who), bool)))
     return out
@@ -345,6 +427,7 @@ def _regions(_, held):
     for a, b in zip(cut, np.append(cut[1:], len(region)), strict=True):
         if b - a > 1:
             own = s.some(member[a:b])
+            own = Sets(own.doc, own.size, own.h)
             first = int(np.flatnonzero(own.doc == region[a])[0]) if (own.doc == region[a]).any() else 0
             out += region_links(own, first)
     if out:

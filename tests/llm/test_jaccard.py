@@ -99,3 +99,27 @@ def test_components(spark):
 def test_empty(spark):
     assert jaccard.groups(documents(spark, [(1, "x")]).limit(0)).count() == 0
     assert as_set(jaccard.groups(documents(spark, [(1, None), (2, ""), (3, None)])), *COLUMNS) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
+
+
+def test_equal_sets_meet_once(spark):
+    """n copies give n - 1 twins, wherever they stand in a slice, and only one of them is in a region."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    text, others = sentence(rng, 40, 9000), [sentence(rng, 40, 9000) for _ in range(200)]
+    r = [(k, text if k % 2 else others[k // 2]) for k in range(400)]
+    hot = SimpleNamespace(value=np.zeros(1 << (jaccard.LATE_BITS - 6), np.uint64))
+    slices = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array([t for _, t in part])], names=["doc_id", "text"]) for part in (r[:300], r[300:])]
+    held = defaultdict(list)
+    for rb in jaccard._lead_rows(hot, 3, 3)(slices):
+        for b, block in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+            held[b].append(block)
+    twins = [x for b, blocks in held.items() if b < 0 for x in zip(*map(list, jaccard.bl.joined(blocks)), strict=True)]
+    assert len(twins) == 150 - 1 + 50 - 1  # of each slice, to its first copy
+    merged = [rb for b, blocks in held.items() if b >= jaccard.IDENTITY for rb in jaccard._pivots(3)([jaccard.bl.batch([(b, x) for x in blocks])])]
+    links = [(u, v) for rb in merged for u, v in zip(rb.column(2).to_pylist(), rb.column(3).to_pylist(), strict=True) if u is not None]
+    assert links == [(301, 1)]
+    assert as_set(jaccard.groups(documents(spark, r)), *COLUMNS) == brute(r)
