@@ -11,10 +11,11 @@ highest score decides; ties go to the language first in order.
 
 Training reads documents whose lang is not null and whose crc32(doc_id as text) modulo
 FOLDS is not HELD_OUT, of each language about TRAIN_DOCS chosen by a hash of the id (a
-bounded sample, as parameters). At most 64 languages, those with most documents, get a
-bit. The filter has at most 64 * PROFILE n-grams and 2**SLOT_BITS slots, so its size
-(8 MB) does not depend on the data; it is sent to the tasks. Prediction is one pass
-without a shuffle over whole texts.
+bounded sample, as parameters). Every language gets a bit: a slot has one word for each
+64 languages. The filter has at most PROFILE n-grams a language and 2**SLOT_BITS slots, so
+its size (8 MB for each 64 languages) depends on their number only; it is sent to the tasks.
+A language's fill does not depend on the others. Prediction is one pass without a shuffle
+over whole texts.
 
 Defined cases: null text and text without a letter are `und` with score 0. A text with
 letters whose n-grams are in no language gets the first language with score 0. Null ids
@@ -27,6 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -105,7 +107,7 @@ class Filter:
 
     def __init__(self, languages: list[str], slots: np.ndarray):
         self.languages, self.slots = languages, slots
-        self.false = np.array([float(((slots >> np.uint64(k)) & np.uint64(1)).mean()) ** PROBES for k in range(len(languages))])
+        self.false = np.array([float(((slots[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) ** PROBES for k in range(len(languages))])
 
     @staticmethod
     def _places(h: np.ndarray):
@@ -114,22 +116,24 @@ class Filter:
 
     @classmethod
     def build(cls, profiles: dict[str, np.ndarray]) -> Filter:
-        names, slots = sorted(profiles), np.zeros(1 << SLOT_BITS, np.uint64)
+        names, slots = sorted(profiles), np.zeros((-(-len(profiles) // 64), 1 << SLOT_BITS), np.uint64)
         for k, name in enumerate(names):
             for at in cls._places(profiles[name]):
-                slots[at] |= np.uint64(1) << np.uint64(k)
+                slots[k // 64, at] |= np.uint64(1) << np.uint64(k % 64)
         return cls(names, slots)
 
     def scores(self, h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         """Corrected share of n-grams by row and language."""
-        mask = np.full(len(h), np.uint64(0xFFFFFFFFFFFFFFFF))
-        for at in self._places(h):
-            mask &= self.slots[at]
+        places = list(self._places(h))
         n = np.bincount(row, minlength=rows).astype(float)
         edge = np.searchsorted(row, np.arange(rows + 1))
         out = np.zeros((rows, len(self.languages)))
         for k, f in enumerate(self.false):
-            total = np.append(0, np.cumsum(((mask >> np.uint64(k)) & np.uint64(1)).astype(np.int64)))
+            if k % 64 == 0:
+                mask = self.slots[k // 64][places[0]]
+                for at in places[1:]:
+                    mask &= self.slots[k // 64][at]
+            total = np.append(0, np.cumsum(((mask >> np.uint64(k % 64)) & np.uint64(1)).astype(np.int64)))
             hits = total[edge[1:]] - total[edge[:-1]]
             out[:, k] = np.clip((hits - n * f) / np.maximum(n * (1 - f), 1e-9), 0, 1)
         return out
@@ -147,18 +151,18 @@ def has_letters(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 def fitted(docs: DataFrame) -> Filter | None:
     """The filter for the languages of the training documents."""
     known = docs.where("lang is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT)
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
+    most = known.groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").collect()
     if not most:
         return None
-    share = F.create_map(*[x for r in most for x in (F.lit(r["lang"]), F.lit(min(1.0, TRAIN_DOCS / r["count"])))])
-    chosen = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, TRAIN_DOCS / r["count"])) for r in most], "lang string, _share double"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
+    chosen = known.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(share, "lang").where(part < F.col("_share"))
     grams_ = chosen.selectExpr("cast(lang as string) lang", "cast(text as string) text").mapInArrow(_profile, "lang string, gram long, docs long")
-    profiles = {}
-    totals = grams_.groupBy("lang", "gram").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS).persist()
-    for r in most:  # each: at most PROFILE numbers
-        top = totals.where(F.col("lang") == r["lang"]).orderBy(F.desc("docs"), "gram").limit(PROFILE).select("gram").toPandas()
-        profiles[r["lang"]] = top["gram"].to_numpy(np.int64).view(np.uint64)
-    totals.unpersist()
+    totals = grams_.groupBy("lang", "gram").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS)
+    best = W.partitionBy("lang").orderBy(F.desc("docs"), "gram")  # of each at most PROFILE numbers
+    top = totals.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= PROFILE).select("lang", "gram").toPandas()
+    profiles = {r["lang"]: np.zeros(0, np.uint64) for r in most}
+    profiles |= {lang: g.to_numpy(np.int64).view(np.uint64) for lang, g in top.groupby("lang")["gram"]}
     return Filter.build(profiles)
 
 

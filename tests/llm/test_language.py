@@ -64,3 +64,14 @@ def test_filter_returns_all_languages_of_a_gram():
     f = language.Filter.build({"a": a, "b": np.concatenate([b, a[:250]])})
     s = f.scores(np.concatenate([a, b]), np.repeat([0, 1], 500), 2)
     assert s[0, 0] > 0.999 and abs(s[0, 1] - 0.5) < 0.02 and s[1, 0] < 0.02 and s[1, 1] > 0.999
+
+
+def test_more_than_64_languages(spark):
+    """Every language has a bit, the rarest too."""
+    names = [f"l{k:02d}" for k in range(70)]
+    words = {x: ["".join(random.Random(f"{x}{j}").choices("abcdefghijklmnopqrstuvwxyz", k=6)) for j in range(8)] for x in names}
+    rows = [(k * 70 + i, " ".join(words[x]), x) for k in range(8) for i, x in enumerate(names) if k < 7 or i < 64]
+    got = language.identify(frame(spark, rows)).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert len(got) == len(rows) and {r.lang_pred for r in got} == set(names)
+    assert all(r.lang_pred == want[r.doc_id] for r in got)
