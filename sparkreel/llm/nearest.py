@@ -16,9 +16,12 @@ is all that any ranking can use. The parameters suit unit vectors of about 64
 dimensions without cluster structure, where neighbours are hardly nearer than other
 rows; recall against brute force is measured in the tests (0.9 at least).
 
-Defined cases: a row whose id or vector is null, whose vector is zero, holds null or
-non-finite numbers or has another length than most (the longest length counts) takes
-no part. Rows with the id of the query are not its candidates. Several candidates of
+Queries for which the tables find fewer than k are searched exactly, in blocks against
+all rows, so they get all candidates there are, up to k.
+
+Defined cases: a row whose id or vector is null, or whose vector is empty, zero or holds
+null or non-finite numbers takes no part. Vectors of one length are each other's
+candidates; every length has buckets of its own. Rows with the id of the query are not its candidates. Several candidates of
 one id count once, with the best score. Ties go to the smaller id. Empty tables give
 no rows.
 """
@@ -69,6 +72,11 @@ class Hashes:
         return self.key(cell[:, None, :] + self.steps[order], table)
 
 
+def lengths(rb: pa.RecordBatch) -> list[int]:
+    """Lengths of a batch's vectors."""
+    return sorted(x for x in pc.unique(pc.list_value_length(rb.column(1))).to_pylist() if x)
+
+
 def usable(rb: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, float vectors) of the rows that take part."""
     ids, vec = rb.column(0), rb.column(1)
@@ -81,21 +89,44 @@ def usable(rb: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ids.take(take).to_numpy(zero_copy_only=False)[good], v[good]
 
 
-def _send(dim, params, parts, k, every):
+def _send(params, parts, every):
+    """Rows and query probes by part of a bucket. Without params all vectors of a length are one bucket, and queries are marked in the third column."""
+
     def rows(stream):
-        hashes = Hashes(dim, *params[:3], params[4])
+        made: dict[int, Hashes] = {}
         for rb in stream:
-            ids, v = usable(rb, dim)
+            for dim in lengths(rb):
+                if params is None:
+                    yield from whole(rb, dim)
+                    continue
+                if dim not in made:
+                    if len(made) > 100:
+                        made.clear()
+                    made[dim] = Hashes(dim, *params[:3], params[4])
+                yield from probed(rb, dim, made[dim])
+
+    def whole(rb, dim):
+        key = np.full(1, dim, np.uint64)
+        short = rb.filter(rb.column(2))
+        for kind, part_of in ((0, rb), (1, short)):
+            ids, v = usable(part_of, dim)
+            if len(ids):
+                part = tk.mix(ids.astype(np.int64).view(np.uint64), 9) % np.uint64(parts)
+                to = (part if kind == 0 else np.tile(np.arange(parts, dtype=np.uint64), len(ids)))
+                yield from _blocks(tk.mix(key + (to << np.uint64(32)), 3), kind, np.repeat(np.arange(len(ids)), 1 if kind == 0 else parts), ids, v.view(np.uint64).reshape(len(v), -1))
+
+    def probed(rb, dim, hashes):
+        for ids, v in [usable(rb, dim)]:
             if not len(ids):
                 continue
             bits = v.view(np.uint64).reshape(len(v), -1)
             asks = np.flatnonzero(ids % every == 0)
             for t in range(hashes.tables):
-                key = hashes.key(np.floor(hashes.place(v, t)), t)
+                key = hashes.key(np.floor(hashes.place(v, t)), t) + np.uint64(dim)
                 part = tk.mix(ids.astype(np.int64).view(np.uint64), 9) % np.uint64(parts)
                 yield from _blocks(tk.mix(key + part, 3), 0, np.arange(len(ids)), ids, bits)
                 if len(asks):
-                    probe = hashes.probes(v[asks], t, params[3])
+                    probe = hashes.probes(v[asks], t, params[3]) + np.uint64(dim)
                     to = tk.mix(probe[:, :, None] + np.arange(parts, dtype=np.uint64), 3)
                     row = np.broadcast_to(asks[:, None, None], to.shape)
                     yield from _blocks(to.ravel(), 1, row.ravel(), ids, bits)
@@ -106,7 +137,7 @@ def _send(dim, params, parts, k, every):
         cut = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         for a, b in zip(cut, np.append(cut[1:], len(s)), strict=True):
             r = row[order[a:b]]
-            yield int(s[a]), bl.pack(np.full(len(r), kind, np.uint8), ids[r], bits[r].ravel())
+            yield int(s[a]), bl.pack(np.full(len(r), kind, np.uint8), ids[r], np.full(len(r), bits.shape[1], np.int32), bits[r].ravel())
 
     return lambda stream: bl.batches(rows(stream))
 
@@ -161,10 +192,15 @@ def search_part(qid, q, vid, v, k):
     return qid, vid, score
 
 
-def _search(dim, k, query_bits):
+def _search(k, query_bits):
     def work(_, held):
-        kind, ids, bits = bl.joined(held)
-        v = bits.view(np.float64).reshape(-1, dim)
+        by: dict[int, list] = {}
+        for kind, ids, dims, bits in map(bl.unpack, held):
+            by.setdefault(int(dims[0]), []).append((kind, ids, bits.view(np.float64).reshape(len(ids), -1)))
+        for same in by.values():
+            yield from _one(*(np.concatenate(x) for x in zip(*same, strict=True)))
+
+    def _one(kind, ids, v):
         asks = kind == 1
         if asks.any() and not asks.all():
             q, vid, score = search_part(ids[asks], v[asks], ids[~asks], v[~asks], k)
@@ -186,9 +222,19 @@ def _rank(k):
 def nearest(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, probes: int = PROBES, seed: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k nearest found."""
     rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("vector"))
-    facts = rows.agg(F.count("id").alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    n, dim = facts["n"] or 0, max(1, facts["dim"] or 1)
-    parts = max(1, -(-n // (PART_ROWS * 16)))
-    sent = rows.mapInArrow(_send(dim, (tables, projections, width, probes, seed), parts, k, every), bl.BLOCK_SCHEMA)
-    found = bl.regrouped(sent).mapInArrow(_search(dim, k, bl.bits_for(n / every, 2000)), bl.BLOCK_SCHEMA)
-    return bl.regrouped(found).mapInArrow(_rank(k), OUT)
+    n = rows.agg(F.count("id").alias("n")).first()["n"] or 0
+    parts, query_bits = max(1, -(-n // (PART_ROWS * 16))), bl.bits_for(n / every, 2000)
+
+    def ranked(sent):
+        found = bl.regrouped(sent).mapInArrow(_search(k, query_bits), bl.BLOCK_SCHEMA)
+        return bl.regrouped(found).mapInArrow(_rank(k), OUT)
+
+    first = bl.cut(ranked(rows.mapInArrow(_send((tables, projections, width, probes, seed), parts, every), bl.BLOCK_SCHEMA)))
+    full = first.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), F.lit(True).alias("full"))
+    marked = rows.join(full, "id", "left").select("id", "vector", (F.col("full").isNull() & (F.col("id") % every == 0)).alias("short"))
+    finite = "not exists(vector, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(vector, x -> x <> 0)"
+    marked = marked.withColumn("short", F.coalesce(F.col("short") & F.expr(finite), F.lit(False)))
+    if not marked.where("short").limit(1).count():
+        return first
+    again = ranked(marked.mapInArrow(_send(None, max(1, -(-n // PART_ROWS)), every), bl.BLOCK_SCHEMA))
+    return first.join(full.select(F.col("id").alias("query_id")), "query_id", "left_semi").unionByName(again)

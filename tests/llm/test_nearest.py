@@ -71,3 +71,15 @@ def test_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got = collected(nearest.nearest(df))
     assert [x for _, x, _ in got[0]] == [1, 2]
+
+
+def test_lengths_and_lonely_queries(spark):
+    """A stray longer row removes nothing, and a query far from all buckets gets all candidates there are."""
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=16).tolist()) for k in range(60)]
+    stray = [(900, rng.normal(size=17).tolist()), (901, rng.normal(size=17).tolist())]
+    df = spark.createDataFrame(rows + stray, "vec_id long, embedding array<double>").repartition(3)
+    got = collected(nearest.nearest(df, tables=1, width=0.2, probes=1))
+    want = brute(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+    assert recall(got, want) == 1 and set(got) == set(want) | {900}
+    assert [x for _, x, _ in got[900]] == [901]
