@@ -85,17 +85,18 @@ def mix(docs: DataFrame, repetitions: float = REPETITIONS, entropy: float | None
     def in_block(df):
         return df.join(sources, "_source").withColumn("_block", F.conv(F.substring(_hash(F.col("_id"), s), 1, 8), 16, 10).cast("long") % F.col("blocks"))
 
+    all_once = " or _epoch = 0" if budget is None else ""  # quotas are the sources' tokens or more; documents without tokens may stand after them
     blocks = in_block(rows.select("_source", "_tokens", "_id")).groupBy("_source", "_block", "tokens", "quota").agg(F.sum("_tokens").alias("_size"))
     epochs = F.when(F.col("tokens") > 0, F.ceil(F.col("quota") / F.col("tokens"))).otherwise(1).cast("long")
     blocks = blocks.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(epochs, F.lit(1).cast("long")) - 1)))
     order = W.partitionBy("_source", "_epoch").orderBy(_hash(F.col("_source"), F.col("_block"), F.col("_epoch"), s), "_block")
     blocks = blocks.withColumns({"_rank": F.row_number().over(order).cast("long") - 1, "_before": F.sum("_size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("_size")})
-    blocks = blocks.withColumn("_left", F.col("quota") - F.col("_epoch") * F.col("tokens") - F.col("_before")).where("_left > 0 or tokens = 0").select("_source", "_block", "_epoch", "_rank", "_left", "tokens")
+    blocks = blocks.withColumn("_left", F.col("quota") - F.col("_epoch") * F.col("tokens") - F.col("_before")).where(f"_left > 0 or tokens = 0{all_once}").select("_source", "_block", "_epoch", "_rank", "_left", "tokens")
 
     read = in_block(rows).drop("tokens", "exponent", "weight", "quota", "blocks").join(blocks, ["_source", "_block"])
     inside = W.partitionBy("_source", "_block", "_epoch").orderBy(_hash(F.col("_id"), F.col("_epoch"), s), "_id", F.xxhash64("text"))
     read = read.withColumns({"_position": F.row_number().over(inside).cast("long") - 1, "_upto": F.sum("_tokens").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("_tokens")})
-    read = read.where("_upto < _left or tokens = 0")
+    read = read.where(f"_upto < _left or tokens = 0{all_once}")
     extra = {"epoch": "_epoch", "block": "_block", "block_rank": "_rank", "position": "_position", "tokens": "_tokens"}
     return read.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(v).alias(k) for k, v in extra.items() if k not in docs.columns])
 

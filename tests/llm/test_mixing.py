@@ -52,3 +52,12 @@ def test_weights_follow_the_exponent(spark):
 def test_empty(spark):
     assert mixing.mix(documents(spark, [(1, "x")]).limit(0)).count() == 0
     assert mixing.mix(documents(spark, [(1, None), (2, "")])).count() == 2
+
+
+def test_texts_without_tokens_in_the_largest_source(spark):
+    """Without a budget they are read once, wherever they stand."""
+    rows_ = [(k, "w " * 20 if k % 2 else "", "big") for k in range(200)] + [(1000 + k, "w w", "small") for k in range(20)]
+    df = spark.createDataFrame([(*r, 1) for r in rows_], "doc_id long, text string, source string, n int")
+    for seed in range(3):
+        first = [x.doc_id for x in mixing.mix(df, block_tokens=100, seed=seed).where("epoch = 0").select("doc_id").collect()]
+        assert sorted(first) == sorted(r[0] for r in rows_)
