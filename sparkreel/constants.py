@@ -29,8 +29,25 @@ CORR_SCALE, RECHECK_LOW, RECHECK_HIGH = 2, 0.55, 0.85
 TILE_ROWS, MAX_STITCH_BYTES, PART_ROWS = 1024, 128 * 1024 * 1024, 8000
 
 # OCR queue
-OCR_ATTEMPTS, OCR_SPACING, OCR_WAITING, OCR_TOTAL, OCR_ERRORS, OCR_KEEP = 8, 3, 8, 64, 3, 3
+OCR_ATTEMPTS, OCR_SPACING, OCR_WAITING, OCR_TOTAL, OCR_ERRORS = 8, 3, 8, 64, 3
 OCR_UPSCALE = 2
 
 # jobs
 STALE_MS = 5 * 60 * 1000
+
+# Patterns and formats of time stamps, senders and files. They must accept and give
+# exactly these texts, so they are stated as they are.
+TIMESTAMP = r"(20\d\d)-(\d\d)-(\d\d)\s*(\d\d):?(\d\d)"
+TYPED_TIMESTAMP = r"^\s*(\d{4})[-/](\d{1,2})[-/](\d{1,2})[\sT_]*(\d{1,2}):?(\d{2})\s*$"
+STORED_TIMESTAMP = r"^(\d{4}-\d{2}-\d{2})_(\d{2})(\d{2})$"
+JAPANESE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー々〆〇]"
+NOISE_MARKS = r"|\/_~`^"
+BLANKS = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+EXTENSION = r"\.[^.]+$"
+VIDEO_FILE = r"(?i)\.(mp4|mov|m4v)$"
+MAIL_NAME, UNKNOWN_MAIL, IMAGE_NAME = "mail_", "mail_unknown_%02d", "image_%03d.png"
+PROVISIONAL_MAIL, PART_SUFFIX, STITCHED_SUFFIX = "mail_%02d_seg%d_t%s", "_p%dof%d", "_stitched"
+ARCHIVE_SUFFIX = "_rescue.zip"
+
+# progress: below this share no remaining time is shown; without any for this long, work has stalled
+ETA_FROM, STALL_WARN_MS, STALL_ABORT_MS = 0.02, 180_000, 600_000

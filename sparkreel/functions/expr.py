@@ -88,7 +88,13 @@ def chunk_slot(start_s: Column, fps: Column, i: Column) -> Column:
 
 
 def eta(elapsed: Column, progress: Column) -> Column:
-    return F.when(progress > 0.02, elapsed / progress * (F.lit(1.0) - progress))
+    """Remaining time, null while there is too little progress to tell."""
+    return F.when(progress > K.ETA_FROM, elapsed / progress * (F.lit(1.0) - progress))
+
+
+def stall(running: Column, silent_ms: Column) -> Column:
+    """What a running job's silence means: null, warn or abort."""
+    return F.when(running & (silent_ms > K.STALL_ABORT_MS), "abort").when(running & (silent_ms > K.STALL_WARN_MS), "warn")
 
 
 # --- hashes --------------------------------------------------------------------------
@@ -127,10 +133,6 @@ def optimal_dft_size(n: Column, limit: int = 1 << 16) -> Column:
 
 # --- text ----------------------------------------------------------------------------
 
-_STAMP = r"(20[0-9][0-9])-([0-9][0-9])-([0-9][0-9])\s*([0-9][0-9]):?([0-9][0-9])"
-_TYPED = r"^\s*([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})[\sT_]*([0-9]{1,2}):?([0-9]{2})\s*$"
-
-
 def valid_date_time(y: Column, mo: Column, d: Column, h: Column, mi: Column) -> Column:
     """Whether the five numbers are a moment of the calendar."""
     clock = h.between(0, 23) & mi.between(0, 59)
@@ -143,52 +145,47 @@ def _numbers(text: Column, pattern: str) -> list[Column]:
 
 def parse_timestamp(text: Column) -> Column:
     """YYYY-MM-DD_HHMM of the first match, or null if there is none or it is no date."""
-    parts = _numbers(text, _STAMP)
+    parts = _numbers(text, K.TIMESTAMP)
     ok = (parts[0] != "") & valid_date_time(*[p.try_cast("int") for p in parts])
     return F.when(ok, F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2], F.lit("_"), parts[3], parts[4]))
 
 
 def format_timestamp(ts: Column) -> Column:
-    return F.regexp_replace(ts, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})_([0-9]{2})([0-9]{2})$", "$1 $2:$3")
+    return F.regexp_replace(ts, K.STORED_TIMESTAMP, "$1 $2:$3")
 
 
 def normalize_timestamp(text: Column) -> Column:
     """YYYY-MM-DD_HHMM of what a person typed, or null."""
-    parts = _numbers(text, _TYPED)
+    parts = _numbers(text, K.TYPED_TIMESTAMP)
     n = [p.try_cast("int") for p in parts]
     ok = (parts[0] != "") & valid_date_time(*n)
     return F.when(ok, F.format_string("%s-%02d-%02d_%02d%02d", parts[0], *n[1:]))
 
 
-_CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30FC}\x{3005}\x{3006}\x{3007}]"
-
-
 def clean_sender(text: Column) -> Column:
-    """One line without noise marks; no blanks between CJK characters; null if nothing is left."""
-    s = F.regexp_replace(text, r"[\r\n]+", " ")
-    s = F.regexp_replace(s, r"[|\\/_~`^]+", "")
-    s = F.regexp_replace(s, r"\s+", " ")
-    s = F.regexp_replace(s, f"(?<={_CJK}) (?={_CJK})", "")
-    return F.nullif(F.trim(s), F.lit(""))
+    """The words of a text on one line without noise marks, Japanese words unspaced; null if nothing is left."""
+    words = F.filter(F.split(F.translate(text, K.NOISE_MARKS, ""), K.BLANKS), lambda w: w != "")
+    glued = F.regexp_replace(F.array_join(words, " "), f"(?<={K.JAPANESE}) (?={K.JAPANESE})", "")
+    return F.nullif(glued, F.lit(""))
 
 
 def mail_file(ts: Column, ordinal: Column, dup: Column) -> Column:
-    base = F.when(ts.isNotNull(), F.concat(F.lit("mail_"), ts)).otherwise(F.format_string("mail_unknown_%02d", ordinal))
+    base = F.when(ts.isNotNull(), F.concat(F.lit(K.MAIL_NAME), ts)).otherwise(F.format_string(K.UNKNOWN_MAIL, ordinal))
     return F.concat(base, F.when(dup > 0, F.concat(F.lit("_"), (dup + 1).cast("string"))).otherwise(F.lit("")), F.lit(".png"))
 
 
 def image_file(ordinal: Column) -> Column:
-    return F.format_string("image_%03d.png", ordinal)
+    return F.format_string(K.IMAGE_NAME, ordinal)
 
 
 def stem(name: Column) -> Column:
     """A file name without its last extension."""
-    return F.regexp_replace(name, r"\.[^.]+$", "")
+    return F.regexp_replace(name, K.EXTENSION, "")
 
 
 def accepts_file(name: Column, mime: Column) -> Column:
     """Video files, by extension or media type."""
-    return name.rlike(r"(?i)\.(mp4|mov|m4v)$") | F.coalesce(mime.startswith("video/"), F.lit(False))
+    return name.rlike(K.VIDEO_FILE) | F.coalesce(mime.startswith("video/"), F.lit(False))
 
 
 def accepts_message(message_job: Column, active_job: Column) -> Column:

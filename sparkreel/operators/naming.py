@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import expr as X
 
 
@@ -35,14 +36,22 @@ def assign_names(outputs: DataFrame) -> DataFrame:
     base = F.when(F.col("_head"), X.mail_file(F.col("_ts"), F.col("_mail"), F.when(F.col("_ts").isNotNull(), again).otherwise(0)))
     o = o.withColumn("_base", base)
     shared = F.last("_base", ignorenulls=True).over(seg.rowsBetween(W.unboundedPreceding, 0))
-    part = F.concat(X.stem(shared), F.format_string("_p%dof%d.png", "part_index", "part_total"))
+    part = F.concat(X.stem(shared), F.format_string(K.PART_SUFFIX + ".png", "part_index", "part_total"))
     name = F.when(F.col("kind") == "image", X.image_file(F.col("_image"))).when(F.col("part_index").isNotNull(), part).otherwise(F.col("_base"))
     return o.withColumn("name", name).drop("_ts", "_head", "_mail", "_image", "_base")
 
 
-def provisional_name(kind: F.Column, ordinal: F.Column, seg: F.Column, t: F.Column) -> F.Column:
-    """Name of an output while its video is still being read."""
-    return F.format_string("%s_%02d_seg%d_t%s.png", kind, ordinal, seg, F.format_string("%.1f", t))
+def provisional_name(kind: F.Column, ordinal: F.Column, seg: F.Column, t: F.Column, stitched: F.Column | None = None, part_index: F.Column | None = None, part_total: F.Column | None = None) -> F.Column:
+    """Name of an output while its video is still being read.
+
+    A stitched mail in several parts names the part, one in a single part says that it is stitched.
+    """
+    mail = F.format_string(K.PROVISIONAL_MAIL, ordinal, seg, F.format_string("%.3f", t))
+    if stitched is not None:
+        total = F.lit(1) if part_total is None else F.coalesce(part_total, F.lit(1))
+        part = F.lit("") if part_total is None else F.format_string(K.PART_SUFFIX, part_index, part_total)
+        mail = F.concat(mail, F.when(stitched & (total > 1), part).when(stitched, K.STITCHED_SUFFIX).otherwise(""))
+    return F.when(kind == "image", X.image_file(ordinal)).otherwise(F.concat(mail, F.lit(".png")))
 
 
 def metadata(named: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,28 +35,53 @@ def candidates(stable: DataFrame) -> DataFrame:
 def greedy(items: DataFrame, keys: list[str], order: list[str], h: str = "h", distance: int = K.DUP_DISTANCE) -> DataFrame:
     """Items in order, with `kept`: no kept item before is within `distance` bits.
 
-    The rule depends on the order and is not transitive, so it is a fold over the sorted items of
-    a key. Keys are streams or labels whose kept items fit in memory; for large keys use
-    candidate_edges first and fold over those items only that have an edge.
+    The rule depends on the order and is not transitive. Items without any neighbour within the
+    distance are kept at once; they are told by near_pairs, without a pass over a whole key. The
+    others are judged in order in one fold per key, which sees only them, each with its earlier
+    neighbours.
+    """
+    place = F.struct(*[F.col(f"`{f}`").alias(f) for f in order])
+    near = near_pairs(items.select(*keys, place.alias("_at"), F.col(h).alias("_h")), keys, "_at", "_h", distance, min(distance + 1, 8))
+    earlier = near.groupBy(*keys, F.col("b").alias("_at")).agg(F.collect_set("a").alias("_before"))
+
+    def fold(group: pa.Table) -> pa.Table:
+        """The items that a kept one precedes; an earlier neighbour that is not among them is kept."""
+        rows = sorted((tuple(at.values()), [tuple(x.values()) for x in before], k) for k, (at, before) in enumerate(zip(group["_at"].to_pylist(), group["_before"].to_pylist(), strict=True)))
+        gone, places = set(), []
+        for at, before, k in rows:
+            if any(x not in gone for x in before):
+                gone.add(at)
+                places.append(k)
+        return group.take(pa.array(places, pa.int64())).drop_columns(["_before"])
+
+    lost = earlier.groupBy(*keys).applyInArrow(fold, earlier.drop("_before").schema).withColumn("_gone", F.lit(True))
+    marked = items.withColumn("_at", place)
+    return marked.join(lost, [*keys, "_at"], "left").withColumn("kept", F.col("_gone").isNull()).select(*[F.col(f"`{c}`") for c in items.columns], "kept")
+
+
+def near_pairs(items: DataFrame, keys: list[str], place: str, h: str, distance: int, bands: int = 4) -> DataFrame:
+    """Pairs a < b (by place) of a key within `distance` bits: (*keys, a, b, distance).
+
+    64 bits are cut into bands; of a pair one band differs in at most distance // bands bits. So b
+    stands in each band under its bits, and a is sent there under its bits with every choice of
+    that few flipped. Few wide bands have few chance hits, which suits large keys; distance + 1
+    bands need no flips, which suits many small ones.
     """
-    fields = [*order, h]
-    item = F.struct(*[F.col(f).alias(f) for f in fields])
-    folded = items.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    kept = F.aggregate("_all", F.filter("_all", lambda z: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda y: X.hamming(y[h], x[h]) <= distance), acc).otherwise(F.array_append(acc, x)))
-    chosen = folded.select(*keys, F.explode(kept).alias("_k")).select(*keys, *[F.col(f"_k.{f}").alias(f) for f in fields], F.lit(True).alias("kept"))
-    return items.join(chosen, [*keys, *fields], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    width, flips = 64 // bands, distance // bands
+    masks = [sum(1 << b for b in c) for k in range(flips + 1) for c in combinations(range(width), k)]
+    bits = lambda k: F.shiftrightunsigned(h, k * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    cell = lambda k, mask: F.struct(F.lit(k).alias("band"), bits(k).bitwiseXOR(F.lit(mask).cast("long")).alias("bits"))
+    own = F.array(*[cell(k, 0) for k in range(bands)])
+    probes = F.array(*[cell(k, m) for k in range(bands) for m in masks])
+    rows = lambda cells, at, hash_: items.select(*keys, F.col(place).alias(at), F.col(h).alias(hash_), F.explode(cells).alias("_c")).select(*keys, at, hash_, "_c.band", "_c.bits")
+    pairs = rows(probes, "a", "_ha").join(rows(own, "b", "_hb"), [*keys, "band", "bits"]).where("a < b")
+    gap = X.hamming(F.col("_ha"), F.col("_hb"))
+    return pairs.where(gap <= distance).select(*keys, "a", "b", gap.alias("distance")).distinct()
 
 
 def candidate_edges(items: DataFrame, id_: str, h: str, distance: int) -> DataFrame:
-    """Pairs (a < b) within `distance` bits, by bands: of distance + 1 bands, one must be equal."""
-    n = distance + 1
-    cuts = [round(k * 64 / n) for k in range(n + 1)]
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.shiftleft(F.col(h), a), 64 - (b - a)).alias("bits")) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
-    rows = items.select(F.col(id_).alias("id"), F.col(h).alias("h"), F.explode(bands).alias("k")).select("id", "h", "k.band", "k.bits")
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.id") < F.col("b.id")))
-    pairs = pairs.where(X.hamming(F.col("a.h"), F.col("b.h")) <= distance)
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), X.hamming(F.col("a.h"), F.col("b.h")).alias("distance")).distinct()
+    """Pairs (a < b) within `distance` bits of a table, by near_pairs."""
+    return near_pairs(items.select(F.col(id_).alias("_at"), F.col(h).alias("_h")), [], "_at", "_h", distance)
 
 
 def pending(images: DataFrame, distance: int = K.DUP_DISTANCE, limit: int = K.MAX_PENDING) -> DataFrame:

@@ -29,9 +29,16 @@ def outputs_of(outputs: DataFrame, job_id) -> DataFrame:
     return outputs.where(F.col("job_id") == F.lit(job_id)).orderBy("seq")
 
 
-def patch(jobs: DataFrame, patches: DataFrame, key: str, columns: list[str], now: F.Column | None = None) -> DataFrame:
-    """jobs with the columns that a patch names; a patch of null is told apart by has_<column>."""
+def patch(jobs: DataFrame, patches: DataFrame, key: str, columns: list[str], now: F.Column | None = None, fallback: DataFrame | None = None) -> DataFrame:
+    """jobs with the columns that a patch names; a patch of null is told apart by has_<column>.
+
+    A patch for a job that is not there changes the job's row in `fallback` (columns of jobs) and
+    adds it; without such a row it does nothing.
+    """
     p = patches.select(key, *[F.col(c).alias(f"_{c}") for c in columns], *[F.col(f"has_{c}").alias(f"_has_{c}") for c in columns], F.lit(True).alias("_hit"))
+    if fallback is not None:
+        absent = fallback.join(p.select(key), key, "left_semi").join(jobs.select(key), key, "left_anti")
+        jobs = jobs.unionByName(absent.select(*jobs.columns))
     j = jobs.join(p, key, "left")
     for c in columns:
         j = j.withColumn(c, F.when(F.col(f"_has_{c}"), F.col(f"_{c}")).otherwise(F.col(c)))
@@ -72,6 +79,11 @@ def without(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return table.join(gone.select(F.col(key)).distinct(), key, "left_anti")
 
 
+def cleared(table: DataFrame) -> DataFrame:
+    """A table of the same columns without rows: what both tables become when the store is cleared."""
+    return table.where(F.lit(False))
+
+
 def merged_meta(updates: DataFrame) -> DataFrame:
     """Per video a map from segment to its metadata; later fields replace earlier ones, absent ones stay."""
     one = folded(updates.withColumn("_k", F.struct("video_id", "seg")), "_k", ["n"], ["timestamp", "sender"])

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..operators import frames as fr
 
-DUP_RADIUS = 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,10 +123,23 @@ signs AS (SELECT vec_id, label, (list_reduce(list_transform(embedding[2:], lambd
     + CASE WHEN embedding[1] > 0 THEN -9223372036854775808 ELSE 0 END)::BIGINT AS h FROM embeddings)"""
 
 
+def near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of eight hashes (vec_id, label, h): the first one's sign hash with four bits flipped, by the id, so that some pairs are within the production distance and some are not."""
+    s = sign_hashes(spark, sf_dir)
+    first = s.select(F.col("vec_id").alias("_first"), "label", "h")
+    flip = " ^ ".join(f"shiftleft(1L, cast(vec_id * {a} % {b} as int))" for a, b in _FLIPS)
+    return s.select("vec_id", (F.col("vec_id") - F.col("vec_id") % 8).alias("_first")).join(first, "_first").select("vec_id", "label", F.expr(f"h ^ {flip}").alias("h"))
+
+
+_FLIPS = ((1, 61), (7, 59), (11, 53), (13, 47))
+NEAR_HASHES = SIGN_HASHES + """,
+near AS (SELECT s.vec_id, f.label, xor(xor(xor(xor(f.h, {0}), {1}), {2}), {3}) AS h FROM signs s JOIN signs f ON f.vec_id = s.vec_id - s.vec_id % 8)""".format(*[f"1::BIGINT << (s.vec_id * {a} % {b})::INT" for a, b in _FLIPS])
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as 8 x 8 gray images and their channel values."""
     px = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") * 2.0 + 0.5) * 255).cast("int"))))
-    return table(spark, sf_dir, "embeddings").select("vec_id", px.alias("px"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", px.alias("px"))
 
 
 PIXELS = """

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as K
+from ..operators.cluster import qualified
 from ..schemas import PIXELS
 
 
@@ -39,11 +41,29 @@ def png(img: np.ndarray) -> bytes:
     h, w = img.shape[:2]
     colour = 2 if img.ndim == 3 else 0
     raw = np.concatenate([np.zeros((h, 1), np.uint8), np.ascontiguousarray(img).reshape(h, -1)], axis=1).tobytes()
+    return _file(w, h, colour, zlib.compress(raw, 6))
 
+
+def _file(width: int, height: int, colour: int, body: bytes) -> bytes:
     def chunk(kind: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+
+
+class TallPng:
+    """A colour PNG whose rows come a few at a time; only the compressed image is held."""
+
+    def __init__(self, width: int):
+        self.width, self.height, self.z, self.parts = width, 0, zlib.compressobj(6), []
+
+    def add(self, rows: np.ndarray) -> None:
+        flat = np.ascontiguousarray(rows).reshape(len(rows), -1)
+        self.parts.append(self.z.compress(np.concatenate([np.zeros((len(flat), 1), np.uint8), flat], axis=1).tobytes()))
+        self.height += len(rows)
+
+    def finish(self) -> bytes:
+        return _file(self.width, self.height, 2, b"".join([*self.parts, self.z.flush()]))
 
 
 def cropped_png(img: np.ndarray, status_bar: float) -> bytes:
@@ -54,14 +74,16 @@ def cropped_png(img: np.ndarray, status_bar: float) -> bytes:
 def write_pngs(frames: DataFrame, column: str = "png", name: str = "name", folder: str = "") -> DataFrame:
     """Writes a PNG per row under `folder` (any address pyarrow's file systems know); (name, bytes) of each.
 
-    Writing happens when the result is read; read it once, e.g. into a table.
+    A folder without scheme is where Spark itself would write. Writing happens when the result is
+    read; read it once, e.g. into a table.
     """
+    at = qualified(frames.sparkSession, folder)
 
     def run(stream):
         import pandas as pd
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system, base = fs.FileSystem.from_uri(at)
         system.create_dir(base, recursive=True)
         for pdf in stream:
             for n, b in zip(pdf[name], pdf[column], strict=True):
@@ -72,11 +94,14 @@ def write_pngs(frames: DataFrame, column: str = "png", name: str = "name", folde
     return frames.select(name, column).mapInPandas(run, "name string, bytes long")
 
 
-def zip_archives(files: DataFrame) -> DataFrame:
+def zip_archives(files: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """(video_id, archive name, content): one ZIP per video of files (video_id, source_video, seq, name, content).
 
+    metadata: (video_id, metadata), whose text each archive holds as metadata.json after the images.
     A video's exported images are one group; that is the unit a person downloads.
     """
+    texts = files.sparkSession.createDataFrame([], "video_id long, metadata string") if metadata is None else metadata.select("video_id", "metadata")
+    files = files.join(texts, "video_id", "left")
 
     def run(pdf):
         import pandas as pd
@@ -85,19 +110,29 @@ def zip_archives(files: DataFrame) -> DataFrame:
         with zipfile.ZipFile(buf, "w", zipfile.ZIP_STORED) as z:
             for n, c in pdf.sort_values("seq")[["name", "content"]].itertuples(index=False):
                 z.writestr(zipfile.ZipInfo(n), c)
+            if pdf["metadata"].iloc[0] is not None:
+                z.writestr(zipfile.ZipInfo("metadata.json"), pdf["metadata"].iloc[0])
         stem = pdf["source_video"].iloc[0].rsplit(".", 1)[0]
-        return pd.DataFrame({"video_id": [pdf["video_id"].iloc[0]], "archive": [f"{stem}_rescue.zip"], "content": [buf.getvalue()]})
+        return pd.DataFrame({"video_id": [pdf["video_id"].iloc[0]], "archive": [stem + K.ARCHIVE_SUFFIX], "content": [buf.getvalue()]})
 
     return files.groupBy("video_id").applyInPandas(run, "video_id long, archive string, content binary")
 
 
-def synthetic(spark: SparkSession, height: int = 280, width: int = 129, mails: int = 3, seed: int = 42, video_id: int = 0) -> DataFrame:
-    """A made-up recording: for each mail some frames of loading, then a page that rests, is flicked and rests.
+def eased(distance: int, steps: int) -> list[int]:
+    """Positions after each step of a flick that slows down to rest (cubic ease-out)."""
+    return [round(distance * (1 - (1 - (k + 1) / steps) ** 3)) for k in range(steps)]
+
+
+def synthetic(spark: SparkSession, height: int = 280, width: int = 129, mails: int = 3, seed: int = 42, video_id: int = 0, truth: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """A made-up recording: for each mail some frames of loading, then a page that rests, is flicked twice and rests.
 
-    The result has the schema of read_frames. It serves tests and examples, and is small.
+    The result has the schema of read_frames. truth, if given, receives the whole page of each mail
+    as far as the recording scrolls, without status bar: what a perfect stitch shows. It serves
+    tests and examples, and is small.
     """
     rng = np.random.default_rng(seed)
     rows, idx = [], 0
+    tops = [0, 0, 0, *eased(32, 4), 32, *(32 + y for y in eased(28, 4)), 60, 60]
 
     def add(img):
         nonlocal idx
@@ -114,7 +149,9 @@ def synthetic(spark: SparkSession, height: int = 280, width: int = 129, mails: i
             n = int(rng.integers(width // 3, width))
             page[top + 2 : top + 6, :n] = rng.integers(0, 160, (4, n, 1))
         header = blank[: int(height * 0.25)].copy()
-        for y in (0, 0, 0, 9, 30, 52, 60, 60, 60):
+        for y in tops:
             img = np.concatenate([header, page[y : y + height - len(header)]])
             add(img)
+        if truth is not None:
+            truth[m] = np.concatenate([header, page[: height - len(header) + tops[-1]]])[int(height * K.STATUS_BAR) :]
     return spark.createDataFrame(rows, PIXELS)

@@ -58,13 +58,17 @@ def _find(data: bytes, path: list[bytes], start: int, end: int) -> Iterator[tupl
                 yield from _find(data, path[1:], at + 8, at + size)
 
 
-def description(entry: bytes) -> tuple[str | None, bytes | None]:
-    """(codec, decoder configuration) of a visual sample entry: the known configuration box without its header."""
-    for kind, name in _CONFIG.items():
-        k = entry.find(kind)
-        if k >= 4:
-            size = struct.unpack_from(">I", entry, k - 4)[0]
-            return name, entry[k + 4 : k - 4 + size]
+#: Bytes of a visual sample entry before the boxes inside it, its own header included.
+_ENTRY_HEAD = 86
+
+
+def description(stsd: bytes) -> tuple[str | None, bytes | None]:
+    """(codec, decoder configuration) of the first visual sample entry of a sample description (without its
+    box header) that holds a known configuration box: that box's content."""
+    for _, _, at, size in boxes(stsd, 8):
+        for _, kind, inner, n in boxes(stsd, at + _ENTRY_HEAD, at + size):
+            if kind.encode("latin-1") in _CONFIG:
+                return _CONFIG[kind.encode("latin-1")], stsd[inner + 8 : inner + n]
     return None, None
 
 
@@ -140,5 +144,5 @@ def demux(files: DataFrame) -> DataFrame:
 
 
 def videos(spark: SparkSession, folder: str) -> DataFrame:
-    """Video files of a folder (by extension), as (path, modificationTime, length, content)."""
+    """Video files of a folder (by extension), as (path, modificationTime, length, content). Empty files give no row."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{mp4,MP4,mov,MOV,m4v,M4V}").load(folder)

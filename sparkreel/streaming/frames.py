@@ -9,15 +9,19 @@ survives restarts by the query's checkpoint.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import constants as K
-from ..operators.ocr import Queue
+from ..functions import pixels as P
+from ..functions import stitch as S
+from ..operators.ocr import Segment, Waiting
 from ..operators.select import close_segments
+from ..sources.images import rgb
 
 SLOTS = "video_id long, slot long, n long"
 _SAMPLER = "t0 long, next long, r long, end_r long, n long"
@@ -82,6 +86,7 @@ def select(frames: DataFrame, distance: int = K.DUP_DISTANCE, limit: int = K.MAX
     """Select events of a stream of (video_id, seg, idx, cat, bm, h, end): a segment's are sent when it closes.
 
     State per video: the hashes seen, which grow with the video, and the open segment's narrow rows.
+    The end row removes it.
     """
 
     def near(a, b, d):
@@ -98,55 +103,112 @@ def select(frames: DataFrame, distance: int = K.DUP_DISTANCE, limit: int = K.MAX
                 mail = item
             elif cat == "fullscreen_image" and stable:
                 images.append(item)
-        events = close_segments([{"seg": seg, "mail": mail, "images": images}], distance, limit, seen)
-        return events
+        return close_segments([{"seg": seg, "mail": mail, "images": images}], distance, limit, seen)
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, seg, rows = state.get if state.exists else ([], None, [])
-        seen, rows, out = list(seen), [tuple(r) for r in rows], []
+        seen, rows, out, ended = list(seen), [tuple(r) for r in rows], [], False
         for f in pd.concat(list(parts)).sort_values(["end", "idx"]).itertuples(index=False):
             if rows and (f.end or f.seg != seg):
                 out += close(seg, rows, seen)
                 rows = []
-            if not f.end:
+            if f.end:
+                ended = True
+            else:
                 seg = int(f.seg)
                 rows.append((int(f.idx), f.cat, float(f.bm), int(f.h)))
-        state.update((seen, seg, rows))
+        if ended:
+            state.remove()
+        else:
+            state.update((seen, seg, rows))
         pdf = pd.DataFrame(out, columns=["seg", "kind", "idx", "bm", "h", "from_stable", "event", "reason"])
         pdf.insert(0, "video_id", key[0])
         yield pdf
 
+    frames = frames.fillna({"seg": 0, "idx": 0, "h": 0})  # of end rows; a null would make pandas read hashes as floats
     return frames.groupBy("video_id").applyInPandasWithState(run, EVENTS, _SELECTOR, "append", GroupStateTimeout.NoTimeout)
 
 
-ATTEMPTS = "video_id long, seg int, idx int, attempt int, dropped int"
-_QUEUE = "state string"
+DECISIONS = "video_id long, seg int, idx int, i int, dx double, dy double, response double, accepted boolean, reason string, add_rows int, dst_row long, skip int"
+_STITCHER = "seg int, i int, height int, width int, gray binary, header int, known boolean, placed long"
+
 
+def stitch(frames: DataFrame, auto: bool = False, scale: int = 1) -> DataFrame:
+    """Stitch decisions of a stream of detail frames (video_id, seg, idx, width, height, n_channels, data, end).
 
-def recognition_queue(offers: DataFrame, per_batch: int = 8) -> DataFrame:
-    """Which offered frames (video_id, seg, idx, end) are recognised, with a bounded queue per video.
+    State per video: the gray frame before, the header and the rows placed; spectra are made anew.
+    A new segment starts a new canvas and, with auto, carries the header on. The end row removes
+    the state.
+    """
 
-    In every micro-batch at most per_batch candidates of a video are taken, lowest segment first;
-    at the end of a video all that wait are.
+    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seg, i, before, header, placed, ended, out = None, 0, None, S.Header(auto=auto), 0, False, []
+        if state.exists:
+            seg, i, h, w, gray, rows, known, placed = state.get
+            before, header = np.frombuffer(gray, np.uint8).reshape(h, w), S.Header(rows, auto, known)
+        spectra = S.Spectra()
+        for f in pd.concat(list(parts)).sort_values(["end", "seg", "idx"]).itertuples(index=False):
+            if f.end:
+                ended = True
+                continue
+            if seg != f.seg:
+                seg, i, before, placed, spectra = int(f.seg), 0, None, 0, S.Spectra()
+                header = header if auto else S.Header()
+            gray = P.gray_cv(rgb(f.data, f.height, f.width, f.n_channels)[int(f.height * K.STATUS_BAR) :])
+            d = S.step(spectra, i, before, gray, header, scale, scale > 1)
+            out.append((key[0], seg, int(f.idx), i, d["dx"], d["dy"], d["response"], d["accepted"], d["reason"], d["add_rows"], placed, d["skip"]))
+            placed += d["add_rows"]
+            before, i = gray, i + 1
+        if ended:
+            if state.exists:
+                state.remove()
+        elif before is not None:
+            state.update((seg, i, *before.shape, before.tobytes(), header.rows, header.known, placed))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISIONS.split(", ")])
+
+    return frames.groupBy("video_id").applyInPandasWithState(run, DECISIONS, _STITCHER, "append", GroupStateTimeout.NoTimeout)
+
+
+ATTEMPTS = "video_id long, seg int, idx int, attempt int, timestamp string, sender string, error boolean"
+_WAITING = "rows array<struct<seg:int,idx:int,crop:binary>>, segments array<struct<seg:int,tries:int,last:int,found:boolean,dropped:int>>, failures int, stopped boolean"
+
+
+def recognition(frames: DataFrame, recognise: Callable[[bytes], tuple[str | None, str | None]], crop: Callable | None = None, per_batch: int = 8) -> DataFrame:
+    """Recognises frames (video_id, seg, idx, crop or pixel columns, end) of a stream; one row per attempt.
+
+    recognise takes a crop and gives (time stamp or None, sender or None); an exception is a failed
+    attempt. Its answer goes back into the state at once, so a segment stops at its first time
+    stamp. In every micro-batch at most per_batch frames of a video are tried, lowest segment first;
+    at the end row all that wait are, and the state goes. crop makes the image of a frame (a row)
+    and is called for frames that the state admits only; without it the rows bring a column `crop`.
     """
-    import json
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        q = Queue()
+        w = Waiting()
         if state.exists:
-            saved = json.loads(state.get[0])
-            q.segments, q.dropped = {int(k): v for k, v in saved["segments"].items()}, saved["dropped"]
+            rows, segments, w.failures, w.stopped = state.get
+            w.rows = [tuple(r) for r in rows]
+            w.segments = {s[0]: Segment(*s[1:]) for s in map(tuple, segments)}
         ended, out = False, []
         for f in pd.concat(list(parts)).sort_values(["end", "seg", "idx"]).itertuples(index=False):
             if f.end:
                 ended = True
             else:
-                q.offer(int(f.seg), int(f.idx))
-        left = 10**9 if ended else per_batch
-        while left and (got := q.take()):
-            out.append((key[0], *got, q.segments[got[0]]["attempts"], q.dropped))
-            left -= 1
-        state.update((json.dumps({"segments": q.segments, "dropped": q.dropped}),))
-        yield pd.DataFrame(out, columns=["video_id", "seg", "idx", "attempt", "dropped"])
-
-    return offers.groupBy("video_id").applyInPandasWithState(run, ATTEMPTS, _QUEUE, "append", GroupStateTimeout.NoTimeout)
+                w.offer(int(f.seg), int(f.idx), (lambda f=f: crop(f)) if crop else f.crop)
+        while (ended or len(out) < per_batch) and (got := w.take()):
+            seg, idx, image, attempt = got
+            stamp = sender = None
+            error = False
+            try:
+                stamp, sender = recognise(image)
+            except Exception:  # a recogniser's failure is an outcome, not an end of the stream
+                error = True
+            w.told(seg, stamp is not None, error)
+            out.append((key[0], seg, idx, attempt, stamp, sender, error))
+        if not ended:
+            state.update((w.rows, [(k, s.tries, s.last, s.found, s.dropped) for k, s in w.segments.items()], w.failures, w.stopped))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in ATTEMPTS.split(", ")]).astype({"timestamp": object, "sender": object})
+
+    return frames.groupBy("video_id").applyInPandasWithState(run, ATTEMPTS, _WAITING, "append", GroupStateTimeout.NoTimeout)

@@ -12,10 +12,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkreel import constants as K
 from sparkreel.functions import correlate, pixels, stitch
+from sparkreel.functions import expr as X
 from sparkreel.operators import frames as fr
 from sparkreel.operators import select
-from sparkreel.plans import rescue
+from sparkreel.plans import recordings
 from sparkreel.sources import images, mp4
 from sparkreel.streaming import frames as streams
 
@@ -67,15 +69,94 @@ def _factors(n):
     return out
 
 
-def test_stitcher_restores_a_scrolled_page():
+def test_stitch_restores_a_scrolled_page():
     page = np.random.default_rng(4).integers(0, 256, (500, 100)).astype(np.uint8)
     tops = [0, 0, 12, 45, 45, 80, 120]
-    s = stitch.Stitcher(200, 100, 0)
-    frames = {k: page[y : y + 200] for k, y in enumerate(tops)}
-    reasons = [s.push(frames[k])["reason"] for k in range(len(tops))]
-    assert reasons == ["first", "static", None, None, "static", None, None]
-    assert (stitch.assemble(frames, s.recipe) == page[:320]).all()
+    canvas, made = stitch.stitch([page[y : y + 200] for y in tops])
+    assert [d["reason"] for d in made] == ["first", "static", None, None, "static", None, None]
+    assert [d["add_rows"] for d in made] == [200, 0, 12, 33, 0, 35, 40]
+    assert (canvas == page[:320]).all()
     assert stitch.best_match(page, page[77:97]) == pytest.approx(1.0)
+    assert [stitch.refusal(*x) for x in ((0, 2, 0.7), (12, 5, 0.9), (12.1, 5, 0.9), (0, 5, 0.69), (0, 1.9, 0.9), (0, -9, 0.9))] == [None, None, "weak_or_shift", "weak_or_shift", "static", "static"]
+
+
+def test_header_is_learnt_and_canvas_is_capped():
+    rng = np.random.default_rng(5)
+    page, top = rng.integers(0, 256, (600, 100)).astype(np.uint8), np.full((30, 100), 90, np.uint8)
+    frames = [np.concatenate([top, page[y : y + 270]]) for y in (0, 10, 25, 60)]
+    header = stitch.Header(auto=True)
+    canvas, made = stitch.stitch(frames, header)
+    assert header.rows == 30 and (canvas == np.concatenate([top, page[:330]])).all()
+    carried = stitch.Header(rows=70, auto=True)
+    stitch.stitch(frames, carried)
+    assert carried.rows == 30  # the first estimate replaces what was carried
+    carried.learn(frames[0], frames[0])
+    assert carried.rows == 30  # equal frames estimate a quarter of the height: later ones only lower it
+    capped, _ = stitch.stitch(frames, stitch.Header(rows=30), limit=320)
+    assert len(capped) == 310  # 300 rows, 10 more; 15 and 35 do not fit
+    c = stitch.Canvas(100)
+    assert [c.place(n) for n in (120, 1)] == [100, 0] and c.truncated == 21
+
+
+def test_reduced_size_is_rechecked_when_unsure(monkeypatch):
+    page = np.kron(np.random.default_rng(6).integers(0, 256, (200, 60)), np.ones((2, 2))).astype(np.uint8)
+    frames = [page[y : y + 240] for y in (0, 16, 40)]
+    for scale in (1, 2):
+        canvas, _ = stitch.stitch(frames, scale=scale, recheck=True)
+        assert (canvas == page[:280]).all()
+    seen = []
+    real = stitch.C.shift
+    monkeypatch.setattr(stitch.C, "shift", lambda a, b, rows, cols: (seen.append((rows, cols)), (*real(a, b, rows, cols)[:2], 0.6))[1])
+    stitch.scroll(stitch.Spectra(), 1, frames[0], frames[1], 0, 2, True)
+    assert seen == [(120, 60), (240, 120)]
+
+
+def test_fixed_values():
+    gray = {(255, 255, 255): 255, (0, 0, 0): 0, (255, 0, 0): 76, (0, 255, 0): 150, (0, 0, 255): 29, (240, 200, 210): 213, (37, 201, 99): 140, (130, 130, 130): 130}
+    for px, want in gray.items():
+        assert pixels.gray_pillow(np.array([[px]], np.uint8))[0, 0] == want
+    assert [(r.start, r.stop) for r in (pixels.rows_of(2796, p) for p in (K.BODY_Y, K.DARK_TOP_Y, K.DARK_BOTTOM_Y))] == [(782, 2516), (279, 447), (2572, 2740)]
+    assert [correlate.optimal_size(n) for n in (1290, 2642, 1, 7, 2796)] == [1296, 2700, 1, 8, 2880]
+    saturated = lambda px: pixels.metrics(np.full((100, 100, 3), px, np.uint8))[2]
+    assert saturated((100, 80, 80)) == 0 and saturated((100, 79, 79)) == 1
+    for px, want in (([1, 2, 3, 5], 3), ([1, 1, 2, 3], 2), ([0, 1, 1, 1], 1), ([0, 0, 1, 0], 0)):
+        assert pixels.box_mean(np.array(px, np.uint8).reshape(2, 2), 2)[0, 0] == want
+    assert pixels.box_mean(np.array([[1, 2, 9], [3, 4, 9], [0, 0, 9]], np.uint8), 2).tolist() == [[3]]
+    a = np.full((200, 10), 200, np.uint8)
+    b = a.copy()
+    b[30:] = 50
+    assert pixels.fixed_rows(a, b) == 30 and pixels.fixed_rows(a, a) == 50
+    b[30] = 200
+    b[30, 0] = 205
+    assert pixels.fixed_rows(a, b) == 31
+    assert correlate.window(3, 3)[1, 1] == 1 and correlate.window(5, 5)[0].max() == 0
+
+
+def test_texts(spark):
+    one = lambda c, *rows: [r[0] for r in spark.createDataFrame([(r,) for r in rows], "s string").select(c(F.col("s"))).collect()]
+    assert one(X.parse_timestamp, "2026-08-25 22:59", " 2026-08-25 22:59\n", "2026-08-2522:59", "2026-08-25 2259", "-- 2026-08-23 21:07 :") == ["2026-08-25_2259"] * 4 + ["2026-08-23_2107"]
+    assert one(X.parse_timestamp, "2026-02-31 12:00", "2026-08-25 25:99", "1999-08-25 22:59", "2026-08-25", "", None) == [None] * 6
+    assert one(X.parse_timestamp, "2024-02-29 00:00") == ["2024-02-29_0000"]
+    assert one(X.format_timestamp, "2026-08-25_2259", "unknown") == ["2026-08-25 22:59", "unknown"]
+    assert one(X.normalize_timestamp, "2026-08-25 22:59", "2026-08-25_2259", "2026/8/5 7:03", "2026-13-01 10:00", "2026-08-25 24:00", "abc") == ["2026-08-25_2259", "2026-08-25_2259", "2026-08-05_0703", None, None, None]
+    assert one(X.clean_sender, " 渋 井 美 奈 \n", "|渋井  美奈|", "Yuki Kashiwagi", "\n\n", "a\u3000b", None) == ["渋井美奈", "渋井美奈", "Yuki Kashiwagi", None, "a b", None]
+
+
+def test_categories_at_their_edges(spark):
+    rows = [(0.5, 0.5), (0.5, 0.501), (0.0199, 0.5), (0.02, 0.0), (0.1499, 0.0), (0.15, 0.0)]
+    got = spark.createDataFrame(rows, "bm double, dk double").select(X.categorize(F.col("bm"), F.col("dk"))).collect()
+    assert [r[0] for r in got] == ["detail", "fullscreen_image", "loading", "list", "list", "detail"]
+
+
+@pytest.mark.parametrize("rate,count,first,every", [(60, 1851, 4, 10), (30, 30, 2, 5)])
+def test_samples_of_whole_recordings(spark, rate, count, first, every):
+    us = lambda n: round(n * 1e6 / rate)
+    rows = [(1, n, 1_000_000 + us(n), round(1e6 / rate)) for n in range(count)]
+    e = spark.createDataFrame(rows, "video_id long, n long, ts_us long, dur_us long")
+    t0 = F.lit(1_000_000).cast("long")
+    got = fr.resample(e, X.slot_of(F.col("ts_us"), t0), X.slot_of(F.col("ts_us") + F.col("dur_us"), t0)).orderBy("slot").collect()
+    assert [(r.slot, r.n) for r in got][:5] == [(k, every * k + first) for k in range(5)]
+    assert len(got) == (185 if count == 1851 else 6)
 
 
 def test_boxes():
@@ -131,12 +212,37 @@ def _png_size(data):
 
 
 def test_whole_plan(spark):
-    out = rescue.rescue(images.synthetic(spark)).orderBy("seg").collect()
+    truth = {}
+    frames = images.synthetic(spark, truth=truth)
+    out = recordings.exported(frames).orderBy("seg").collect()
     mails = [r for r in out if r.kind == "mail" and r.event == "selected"]
     assert len(mails) == 3 and len({r.seg for r in mails}) == 3
     for r in mails:
         width, height = _png_size(r.png)
-        assert width == 129 and height > (280 if r.stitched else 200)
+        assert r.stitched and width == 129 and abs(height - len(truth[r.seg])) <= 0.01 * len(truth[r.seg])
+    pixels_ = _pixels(mails[0].png)
+    band = truth[0][-40:-20, :, 0].astype(np.uint8)
+    assert stitch.best_match(pixels_[:, :, 0], band) > 0.99
+
+
+def test_stitched_videos_hold_one_frame(spark):
+    frames = images.synthetic(spark)
+    seg = fr.segments(fr.classify(recordings.measured(frames)))
+    plain = recordings.stitched(frames, seg).drop("png").orderBy("seg").collect()
+    learnt = recordings.stitched(frames, seg, auto=True).drop("png").orderBy("seg").collect()
+    assert [r.seg for r in plain] == [r.seg for r in learnt] == [0, 1, 2] and all(r.accepted >= 3 for r in plain)
+    plan = recordings.stitched(frames, seg)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "BroadcastHashJoin" in plan
+
+
+def _pixels(data):
+    at, raw = 8, b""
+    while at < len(data):
+        n, kind = struct.unpack_from(">I4s", data, at)
+        raw += data[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+        at += 12 + n
+    w, h = _png_size(data)
+    return np.frombuffer(zlib.decompress(raw), np.uint8).reshape(h, 1 + 3 * w)[:, 1:].reshape(h, w, 3)
 
 
 def run_stream(spark, rows, schema, op, tmp_path, parts):
