@@ -41,7 +41,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import blocks as bl
@@ -51,8 +50,13 @@ from .components import components
 SHINGLE, THRESHOLD = 5, 75
 HOT_DOCS, FREQUENT, LATE_BITS = 2, 1 << 22, 24
 SPLIT = 64
-#: Buckets from here on hold identities of sets, not shingles.
-IDENTITY = 1 << 40
+#: A region of more members than this (counted once for each shingle they share) is joined by several tasks, in parts of
+#: about as many; so many that no more than LARGE regions are.
+PART, LARGE = 512, 1 << 19
+#: Distances to a pivot are kept in so many steps.
+STEPS = 16
+#: Buckets from here on hold identities of sets, not shingles; and parts of large regions, not regions.
+IDENTITY, PARTS = 1 << 40, 1 << 62
 #: A set's hashes have 64 - ROW_BITS bits; their low bits are 0.
 ROW_BITS = 12
 
@@ -190,22 +194,28 @@ def _lead_rows(frequent, bits, doc_bits):
     return lambda stream: bl.batches(rows(stream))
 
 
-_PAIRS = pa.schema([("bucket", pa.int64()), ("block", pa.binary()), ("u", pa.int64()), ("v", pa.int64())])
+_PAIRS = pa.schema([("bucket", pa.int64()), ("block", pa.binary()), ("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
+
+
+def _rows(**columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of _PAIRS with these columns, the others null."""
+    m = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(m, f.type) for f in _PAIRS], schema=_PAIRS)
 
 
 def _pivots(doc_bits):
-    """Of a range of shingles: blocks of (document, pivot, 0) for those that share a leading shingle. Of a range
-    of identities: links of equal sets, and blocks of (document, identity, 1) for those that another stands for."""
+    """Of a range of shingles: blocks of (document, pivot, 0) for those that share a leading shingle, and the members
+    of each pivot (u, n). Of a range of identities: links (u, v) of equal sets, and blocks of (document, identity, 1)
+    for those that another stands for."""
 
     def _to_documents(doc, value, kind):
         rows = list(bl.to_documents(doc, doc_bits, value, np.full(len(doc), kind, np.uint8)))
-        m = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=_PAIRS)
+        yield _rows(bucket=[r[0] for r in rows], block=[r[1] for r in rows])
 
     def work(bucket, held):
         if bucket < 0:
             u, v = bl.joined(held)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.binary()), pa.array(u), pa.array(v)], schema=_PAIRS)
+            yield _rows(u=u, v=v)
             return
         if bucket >= IDENTITY:
             k1, k2, n, doc = bl.joined(held)
@@ -214,7 +224,7 @@ def _pivots(doc_bits):
             by, rep = by[twin], rep[twin]
             if len(by):
                 yield from _to_documents(doc[by], k1[by].view(np.int64), 1)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(by), pa.int64()), pa.nulls(len(by), pa.binary()), pa.array(doc[by]), pa.array(doc[rep])], schema=_PAIRS)
+                yield _rows(u=doc[by], v=doc[rep])
             return
         h, doc, n, early = bl.joined(held)
         order = np.argsort(h)
@@ -242,14 +252,52 @@ def _pivots(doc_bits):
         if len(x):
             pair = np.unique(np.stack([x, p], 1), axis=0)
             yield from _to_documents(pair[:, 0], pair[:, 1], 0)
+            own, n = np.unique(pair[:, 1], return_counts=True)
+            yield _rows(u=own, n=n)
 
     return bl.each_bucket(work)
 
 
-def _members(region_bits):
-    """The sets of a group's documents, by region."""
+def part_key(region: np.ndarray, *numbers) -> np.ndarray:
+    """Bucket of a part of a large region."""
+    h = tk.mix(region.astype(np.int64).view(np.uint64), 6)
+    for k, x in enumerate(numbers):
+        h = tk.mix(h + np.asarray(x).astype(np.uint64), 30 + k)
+    return (h >> np.uint64(2)).astype(np.int64) | PARTS
+
+
+def _hashed(doc: np.ndarray, seed: int) -> np.ndarray:
+    return (tk.mix(doc.astype(np.int64).view(np.uint64), seed) >> np.uint64(2)).astype(np.int64)
+
+
+def home(x: np.ndarray, p: np.ndarray, large: np.ndarray, parts: np.ndarray, region_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of a pair of document and pivot, bucket): of a large region one part by the document, for the pivot itself all parts."""
+    bucket = bl.high_bits(tk.mix(p.view(np.uint64), 6), region_bits)
+    if not len(large):
+        return np.arange(len(p)), bucket
+    at = np.minimum(np.searchsorted(large, p), len(large) - 1)
+    n = np.where(large[at] == p, parts[at], 0)
+    nth, which = tk.expand(np.zeros(len(p)), np.where((x == p) & (n > 0), n, 1))
+    part = np.where(x == p, 0, _hashed(x, 8) % np.maximum(n, 1))[which] + nth
+    return which, np.where(n[which] > 0, part_key(p[which], part), bucket[which])
+
+
+def _sent(region, role, bucket, row, doc, h, edge):
+    """Blocks of members (region, role) and their sets, by bucket; each set once in a block, however many regions want it."""
+    by = np.argsort(bucket, kind="stable")
+    bucket, region, role, row = bucket[by], region[by], role[by], row[by]
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    for i, j in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
+        u, back = np.unique(row[i:j], return_inverse=True)
+        where, _ = tk.expand(edge[u], edge[u + 1] - edge[u])
+        yield int(bucket[i]), bl.pack(region[i:j], back.astype(np.uint32), doc[u], (edge[u + 1] - edge[u]).astype(np.uint32), np.diff(h[where] >> np.uint64(ROW_BITS), prepend=np.uint64(0)), role[i:j])
+
+
+def _members(region_bits, regions):
+    """The sets of a group's documents, by region; regions: the large ones and their parts."""
 
     def work(docs: pa.Table, held: pa.Table) -> pa.Table:
+        large, parts = regions.value
         got, out = held.column("block").to_pylist(), []
         if got:
             x, p, kind = bl.joined(got)
@@ -273,17 +321,9 @@ def _members(region_bits):
                     if not (hi > lo).any():
                         continue
                 at, row = tk.expand(lo, hi - lo)
-                region = p[at]
-                bucket = bl.high_bits(tk.mix(region.view(np.uint64), 6), region_bits)
-                by = np.argsort(bucket, kind="stable")
-                bucket, region, row = bucket[by], region[by], row[by]
-                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                for i, j in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
-                    r = row[i:j]
-                    # each set once in a block, however many regions want it
-                    u, back = np.unique(r, return_inverse=True)
-                    where, _ = tk.expand(edge[u], edge[u + 1] - edge[u])
-                    out.append((int(bucket[i]), bl.pack(region[i:j], back.astype(np.uint32), doc[u], (edge[u + 1] - edge[u]).astype(np.uint32), np.diff(h[where] >> np.uint64(ROW_BITS), prepend=np.uint64(0)))))
+                which, bucket = home(x[at], p[at], large, parts, region_bits)
+                at, row = at[which], row[which]
+                out += _sent(p[at], np.zeros(len(at), np.uint8), bucket, row, doc, h, edge)
         return pa.Table.from_batches([bl.batch(out)])
 
     return work
@@ -334,6 +374,14 @@ class Sets:
         if len(mine) > 1:
             self.label[np.isin(self.label, mine[1:])] = mine[0]
 
+    def star(self, r: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links of row r to these that are needed for its component, one for each component among them; notes them."""
+        of = self.label[self.at[which]]
+        one = which[np.unique(of, return_index=True)[1]] if len(which) else which
+        one = one[self.label[self.at[one]] != self.label[self.at[r]]]
+        self.join(np.append(one, r))
+        return self.doc[one], np.full(len(one), self.doc[r])
+
     def overlap(self, own: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Size of the intersection of a set with each of `which`."""
         if not len(which):
@@ -356,8 +404,7 @@ def region_links(s: Sets, first: int) -> list[tuple[np.ndarray, np.ndarray]]:
     inter = s.overlap(s.of(first), np.arange(m))
     near = linked(inter, s.size, s.size[first])
     near[first] = True
-    out = [(s.doc[near], np.full(int(near.sum()), s.doc[first]))]
-    s.join(np.flatnonzero(near))
+    out = [s.star(first, np.flatnonzero(near))]
     rest = np.flatnonzero(~near)
     if len(rest) > SPLIT:
         return out + _split(s, near, first)
@@ -377,10 +424,9 @@ def _against(s: Sets, r: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray
     while len(window := window[s.label[s.at[window]] != s.label[s.at[r]]]):
         some, window, take = window[:take], window[take:], 2 * take
         got = some[linked(s.one_overlap(r, some), s.size[some], s.size[r])]
-        out.append(got)
-        s.join(np.append(got, r))
+        out.append(s.star(r, got)[0])
     got = np.concatenate(out)
-    return s.doc[got], np.full(len(got), s.doc[r])
+    return got, np.full(len(got), s.doc[r])
 
 
 def _split(s: Sets, near: np.ndarray, first: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -413,27 +459,161 @@ def _split(s: Sets, near: np.ndarray, first: int) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def _regions(_, held):
-    """Links of the regions of a bucket."""
+def _held_sets(held) -> tuple[np.ndarray, np.ndarray, np.ndarray, Sets]:
+    """(region, role, member, sets) of the blocks of a bucket, ordered by region and document."""
     parts = [bl.unpack(b) for b in held]
     shift = np.cumsum([0] + [len(p[2]) for p in parts[:-1]])
-    region = np.concatenate([p[0] for p in parts])
+    region, role = (np.concatenate([p[k] for p in parts]) for k in (0, 5))
     member = np.concatenate([p[1].astype(np.int64) + k for p, k in zip(parts, shift, strict=True)])
     s = Sets(*(np.concatenate([p[k] for p in parts]) for k in (2, 3)), np.concatenate([np.cumsum(p[4], dtype=np.uint64) for p in parts]))
+    _, s.at = np.unique(s.doc, return_inverse=True)  # rows with the same doc_id are one node
+    s.label = np.arange(int(s.at.max()) + 1)
     by = np.lexsort((s.doc[member], region))
-    region, member = region[by], member[by]
+    return region[by], role[by], member[by], s
+
+
+def _runs(region: np.ndarray):
     cut = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
-    out = []
-    for a, b in zip(cut, np.append(cut[1:], len(region)), strict=True):
-        if b - a > 1:
-            own = s.some(member[a:b])
-            own = Sets(own.doc, own.size, own.h)
-            first = int(np.flatnonzero(own.doc == region[a])[0]) if (own.doc == region[a]).any() else 0
-            out += region_links(own, first)
+    return zip(cut, np.append(cut[1:], len(region)), strict=True)
+
+
+def _joined(out: list[tuple[np.ndarray, np.ndarray]]):
     if out:
         u, v = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
         ok = u != v
-        yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], names=["u", "v"])
+        yield _rows(u=u[ok], v=v[ok])
+
+
+def _regions(doc_bits):
+    """Links of the regions of a bucket. Of a part of a large region only those to the pivot; besides, blocks of
+    (document, region, step of its distance, role) for all members, the members by step (u region, v step, n), and
+    those that are not near the pivot (u document, v region, n: step - STEPS, so negative)."""
+
+    def work(bucket, held):
+        region, _, member, s = _held_sets(held)
+        out = []
+        for a, b in _runs(region):
+            own = s.some(member[a:b])
+            if bucket < PARTS:
+                if b - a > 1:
+                    out += region_links(own, int(np.flatnonzero(own.doc == region[a])[0]) if (own.doc == region[a]).any() else 0)
+                continue
+            pivots = np.flatnonzero(own.doc == region[a])
+            # rows that share the pivot's id: all parts take the same one
+            first = min(pivots.tolist(), key=lambda k: (int(own.size[k]), own.of(k).tobytes()))
+            inter = own.overlap(own.of(first), np.arange(b - a))
+            near = linked(inter, own.size, own.size[first])
+            near[first] = True
+            out.append((own.doc[near], np.full(int(near.sum()), own.doc[first])))
+            step = np.minimum((1 - inter / (own.size + own.size[first] - inter)) * STEPS, STEPS - 1).astype(np.int64)
+            doc, role = own.doc, np.where(near, NEAR, FAR).astype(np.uint8)
+            rows = list(bl.to_documents(doc, doc_bits, np.full(b - a, region[a]), step.astype(np.uint8), role))
+            yield _rows(bucket=[r[0] for r in rows], block=[r[1] for r in rows])
+            steps, n = np.unique(step, return_counts=True)
+            yield _rows(u=np.full(len(steps), region[a]), v=steps, n=n)
+            if not near.all():
+                yield _rows(u=doc[~near], v=np.full(int((~near).sum()), region[a]), n=step[~near] - STEPS)
+        yield from _joined(out)
+
+    return bl.each_bucket(work)
+
+
+#: Roles in a large region: near its pivot, far from it, and one that visits the members in its window.
+NEAR, FAR, VISITOR = 0, 1, 2
+#: Steps between two documents within the linking distance, and one for rounding.
+WINDOW_STEPS = -(-(100 - THRESHOLD) * STEPS // 100) + 1
+
+
+def _visitors(doc_bits):
+    """Blocks by document of (document, region, step) rows, as visitors."""
+
+    def rows(stream):
+        for rb in stream:
+            doc, region, step = (rb.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            if len(doc):
+                yield from bl.to_documents(doc, doc_bits, region, step.astype(np.uint8), np.full(len(doc), VISITOR, np.uint8))
+
+    return lambda stream: bl.batches(rows(stream))
+
+
+def _windows(layout):
+    """The sets of a group's documents, by part of the window in which they meet.
+
+    layout: per (region, step) the parts of its members and of its visitors. A member goes to its
+    part, once for each part of visitors; a visitor to every part of members of every step within
+    the triangle-inequality window of its own distance.
+    """
+
+    def places(x, region, step, role):
+        keys, parts, blocks = layout.value
+        i = np.repeat(np.arange(len(x)), np.where(role == VISITOR, 2 * WINDOW_STEPS + 1, 1))
+        head = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        other = np.arange(len(i)) - np.repeat(head, np.diff(np.append(head, len(i)))) - np.where(role[i] == VISITOR, WINDOW_STEPS, 0)
+        at = step[i].astype(np.int64) + other
+        key = tk.mix(region[i].view(np.uint64), 7) + at.astype(np.uint64)
+        k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        ok = (at >= 0) & (at < STEPS) & (keys[k] == key)
+        i, at, k = i[ok], at[ok], k[ok]
+        visits = role[i] == VISITOR
+        nth, which = tk.expand(np.zeros(len(i)), np.where(visits, parts[k], blocks[k]))
+        i, at, k, visits = i[which], at[which], k[which], visits[which]
+        part = np.where(visits, nth, _hashed(x[i], 8) % parts[k])
+        block = np.where(visits, _hashed(x[i], 9) % blocks[k], nth)
+        return i, part_key(region[i], at, part, block)
+
+    def work(docs: pa.Table, held: pa.Table) -> pa.Table:
+        got, out = held.column("block").to_pylist(), []
+        if got:
+            x, region, step, role = bl.joined(got)
+            order = np.argsort(x, kind="stable")
+            x, region, step, role = x[order], region[order], step[order], role[order]
+        for rb in docs.combine_chunks().to_batches() if got else ():
+            col = rb.column(rb.schema.get_field_index("doc_id"))
+            ids, known = col.fill_null(-1).to_numpy(zero_copy_only=False), col.is_valid().to_numpy(zero_copy_only=False)
+            for a, b, buf, off in _slices(rb):
+                doc = ids[a:b]
+                lo, hi = np.searchsorted(x, doc), np.searchsorted(x, doc, "right")
+                at, row = tk.expand(lo, np.where(known[a:b], hi, lo) - lo)
+                if not len(at):
+                    continue
+                i, bucket = places(x[at], region[at], step[at], role[at])
+                if len(i):
+                    h, edge = shingle_sets(buf, off)
+                    out += _sent(region[at[i]], role[at[i]], bucket, row[i], doc, h, edge)
+        return pa.Table.from_batches([bl.batch(out)])
+
+    return work
+
+
+def _meet(_, held):
+    """Links of visitors to the members of a part of a window."""
+    region, role, member, s = _held_sets(held)
+    out = []
+    for a, b in _runs(region):
+        own, mine = s.some(member[a:b]), role[a:b]
+        own.coded()
+        own.join(np.flatnonzero(mine == NEAR))
+        for r in np.flatnonzero(mine == VISITOR).tolist():
+            out.append(_against(own, r, mine != VISITOR))
+    yield from _joined(out)
+
+
+def _large(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(pivot, parts) of the large regions, pivots ascending; at most LARGE, as the least size follows the pairs."""
+    total = int(counts.agg(F.sum("n").alias("n")).first()["n"] or 0)
+    least = max(PART, -(-total // LARGE))
+    rows = counts.groupBy("u").agg(F.sum("n").alias("n")).where(F.col("n") > least).toPandas().sort_values("u")
+    return rows["u"].to_numpy(np.int64), -(-rows["n"].to_numpy(np.int64) // least)
+
+
+def _layout(members: DataFrame, visits: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key of region and step, parts of members, parts of visitors), by key, for the steps that have members and visitors in their window."""
+    near = F.explode(F.sequence(F.col("step") - WINDOW_STEPS, F.col("step") + WINDOW_STEPS))
+    guests = visits.groupBy("region", "step").count().select("region", near.alias("step"), F.col("count").alias("guests")).groupBy("region", "step").agg(F.sum("guests").alias("guests"))
+    rows = members.groupBy("region", "step").agg(F.sum("n").alias("n")).join(guests, ["region", "step"]).toPandas()
+    key = tk.mix(rows["region"].to_numpy(np.int64).view(np.uint64), 7) + rows["step"].to_numpy(np.int64).astype(np.uint64)
+    order = np.argsort(key)
+    return key[order], *(-(-rows[c].to_numpy(np.int64)[order] // PART) for c in ("n", "guests"))
 
 
 def _bitmap(counts: DataFrame) -> np.ndarray:
@@ -451,6 +631,22 @@ def _bitmap(counts: DataFrame) -> np.ndarray:
     return out
 
 
+def _second(spark, by_doc, joined: DataFrame, found: DataFrame, doc_bits: int) -> DataFrame:
+    """Components after the second round in large regions: members far from their pivot and in no component with it visit those in their windows."""
+    far = joined.where("n < 0").select(F.col("u").alias("doc"), F.col("v").alias("region"), (F.col("n") + STEPS).alias("step"))
+    for side in ("doc", "region"):
+        label = found.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+        far = far.join(label, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    visits = bl.cut(far.where("_doc <> _region").select("doc", "region", "step").distinct())
+    if visits.isEmpty():
+        return found
+    layout = _layout(joined.where("n > 0").select(F.col("u").alias("region"), F.col("v").alias("step"), "n"), visits)
+    blocks = joined.where("bucket is not null").select("bucket", "block").union(visits.mapInArrow(_visitors(doc_bits), bl.BLOCK_SCHEMA))
+    sets = by_doc.cogroup(blocks.groupBy("bucket")).applyInArrow(_windows(spark.sparkContext.broadcast(layout)), bl.BLOCK_SCHEMA)
+    links = bl.regrouped(sets).mapInArrow(bl.each_bucket(_meet), "bucket long, block binary, u long, v long, n long").select("u", "v")
+    return components(links.union(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -460,22 +656,41 @@ def groups(docs: DataFrame) -> DataFrame:
     census = bl.cut(docs.mapInArrow(_census, _SCAN))
     frequent = spark.sparkContext.broadcast(_bitmap(census.where("df is not null").groupBy("h").agg(F.sum("df").alias("df"))))
     leads = docs.mapInArrow(_lead_rows(frequent, bits, doc_bits), bl.BLOCK_SCHEMA)
-    both = bl.cut(bl.regrouped(leads).mapInArrow(_pivots(doc_bits), "bucket long, block binary, u long, v long"))
+    schema = "bucket long, block binary, u long, v long, n long"
+    both = bl.cut(bl.regrouped(leads).mapInArrow(_pivots(doc_bits), schema))
+    large = _large(both.where("n is not null").select("u", "n"))
     by_doc = bl.texts(docs, doc_bits).groupBy("bucket")
     pairs = both.where("bucket is not null").select("bucket", "block")
-    sets = by_doc.cogroup(pairs.groupBy("bucket")).applyInArrow(_members(bits), bl.BLOCK_SCHEMA)
-    links = bl.regrouped(sets).mapInArrow(bl.each_bucket(_regions), "u long, v long")
-    found = components(links.union(both.where("bucket is null").select("u", "v")))
+    sets = by_doc.cogroup(pairs.groupBy("bucket")).applyInArrow(_members(bits, spark.sparkContext.broadcast(large)), bl.BLOCK_SCHEMA)
+    joined = bl.regrouped(sets).mapInArrow(_regions(doc_bits), schema)
+    joined = bl.cut(joined) if len(large[0]) else joined
+    link = "v is not null and n is null"
+    found = components(joined.where(link).union(both.where(link)).select("u", "v"))
+    if len(large[0]):
+        found = _second(spark, by_doc, joined, found, doc_bits)
     return census.where("df is null").select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without near duplicates: of each component the document with the smallest doc_id.
 
-    Of rows that share a doc_id one stays; rows with a null doc_id stay.
+    Rows that share a doc_id are judged each by its own text, after documents with an id of their
+    own; of those with the same id and text one stays. Rows with a null doc_id stay.
     """
-    found = groups(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    copy = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.rand(1))).orderBy(F.xxhash64("text"))
-    return left.withColumn("_copy", F.row_number().over(copy)).where("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    def kept(rows, key):
+        gone = groups(rows.select(F.col(key).alias("doc_id"), "text")).where("component_id <> doc_id")
+        return rows.join(gone.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    shared = bl.cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if shared.isEmpty():
+        return kept(docs, "doc_id").select(*columns)
+    # a key for each (id, text) of the shared ids, above all ids
+    key, hash_ = (next(n for n in (x + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("_key", "_hash"))
+    text, top = F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit("")), docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    again = docs.join(shared, "doc_id", "left_semi").withColumn(hash_, text).dropDuplicates(["doc_id", hash_])
+    keys = bl.cut(again.select("doc_id", hash_).withColumn(key, F.lit(top) + 1 + F.monotonically_increasing_id()))
+    rest = docs.join(shared, "doc_id", "left_anti").withColumn(key, F.col("doc_id").cast("long"))
+    rows = bl.cut(again.join(keys, ["doc_id", hash_]).select(*columns, key).unionByName(rest.select(*columns, key)))
+    return kept(rows, key).select(*columns)

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 from cases import as_set, documents, rows, sentence
 
 from sparkreel.llm import components, jaccard, queries
@@ -70,12 +72,65 @@ def test_borders(spark):
     assert as_set(jaccard.groups(documents(spark, r)), *COLUMNS) == brute(r)
 
 
+def near_copies(rng, n, changes, words=120):
+    """One text, and copies of it with some words changed, all different."""
+    base = sentence(rng, words, 9000).split()
+    out = []
+    for k in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(changes)):
+            w[rng.randrange(len(w))] = f"x{k}y{rng.randrange(99)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("part", [4, 30])
+def test_large_regions_are_split(spark, monkeypatch, part):
+    """Groups of differing near copies, near and beyond the threshold, joined in parts: the links are few and lose nothing."""
+    rng = random.Random(12)
+    texts = near_copies(rng, 150, 8) + near_copies(rng, 80, 20) + near_copies(rng, 60, 60, 200) + [sentence(rng, 50, 9000) for _ in range(40)]
+    texts += texts[:40]  # exact copies of members
+    r = list(enumerate(texts))
+    rng.shuffle(r)
+    seen = []
+    real = jaccard.components
+    monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "components", lambda e: (seen.append(e.count()), real(e))[1])
+    assert as_set(jaccard.groups(documents(spark, r)), *COLUMNS) == brute(r)
+    assert len(seen) == 2  # both rounds took place
+
+
+def test_a_region_gives_a_forest(spark):
+    rng = random.Random(13)
+    for changes in (5, 12, 40):
+        texts = near_copies(rng, 300, changes)
+        sets = [np.sort(np.array([hash(x) & (1 << 63) - 1 for x in shingles(t)], np.uint64)) for t in texts]
+        s = jaccard.Sets(np.arange(300), np.array([len(x) for x in sets]), np.concatenate(sets))
+        u, v = (np.concatenate(x) for x in zip(*jaccard.region_links(s, 0), strict=True))
+        assert len(u) < 300 and (u != v).all()
+        found = {d: c for d, _, c in brute(list(enumerate(texts)))}
+        assert len(u) == 300 - len(set(found.values()))
+        assert all(found[a] == found[b] for a, b in zip(u.tolist(), v.tolist(), strict=True))
+
+
 def test_one_of_each(spark):
     r = [x for x in rows(6) if x[0] is not None]
     df = documents(spark, r)
     got = jaccard.one_of_each(df)
     assert got.columns == df.columns
-    assert sorted(x.doc_id for x in got.collect()) == sorted({c for _, _, c in brute(r)})
+    # rows of an id that others have too are documents of their own, after all others
+    ids = Counter(d for d, _ in r)
+    again = sorted({x for x in r if ids[x[0]] > 1}, key=repr)
+    own = [x for x in r if ids[x[0]] == 1] + [(10**9 + k, t) for k, (_, t) in enumerate(again)]
+    want = [c for c in sorted({c for _, _, c in brute(own)})]
+    assert sorted((x.doc_id, x.text or "") for x in got.collect()) == sorted((again[c - 10**9][0], again[c - 10**9][1] or "") if c >= 10**9 else (c, dict(own)[c] or "") for c in want)
+
+
+def test_one_of_each_keeps_other_texts_of_an_id(spark):
+    rng = random.Random(7)
+    w, x, y = (sentence(rng, 40, 9000) for _ in range(3))
+    got = jaccard.one_of_each(documents(spark, [(1, w), (2, w), (2, y), (2, y), (3, x), (None, w), (None, w)]))
+    assert as_set(got, "doc_id", "text") == sorted([(1, w), (2, y), (3, x), (None, w), (None, w)], key=repr)
 
 
 def test_components(spark):
