@@ -24,13 +24,16 @@ one a copy, and a string's hash costs one row for each slice of text.
 
 Defined cases: null or empty text has 0 bytes and nothing removed; the hash is that
 of the empty string. Rows with a null doc_id are compared with nothing and keep
-every byte. Rows that share a doc_id never remove each other and share their
-removals by byte position. Other columns are ignored.
+every byte. Rows that share a doc_id never remove anything from each other; each loses
+what documents with smaller ids cover of its own text, as blocks name a row by its id
+and a checksum of its text. Repeated rows come out alike. An empty table gives no rows.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -170,10 +173,10 @@ def _deal(bits, doc_bits):
                 key = tk.mix(doc.astype(np.int64).view(np.uint64), 4) + pos.astype(np.uint64)
                 ok = (want[np.minimum(np.searchsorted(want, key), len(want) - 1)] == key) & known[a:b][row]
                 h, doc, pos, at, size = h[ok], doc[ok], pos[ok], at[ok], size[ok]
+                tag = tk.tags(buf, off, row[ok])
                 gone = _hot(buf, h, doc, at, size)
                 if gone.any():
-                    d, s, e = tk.merged(doc[gone], pos[gone], pos[gone] + size[gone])
-                    out += ((-1 - k, x) for k, x in bl.to_documents(d, doc_bits, s.astype(np.uint32), e.astype(np.uint32)))
+                    out += ((-1 - k, x) for k, x in _ranges(doc_bits, doc[gone], pos[gone], pos[gone] + size[gone], tag[gone]))
                 keep = np.flatnonzero(~gone)
                 keep = keep[np.argsort(h[keep], kind="stable")]
                 bucket = bl.high_bits(h[keep], bits)
@@ -181,15 +184,21 @@ def _deal(bits, doc_bits):
                 for i, j in zip(cut, np.append(cut[1:], len(keep)), strict=False):
                     k = keep[i:j]
                     where, _ = tk.expand(at[k], size[k])
-                    out.append((int(bucket[i]), bl.pack(h[k], doc[k], pos[k].astype(np.uint32), size[k].astype(np.uint32), buf[where], delta=(0,))))
+                    out.append((int(bucket[i]), bl.pack(h[k], doc[k], pos[k].astype(np.uint32), size[k].astype(np.uint32), tag[k], buf[where], delta=(0,))))
         return pa.Table.from_batches([bl.batch(out)])
 
     return work
 
 
-def repeats(h, doc, pos, size, data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, end) of the ranges of a shard's segments that a smaller document covers."""
-    none = (np.zeros(0, np.int64),) * 3
+def _ranges(doc_bits, doc, start, end, tag):
+    """Blocks by document of merged ranges (document, start, end, tag)."""
+    d, s, e, g = tk.merged(doc, start.astype(np.int64), end.astype(np.int64), tag)
+    return bl.to_documents(d, doc_bits, s.astype(np.uint32), e.astype(np.uint32), g)
+
+
+def repeats(h, doc, pos, size, tag, data) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end, tag) of the ranges of a shard's segments that a smaller document covers."""
+    none = (*(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint32))
     start = np.cumsum(size) - size
     order = np.argsort(h, kind="stable")
     cut = np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]])) if len(h) else np.zeros(0, np.int64)
@@ -230,7 +239,7 @@ def repeats(h, doc, pos, size, data) -> tuple[np.ndarray, np.ndarray, np.ndarray
             new = np.append(True, (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1))
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(at)) - 1
-            out.append((doc[u][which[first]], at[first], at[last] + WINDOW))
+            out.append((doc[u][which[first]], at[first], at[last] + WINDOW, tag[u][which[first]]))
     return tuple(map(np.concatenate, zip(*out, strict=True))) if out else none
 
 
@@ -239,9 +248,7 @@ def _shard(doc_bits):
         if bucket < 0:
             yield from ((-1 - bucket, b) for b in held)
             return
-        d, s, e = tk.merged(*repeats(*bl.joined(held)))
-        if len(d):
-            yield from bl.to_documents(d, doc_bits, s.astype(np.uint32), e.astype(np.uint32))
+        yield from _ranges(doc_bits, *repeats(*bl.joined(held)))
 
     each = bl.each_bucket(work)
     return lambda stream: bl.batches(each(stream))
@@ -251,9 +258,11 @@ def _finish(with_text):
     def work(docs: pa.Table, held: pa.Table) -> pa.Table:
         found, got = {}, held.column("block").to_pylist()
         if got:
-            d, s, e = tk.merged(*(x.astype(np.int64) for x in bl.joined(got)))
-            cut = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-            found = {int(d[i]): (s[i:j], e[i:j]) for i, j in zip(cut, np.append(cut[1:], len(d)), strict=True)}
+            d, s, e, g = bl.joined(got)
+            d, s, e, g = tk.merged(d, s.astype(np.int64), e.astype(np.int64), g)
+            cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (g[1:] != g[:-1])))
+            found = {(int(d[i]), int(g[i])): (s[i:j], e[i:j]) for i, j in zip(cut, np.append(cut[1:], len(d)), strict=True)}
+            ids_found = set(d.tolist())
         rows = []
         for rb in docs.combine_chunks().to_batches():
             ids = rb.column(rb.schema.get_field_index("doc_id"))
@@ -261,11 +270,10 @@ def _finish(with_text):
                 for k, doc in enumerate(ids.slice(a, b - a).to_pylist()):
                     own = buf[off[k] : off[k + 1]]
                     gone = spans = 0
-                    if doc is not None and doc in found:
-                        s, e = found[doc]
-                        use = s < len(own)
-                        mask = tk.cover(s[use], e[use], len(own))
-                        gone, spans, own = int(mask.sum()), int(use.sum()), own[~mask]
+                    if found and doc in ids_found and (key := (doc, zlib.crc32(own))) in found:
+                        s, e = found[key]
+                        mask = tk.cover(s, e, len(own))
+                        gone, spans, own = int(mask.sum()), len(s), own[~mask]
                     row = {"doc_id": doc, "n_bytes": int(off[k + 1] - off[k]), "n_removed": gone, "n_spans": spans, "kept_sha256": hashlib.sha256(own).hexdigest()}
                     rows.append(row | {"kept": own.tobytes()} if with_text else row)
         names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]

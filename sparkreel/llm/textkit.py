@@ -6,6 +6,7 @@ a row is a few array passes and no Python object is made per word.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,20 +133,26 @@ def cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
-def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Union of ranges per document: those that touch or overlap become one."""
+def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Union of ranges per row (document and tag): those that touch or overlap become one."""
     if not len(doc):
-        return doc, start, end
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
+        return doc, start, end, tag
+    order = np.lexsort((start, tag, doc))
+    doc, start, end, tag = doc[order], start[order], end[order], tag[order]
     new = np.empty(len(doc), bool)
     new[0] = True
-    new[1:] = doc[1:] != doc[:-1]
-    # running maximum of the ends inside a document, by lifting each document above the one before
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+    # running maximum of the ends inside a row, by lifting each row above the one before
     group = np.cumsum(new) - 1
     lift = group * (int(end.max()) + 2)
     reach = np.maximum.accumulate(end + lift)
     new[1:] |= start[1:] + lift[1:] > reach[:-1]
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(doc)) - 1
-    return doc[at], start[at], reach[last] - lift[last]
+    return doc[at], start[at], reach[last] - lift[last], tag[at]
+
+
+def tags(buf: np.ndarray, off: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of each of these rows a checksum of its text, which tells rows with the same id apart."""
+    named, back = np.unique(rows, return_inverse=True)
+    return np.fromiter((zlib.crc32(buf[off[k] : off[k + 1]]) for k in named.tolist()), np.uint32, len(named))[back]
