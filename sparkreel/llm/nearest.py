@@ -1,34 +1,40 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of TABLES tables cuts PROJECTIONS random normal projections of a vector into
-cells of WIDTH; the cells together are its bucket. A query visits, in every table,
-the PROBES buckets around its own in the order of their estimated chance to hold a
-neighbour: the sum of squared distances to the cell borders that must be crossed
-(Lv, Josephson, Wang, Charikar, Li, "Multi-Probe LSH", 2007). Vectors of all visited
-buckets are ranked by their exact inner product in double precision.
-
-Every row is indexed and every query row is searched. Rows and query probes meet by
-bucket in a shuffle; a bucket is split into salted parts whose number follows the
-row count, so a part holds a bounded number of rows and a query is sent to each part.
-A part keeps the 20 best of each query before anything leaves it, and a vector that
-occurs more than `k` times in a part is represented by its k + 1 smallest ids, which
-is all that any ranking can use. The parameters suit unit vectors of about 64
-dimensions without cluster structure, where neighbours are hardly nearer than other
-rows; recall against brute force is measured in the tests (0.9 at least).
-
-Queries for which the tables find fewer than k are searched exactly, in blocks against
-all rows, so they get all candidates there are, up to k.
+Inner products become distances by one more dimension: a row x is hashed as (x / M, sqrt(1 - |x / M|^2))
+and a query q as (q / |q|, 0), so their squared distance is 2 - 2 q.x / (|q| M) and the nearest row has
+the largest inner product. M is the NORM quantile of the rows' norms, so that one long row does not
+press all others together; longer rows are hashed by their direction.
+
+Each of TABLES tables cuts random normal projections into cells of WIDTH; the cells together are a
+bucket. A query visits, in every table, the buckets in the order of their estimated chance to hold a
+neighbour: the sum of squared distances to the cell borders that must be crossed (Lv, Josephson,
+Wang, Charikar, Li, "Multi-Probe LSH", 2007). Candidates of all tables are ranked by their exact
+inner product in double precision.
+
+Parameters follow the number n of rows of a length: projections = 6 + 0.7 log2(n / 2000), and
+probes grow by 1.8 with each projection, since the borders to cross grow with them. Measured share of
+all rows that a query meets, and recall: see `shares` and the README.
+
+Scale. The first projections, about log2(n / PART_ROWS) of them, make a coarse cell, by which rows and
+queries meet in a shuffle; a query goes to each coarse cell once, with the keys of the buckets that
+it visits there, and only those are multiplied. A coarse cell is split into salted parts whose number
+follows n. Copies of a vector beyond the k + 1 smallest ids of a batch go nowhere, as no ranking
+can use them, so a very common vector costs k + 1 rows a batch. A part keeps the k best of each
+query before anything leaves it.
+
+Every row is indexed and every query row is searched. Queries for which the tables find fewer than
+k are searched exactly, in blocks against all rows, so they get all candidates there are, up to k.
 
 Defined cases: a row whose id or vector is null, or whose vector is empty, zero or holds
 null or non-finite numbers takes no part. Vectors of one length are each other's
-candidates; every length has buckets of its own. Rows with the id of the query are not its candidates. Several candidates of
-one id count once, with the best score. Ties go to the smaller id. Empty tables give
-no rows.
+candidates; every length has buckets of its own. Rows with the id of the query are not its
+candidates. Several candidates of one id count once, with the best score. Ties go to the
+smaller id. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -39,37 +45,92 @@ from pyspark.sql import functions as F
 from . import blocks as bl
 from . import textkit as tk
 
-TABLES, PROJECTIONS, WIDTH, PROBES = 4, 4, 2.0, 22
+TABLES, WIDTH, NORM = 8, 2.0, 0.999
 PART_ROWS = 4000
+#: Lengths of vectors that have tables; queries of rarer lengths are searched exactly.
+LENGTHS = 1000
 OUT = "query_id long, rank int, vec_id long, score double"
 
 
+def fitting(n: int) -> dict:
+    """projections, probes, coarse (projections of the coarse cell) and parts for n rows."""
+    k = max(4, round(6 + 0.7 * math.log2(max(n, 1) / 2000)))
+    coarse = min(k, max(1, round(math.log2(max(n, 1) / PART_ROWS)))) if n > PART_ROWS else 1
+    return {"projections": k, "probes": round(24 * 1.8 ** (k - 6)), "coarse": coarse, "parts": max(1, math.ceil(n * 0.6**coarse / (4 * PART_ROWS)))}
+
+
 class Hashes:
-    def __init__(self, dim: int, tables: int, projections: int, width: float, seed: int):
-        rng = np.random.default_rng(seed)
-        self.tables, self.k, self.width = tables, projections, width
-        self.a = rng.normal(size=(tables, dim, projections))
+    """The tables for vectors of one length."""
+
+    def __init__(self, dim: int, norm: float, tables: int, width: float, seed: int, projections: int, probes: int, coarse: int, parts: int):
+        rng = np.random.default_rng([seed, dim])
+        self.dim, self.norm, self.tables, self.k, self.width, self.count, self.coarse, self.parts = dim, norm, tables, projections, width, probes, coarse, parts
+        self.a = rng.normal(size=(tables, dim + 1, projections))
         self.b = rng.uniform(0, width, (tables, projections))
-        self.steps = np.array(list(itertools.product((0, -1, 1), repeat=projections)))
+
+    def completed(self, v: np.ndarray, query: bool) -> np.ndarray:
+        """Unit vectors whose distances follow the inner products."""
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        part = v / (size if query else np.maximum(size, self.norm))
+        rest = 1 - np.minimum(size / (size if query else self.norm), 1) ** 2
+        return np.concatenate([part, np.sqrt(rest)], axis=1)
 
     def place(self, v: np.ndarray, table: int) -> np.ndarray:
-        """Scale-free coordinates: their floor is the cell. Vectors are taken at unit length, which keeps the ranking of neighbours' angles."""
-        return (v / np.linalg.norm(v, axis=1, keepdims=True) @ self.a[table] + self.b[table]) / self.width
+        """Coordinates of completed vectors, whose floor is the cell."""
+        return (v @ self.a[table] + self.b[table]) / self.width
 
-    def key(self, cells: np.ndarray, table: int) -> np.ndarray:
-        h = np.full(cells.shape[:-1], table, np.uint64)
+    def _start(self, table: int) -> np.uint64:
+        return np.uint64(table + (self.dim << 8))
+
+    def keys(self, v: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """(coarse key, key) of the bucket of each completed vector."""
+        cell = np.floor(self.place(v, table)).astype(np.int64).view(np.uint64)
+        h = np.full(len(v), self._start(table))
         for j in range(self.k):
-            h = tk.mix(h + cells[..., j].astype(np.int64).view(np.uint64), j)
-        return h
+            h = tk.mix(h + cell[:, j], j)
+            if j == self.coarse - 1:
+                coarse = h
+        return coarse, h
+
+    def probes(self, q: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """(coarse keys, keys) of the buckets that each query visits, the likeliest first.
 
-    def probes(self, q: np.ndarray, table: int, count: int) -> np.ndarray:
-        """Keys of the buckets to visit, best first."""
+        One projection after the other, own cell or a neighbour; only the cheapest `count` stay, as
+        costs add up, so these are the cheapest of all."""
         at = self.place(q, table)
         cell = np.floor(at)
         into = at - cell
-        cost = sum(np.where(self.steps[None, :, j] == 1, (1 - into[:, j, None]) ** 2, np.where(self.steps[None, :, j] == -1, into[:, j, None] ** 2, 0)) for j in range(self.k))
-        order = np.argsort(cost, axis=1, kind="stable")[:, :count]
-        return self.key(cell[:, None, :] + self.steps[order], table)
+        cost, h, coarse = np.zeros((len(q), 1)), np.full((len(q), 1), self._start(table)), None
+        for j in range(self.k):
+            ways = np.stack([np.zeros(len(q)), into[:, j] ** 2, (1 - into[:, j]) ** 2], axis=1)
+            cells = (cell[:, j, None] + np.array([0, -1, 1])).astype(np.int64).view(np.uint64)
+            cost = (cost[:, :, None] + ways[:, None, :]).reshape(len(q), -1)
+            h = tk.mix(h[:, :, None] + cells[:, None, :], j).reshape(len(q), -1)
+            coarse = None if coarse is None else np.repeat(coarse, 3, axis=1)
+            if j == self.coarse - 1:
+                coarse = h
+            if cost.shape[1] > self.count:
+                best = np.argpartition(cost, self.count - 1, axis=1)[:, : self.count]
+                cost, h = np.take_along_axis(cost, best, 1), np.take_along_axis(h, best, 1)
+                coarse = None if coarse is None else np.take_along_axis(coarse, best, 1)
+        order = np.argsort(cost, axis=1, kind="stable")
+        return np.take_along_axis(coarse, order, 1), np.take_along_axis(h, order, 1)
+
+
+def few_copies(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """Which rows a ranking can use: of each vector the k + 1 smallest ids."""
+    order = np.argsort(ids, kind="stable")
+    bits = np.ascontiguousarray(v.astype(np.float64)).view(np.uint64).reshape(len(v), -1)[order]
+    h = tk.window_hashes(bits.ravel(), bits.shape[1])[:: bits.shape[1]]
+    by = np.argsort(h, kind="stable")
+    s = h[by]
+    start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    size = np.diff(np.append(start, len(s)))
+    nth, lead = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
+    nth[by], lead[by] = np.arange(len(s)) - np.repeat(start, size), np.repeat(by[start], size)
+    keep = np.empty(len(s), bool)
+    keep[order] = (nth <= k) | (bits != bits[lead]).any(axis=1)
+    return keep
 
 
 def lengths(rb: pa.RecordBatch) -> list[int]:
@@ -78,66 +139,91 @@ def lengths(rb: pa.RecordBatch) -> list[int]:
 
 
 def usable(rb: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, float vectors) of the rows that take part."""
+    """(ids, vectors as they are stored) of the rows of this length that take part."""
     ids, vec = rb.column(0), rb.column(1)
     size = pc.fill_null(pc.list_value_length(vec), -1).to_numpy(zero_copy_only=False)
     ok = (size == dim) & ids.is_valid().to_numpy(zero_copy_only=False)
     take = pa.array(np.flatnonzero(ok))
     flat = pc.list_flatten(vec.take(take))
-    v = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    kind = pa.float32() if pa.types.is_float32(flat.type) else pa.float64()
+    v = flat.cast(kind).to_numpy(zero_copy_only=False).reshape(-1, dim)
     good = np.isfinite(v).all(axis=1) & (v != 0).any(axis=1)
     return ids.take(take).to_numpy(zero_copy_only=False)[good], v[good]
 
 
-def _send(params, parts, every):
-    """Rows and query probes by part of a bucket. Without params all vectors of a length are one bucket, and queries are marked in the third column."""
+def _norms(stream):
+    """(length, norm) of the rows that take part."""
+    for rb in stream:
+        for dim in lengths(rb):
+            _, v = usable(rb, dim)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), dim, np.int32)), pa.array(np.linalg.norm(v.astype(np.float64), axis=1))], names=["length", "norm"])
+
+
+def _packed(kind: int, ids, v, rows, *more) -> bytes:
+    """kind 0: rows (ids, vectors, bucket keys); kind 1: queries (ids, vectors, probes of each, their keys)."""
+    bits = np.ascontiguousarray(v[rows]).reshape(-1)
+    return bl.pack(np.full(1, kind, np.uint8), np.full(1, v.shape[1], np.int32), ids[rows], bits.view(np.uint32 if bits.itemsize == 4 else np.uint64), *more)
+
+
+def _groups(key: np.ndarray):
+    """(key, places) of equal keys."""
+    order = np.argsort(key, kind="stable")
+    s = key[order]
+    cut = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, int)
+    for a, b in zip(cut, np.append(cut[1:], len(s)), strict=False):
+        yield int(s[a].view(np.int64)), order[a:b]
+
+
+def _send(made: dict[int, Hashes], every: int, k: int):
+    """Rows, and queries with the keys of the buckets they visit, by part of a coarse cell."""
 
     def rows(stream):
-        made: dict[int, Hashes] = {}
         for rb in stream:
             for dim in lengths(rb):
-                if params is None:
-                    yield from whole(rb, dim)
-                    continue
-                if dim not in made:
-                    if len(made) > 100:
-                        made.clear()
-                    made[dim] = Hashes(dim, *params[:3], params[4])
-                yield from probed(rb, dim, made[dim])
-
-    def whole(rb, dim):
-        key = np.full(1, dim, np.uint64)
-        short = rb.filter(rb.column(2))
-        for kind, part_of in ((0, rb), (1, short)):
-            ids, v = usable(part_of, dim)
-            if len(ids):
-                part = tk.mix(ids.astype(np.int64).view(np.uint64), 9) % np.uint64(parts)
-                to = (part if kind == 0 else np.tile(np.arange(parts, dtype=np.uint64), len(ids)))
-                yield from _blocks(tk.mix(key + (to << np.uint64(32)), 3), kind, np.repeat(np.arange(len(ids)), 1 if kind == 0 else parts), ids, v.view(np.uint64).reshape(len(v), -1))
-
-    def probed(rb, dim, hashes):
-        for ids, v in [usable(rb, dim)]:
-            if not len(ids):
+                if dim in made:
+                    ids, v = usable(rb, dim)
+                    if len(ids):
+                        yield from sent(made[dim], ids, v)
+
+    def sent(hashes, ids, v):
+        wide = v.astype(np.float64)
+        use, asks = np.flatnonzero(few_copies(ids, v, k)), np.flatnonzero(ids % every == 0)
+        full, ask = hashes.completed(wide[use], False), hashes.completed(wide[asks], True)
+        part = tk.mix(ids[use].astype(np.int64).view(np.uint64), 9) % np.uint64(hashes.parts)
+        for t in range(hashes.tables):
+            coarse, key = hashes.keys(full, t)
+            for to, at in _groups(tk.mix(coarse + part, 3)):
+                yield to, _packed(0, ids, v, use[at], key[at])
+            if not len(asks):
                 continue
-            bits = v.view(np.uint64).reshape(len(v), -1)
-            asks = np.flatnonzero(ids % every == 0)
-            for t in range(hashes.tables):
-                key = hashes.key(np.floor(hashes.place(v, t)), t) + np.uint64(dim)
-                part = tk.mix(ids.astype(np.int64).view(np.uint64), 9) % np.uint64(parts)
-                yield from _blocks(tk.mix(key + part, 3), 0, np.arange(len(ids)), ids, bits)
-                if len(asks):
-                    probe = hashes.probes(v[asks], t, params[3]) + np.uint64(dim)
-                    to = tk.mix(probe[:, :, None] + np.arange(parts, dtype=np.uint64), 3)
-                    row = np.broadcast_to(asks[:, None, None], to.shape)
-                    yield from _blocks(to.ravel(), 1, row.ravel(), ids, bits)
-
-    def _blocks(key, kind, row, ids, bits):
-        order = np.argsort(key, kind="stable")
-        s = key[order].view(np.int64)
-        cut = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        for a, b in zip(cut, np.append(cut[1:], len(s)), strict=True):
-            r = row[order[a:b]]
-            yield int(s[a]), bl.pack(np.full(len(r), kind, np.uint8), ids[r], np.full(len(r), bits.shape[1], np.int32), bits[r].ravel())
+            coarse, key = hashes.probes(ask, t)
+            who = np.repeat(np.arange(len(asks)), key.shape[1])
+            for cell, at in _groups(coarse.ravel()):
+                mine, n = np.unique(who[at], return_counts=True)  # a stable order: a query's keys stand together
+                for p in range(hashes.parts):
+                    to = tk.mix(np.array([cell], np.int64).view(np.uint64) + np.uint64(p), 3).view(np.int64)[0]
+                    yield int(to), _packed(1, ids, v, asks[mine], n.astype(np.uint32), key.ravel()[at])
+
+    return lambda stream: bl.batches(rows(stream))
+
+
+def _send_whole(counts: dict[int, int], every: int, k: int):
+    """All rows by part, and the queries marked in the third column to all parts; `counts` names the parts of each length."""
+
+    def rows(stream):
+        for rb in stream:
+            for dim in lengths(rb):
+                ids, v = usable(rb, dim)
+                use = np.flatnonzero(few_copies(ids, v, k)) if len(ids) else []
+                parts = counts.get(dim, 1)
+                key = lambda p, d=dim: tk.mix(np.asarray(p).astype(np.uint64) + np.uint64(d << 32), 3)
+                if len(use):
+                    for to, at in _groups(key(tk.mix(ids[use].astype(np.int64).view(np.uint64), 9) % np.uint64(parts))):
+                        yield to, _packed(0, ids, v, use[at], np.zeros(len(at), np.uint64))
+                asks, q = usable(rb.filter(rb.column(2)), dim)
+                for p in range(parts) if len(asks) else ():
+                    one = np.ones(len(asks), np.uint32)
+                    yield int(key([p]).view(np.int64)[0]), _packed(1, asks, q, np.arange(len(asks)), one, np.zeros(len(asks), np.uint64))
 
     return lambda stream: bl.batches(rows(stream))
 
@@ -161,32 +247,35 @@ def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.add.reduce(q * v, axis=1)
 
 
-def search_part(qid, q, vid, v, k):
-    """The k best of each query in one part of a bucket."""
-    order = np.argsort(vid, kind="stable")
-    vid, v = vid[order], v[order]
-    bits = v.view(np.uint64).reshape(len(v), -1)
-    h = tk.window_hashes(bits.ravel(), bits.shape[1])[:: bits.shape[1]]
-    by = np.argsort(h, kind="stable")
-    s = h[by]
-    start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    nth = np.empty(len(s), np.int64)
-    nth[by] = np.arange(len(s)) - np.repeat(start, np.diff(np.append(start, len(s))))
-    if (nth > k).any():
-        lead = np.empty(len(s), np.int64)
-        lead[by] = np.repeat(by[start], np.diff(np.append(start, len(s))))
-        keep = (nth <= k) | (bits != bits[lead]).any(axis=1)
-        vid, v = vid[keep], v[keep]
+def search_part(qid, q, n_probes, probes, vid, v, key, k):
+    """The k best of each query among the rows of the buckets it visits (equal keys)."""
+    keep = few_copies(vid, v, k)
+    vid, v, key = vid[keep], v[keep], key[keep]
+    order = np.argsort(key, kind="stable")
+    vid, v, key = vid[order], v[order], key[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    end = np.append(start[1:], len(key))
+    who = np.repeat(np.arange(len(qid)), n_probes)
+    at = np.minimum(np.searchsorted(key[start], probes), len(start) - 1)
+    hit = key[start][at] == probes
+    who, at = who[hit], at[hit]
     out = []
     for a in range(0, len(qid), 256):
-        g = q[a : a + 256] @ v.T
+        lo, hi = np.searchsorted(who, (a, a + 256))
+        g = np.full((min(256, len(qid) - a), len(vid)), -np.inf)
+        by = np.argsort(at[lo:hi], kind="stable")
+        cut = np.flatnonzero(np.append(True, np.diff(at[lo:hi][by]) != 0)) if hi > lo else np.zeros(0, int)
+        for i, j in zip(cut, np.append(cut[1:], hi - lo), strict=False):
+            mine, b = who[lo:hi][by[i:j]] - a, at[lo + by[i]]
+            g[mine, start[b] : end[b]] = q[a + mine] @ v[start[b] : end[b]].T
         g[qid[a : a + 256, None] == vid[None, :]] = -np.inf
         if len(vid) > k:
             edge = np.partition(g, len(vid) - k, axis=1)[:, len(vid) - k, None]
-            at = np.nonzero((g >= edge - 1e-9 * np.maximum(1, np.abs(edge))) & (g > -np.inf))
+            near = np.where(np.isfinite(edge), edge - 1e-9 * np.maximum(1, np.abs(edge)), -np.inf)
+            i, j = np.nonzero((g >= near) & (g > -np.inf))
         else:
-            at = np.nonzero(g > -np.inf)
-        i, j = at[0] + a, at[1]
+            i, j = np.nonzero(g > -np.inf)
+        i = i + a
         out.append(best(qid[i], vid[j], exact(q[i], v[j]), k))
     qid, _, vid, score = (np.concatenate(x) for x in zip(*out, strict=True))
     return qid, vid, score
@@ -194,18 +283,16 @@ def search_part(qid, q, vid, v, k):
 
 def _search(k, query_bits):
     def work(_, held):
-        by: dict[int, list] = {}
-        for kind, ids, dims, bits in map(bl.unpack, held):
-            by.setdefault(int(dims[0]), []).append((kind, ids, bits.view(np.float64).reshape(len(ids), -1)))
-        for same in by.values():
-            yield from _one(*(np.concatenate(x) for x in zip(*same, strict=True)))
-
-    def _one(kind, ids, v):
-        asks = kind == 1
-        if asks.any() and not asks.all():
-            q, vid, score = search_part(ids[asks], v[asks], ids[~asks], v[~asks], k)
-            if len(q):
-                yield from bl.to_documents(q, query_bits, vid, score)
+        by: dict[int, tuple[list, list]] = {}
+        for kind, dim, ids, bits, *more in map(bl.unpack, held):
+            v = bits.view(np.float32 if bits.itemsize == 4 else np.float64).reshape(len(ids), -1).astype(np.float64)
+            by.setdefault(int(dim[0]), ([], []))[kind[0]].append((ids, v, *more))
+        for rows, asks in by.values():
+            if rows and asks:
+                vid, v, key = (np.concatenate(x) for x in zip(*rows, strict=True))
+                q, vid, score = search_part(*(np.concatenate(x) for x in zip(*asks, strict=True)), vid, v, key, k)
+                if len(q):
+                    yield from bl.to_documents(q, query_bits, vid, score)
 
     each = bl.each_bucket(work)
     return lambda stream: bl.batches(each(stream))
@@ -219,22 +306,43 @@ def _rank(k):
     return bl.each_bucket(work)
 
 
-def nearest(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, probes: int = PROBES, seed: int = 1) -> DataFrame:
+def nearest(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20, tables: int = TABLES, projections: int | None = None, width: float = WIDTH, probes: int | None = None, seed: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k nearest found."""
     rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("vector"))
-    n = rows.agg(F.count("id").alias("n")).first()["n"] or 0
-    parts, query_bits = max(1, -(-n // (PART_ROWS * 16))), bl.bits_for(n / every, 2000)
+    sizes = rows.mapInArrow(_norms, "length int, norm double").groupBy("length").agg(F.count("*").alias("n"), F.percentile_approx("norm", NORM, 10_000).alias("norm"))
+    found = sizes.orderBy(F.desc("n"), "length").limit(LENGTHS).collect()
+    n, query_bits = sum(r["n"] for r in found), bl.bits_for(sum(r["n"] for r in found) / every, 2000)
+    given = {name: x for name, x in (("projections", projections), ("probes", probes)) if x is not None}
+    made = {}
+    for r in found:
+        fit = fitting(r["n"]) | given
+        made[r["length"]] = Hashes(r["length"], r["norm"], tables, width, seed, **fit | {"coarse": min(fit["coarse"], fit["projections"])})
 
     def ranked(sent):
-        found = bl.regrouped(sent).mapInArrow(_search(k, query_bits), bl.BLOCK_SCHEMA)
-        return bl.regrouped(found).mapInArrow(_rank(k), OUT)
+        return bl.regrouped(bl.regrouped(sent).mapInArrow(_search(k, query_bits), bl.BLOCK_SCHEMA)).mapInArrow(_rank(k), OUT)
 
-    first = bl.cut(ranked(rows.mapInArrow(_send((tables, projections, width, probes, seed), parts, every), bl.BLOCK_SCHEMA)))
+    first = bl.cut(ranked(rows.mapInArrow(_send(made, every, k), bl.BLOCK_SCHEMA)))
     full = first.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), F.lit(True).alias("full"))
     marked = rows.join(full, "id", "left").select("id", "vector", (F.col("full").isNull() & (F.col("id") % every == 0)).alias("short"))
     finite = "not exists(vector, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(vector, x -> x <> 0)"
     marked = marked.withColumn("short", F.coalesce(F.col("short") & F.expr(finite), F.lit(False)))
-    if not marked.where("short").limit(1).count():
+    if not n or not marked.where("short").limit(1).count():
         return first
-    again = ranked(marked.mapInArrow(_send(None, max(1, -(-n // PART_ROWS)), every), bl.BLOCK_SCHEMA))
+    again = ranked(marked.mapInArrow(_send_whole({r["length"]: -(-r["n"] // PART_ROWS) for r in found}, every, k), bl.BLOCK_SCHEMA))
     return first.join(full.select(F.col("id").alias("query_id")), "query_id", "left_semi").unionByName(again)
+
+
+def shares(ids: np.ndarray, v: np.ndarray, k: int = 20, every: int = 20, seed: int = 1, **given) -> tuple[float, float]:
+    """(recall, share of all rows that a query meets) of the parameters for these rows, against brute force in memory: for samples."""
+    v = np.asarray(v, np.float64)
+    hashes = Hashes(v.shape[1], float(np.quantile(np.linalg.norm(v, axis=1), NORM)), TABLES, WIDTH, seed, **fitting(len(v)) | given)
+    asks = np.flatnonzero(ids % every == 0)
+    met = np.zeros((len(asks), len(v)), bool)
+    for t in range(hashes.tables):
+        key, probes = hashes.keys(hashes.completed(v, False), t)[1], hashes.probes(hashes.completed(v[asks], True), t)[1]
+        for row, own in zip(met, probes, strict=True):
+            row |= np.isin(key, own)
+    scores = v[asks] @ v.T
+    scores[ids[asks][:, None] == ids[None, :]] = -np.inf
+    top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    return float(np.take_along_axis(met, top, 1).mean()), float(met.mean())

@@ -54,7 +54,7 @@ def test_cases(spark):
     rows = [r for r in rows if r[0] != 40]
     bad = [(60, None), (None, [1.0] * 8), (80, [0.0] * 8), (100, [float("nan")] * 8), (120, [float("inf")] + [0.0] * 7), (140, [None] + [1.0] * 7), (160, [])]
     df = spark.createDataFrame([(i, v, 3) for i, v in rows + bad], "vec_id long, embedding array<double>, bucket int").repartition(4)
-    got = collected(nearest.nearest(df, probes=81, width=100.0))  # one bucket: exact
+    got = collected(nearest.nearest(df, projections=4, probes=81, width=100.0))  # one bucket: exact
     ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     want = brute(ids, v)
     got_pairs = {q: [x for _, x, _ in r] for q, r in got.items()}
@@ -83,3 +83,35 @@ def test_lengths_and_lonely_queries(spark):
     want = brute(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
     assert recall(got, want) == 1 and set(got) == set(want) | {900}
     assert [x for _, x, _ in got[900]] == [901]
+
+
+def test_uneven_norms(spark):
+    """Rows of very different norms, one far longer than all: the largest inner products are found."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(3000, 24)) * rng.lognormal(0, 0.7, (3000, 1))
+    v[77] *= 1000
+    ids = np.arange(3000)
+    got = collected(nearest.nearest(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)))
+    assert recall(got, brute(ids, v)) >= 0.9
+
+
+def test_share_falls_with_the_rows(spark):
+    """What a query meets of all rows, next to recall, at growing sizes of vectors without structure."""
+    rng, seen = np.random.default_rng(7), []
+    for n in (2000, 8000, 32000):
+        v = rng.normal(size=(n, 64))
+        seen.append(nearest.shares(np.arange(n), v / np.linalg.norm(v, axis=1, keepdims=True), every=n // 40))
+    assert all(r >= 0.9 for r, _ in seen)
+    assert seen[0][1] > seen[1][1] > seen[2][1] and seen[2][1] < 0.65
+
+
+def test_a_common_vector(spark):
+    """A third of the rows are one vector; of its copies a batch sends as many as a ranking can use."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(900, 16)).astype(np.float32)
+    v[::3] = v[0]
+    ids = np.arange(900)
+    keep = nearest.few_copies(ids, v, 20)
+    assert keep.sum() == 600 + 21 and keep[:63:3].all()
+    got = collected(nearest.nearest(spark.createDataFrame([(int(k), x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)))
+    assert recall(got, brute(ids, v.astype(np.float64))) >= 0.9
