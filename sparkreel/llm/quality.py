@@ -1,26 +1,34 @@
-"""Quality rules whose thresholds carry a guarantee on false rejections.
+"""Quality rules whose threshold carries a guarantee on false rejections.
 
 Base counts per document come from the whole text. A base failure (too few words, or
-too much repetition) rejects at once. Five further rules reject a document whose score
-is above a cutoff. Cutoffs are not chosen by hand: labelled documents are the holdout,
-and per stratum (language) and rule the cutoffs of a fixed grid are tested from the most
-lenient on. A cutoff stands if the exact binomial (Clopper-Pearson) upper bound of the
-share of good documents it rejects is at most ALPHA / number of rules, at confidence
-1 - DELTA / (strata * rules) (Bonferroni); testing stops at the first that fails
-(fixed-sequence testing, so the grid itself costs no correction). With probability
-1 - DELTA, no stratum loses more than ALPHA of its good documents to these rules. A
-stratum with too few labels keeps everything that passes the base. The grid is fixed
+too much repetition) rejects at once. Five further rules (RULES) score a document, each
+as a share of a fixed scale. They form one family along a single path: at step s of it
+every rule rejects what reaches s / GRID of its scale, so a document's place is its
+largest share. Where a stratum (language) stops on that path is not chosen by hand.
+Labelled good documents that pass the base are the holdout, and the steps are tested
+from the most lenient on. A step stands if the exact binomial (Clopper-Pearson) upper
+bound of the share of good documents it rejects is at most ALPHA, at confidence
+1 - DELTA / strata (Bonferroni); testing stops at the first that fails (fixed-sequence
+testing, so the path itself costs no correction). With probability 1 - DELTA, no stratum
+loses more than ALPHA of its good documents to these rules. The path is fixed
 beforehand, so no label is used twice.
 
+Small strata. A step can stand at all only with n good labels such that
+(1 - ALPHA)^n <= DELTA / strata. Strata with fewer are pooled into one; while that is too
+small too, the smallest other stratum joins it. The guarantee is then for the pool. This looks at
+the numbers of labels only, never at scores. With too few labels in all (148 for one
+stratum at the default parameters), everything that passes the base is kept.
+
 Scale. One pass over texts makes one narrow row per document, which is written to the
-shared folder once; labels join those rows by doc_id, and only counts per stratum, rule
-and grid step reach the driver (at most STRATA * 5 * (GRID + 1) numbers). More
-languages than STRATA share one further stratum.
+shared folder once; labels join those rows by doc_id, and only counts per stratum and step
+reach the driver (at most (STRATA + 1) * GRID numbers). More languages than STRATA share
+the pool.
 
 Defined cases: null or empty text has no words and fails the base. A null language is a
 stratum of its own. A doc_id labelled several times counts as good if any label is good;
 null labels and null ids count for nothing. Repeated rows are judged alike. Other
-columns are ignored. Without labels, every document that passes the base is kept.
+columns, whatever their names, are ignored. Empty tables give no rows; without labels,
+every document that passes the base is kept.
 """
 
 from __future__ import annotations
@@ -36,17 +44,18 @@ from . import blocks as bl
 from . import textkit as tk
 
 ALPHA, DELTA = 0.02, 0.05
-STRATA, GRID = 64, 60
+STRATA, GRID = 64, 100
 MIN_WORDS = 50
 
 _COUNTS = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
-#: Score of each rule; a higher score is worse. Scores of texts without words are 0.
-_RULES = {
+#: Score of each rule as a share of its scale (1: as bad as it gets); texts without words score 0. Scales are
+#: a symbol for each word, half of the words repeated, all lines repeated, 20 characters a word, words of 0.
+RULES = {
     "symbols": "n_symbols / greatest(n_words, 1)",
-    "repeats": "n_repeat_words / greatest(n_words, 1)",
+    "repeats": "2D * n_repeat_words / greatest(n_words, 1)",
     "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
-    "long_words": "least(1.0D, word_chars / greatest(n_words, 1) / 20)",
-    "short_words": "greatest(0.0D, 1 - word_chars / greatest(n_words, 1) / 4)",
+    "long_words": "word_chars / greatest(n_words, 1) / 20D",
+    "short_words": "1D - word_chars / greatest(n_words, 1) / 4D",
 }
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"[#*$%&|<>]"[1:-1], np.uint8))
 
@@ -92,71 +101,85 @@ def _measure(stream):
             yield pa.RecordBatch.from_arrays(cols, schema=_SCHEMA)
 
 
+def at_most(k: int, n: int, p: float) -> float:
+    """Probability of k or fewer of n, each with probability p; by logarithms, so that large n do not underflow."""
+    i = np.arange(1, k + 1)
+    steps = np.log(n - i + 1) - np.log(i) + math.log(p) - math.log1p(-p)
+    return float(np.exp(n * math.log1p(-p) + np.append(0, np.cumsum(steps))).sum())
+
+
 def upper_bound(k: int, n: int, delta: float) -> float:
-    """Largest rate at which k or fewer of n still have probability delta (Clopper-Pearson)."""
+    """Largest rate at which k or fewer of n still have probability delta (Clopper-Pearson); 1 without any."""
     if k >= n:
         return 1.0
-
-    def tail(p: float) -> float:  # P(X <= k), by logarithms
-        base = n * math.log1p(-p)
-        term, total = base, math.exp(base) if base > -700 else 0.0
-        for i in range(1, k + 1):
-            term += math.log(n - i + 1) - math.log(i) + math.log(p) - math.log1p(-p)
-            total += math.exp(term) if term > -700 else 0.0
-        return total
-
-    lo, hi = k / n, 1.0 - 1e-12
+    lo, hi = 1e-12, 1.0 - 1e-12
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if mid > 0 and tail(mid) > delta else (lo, mid) if mid > 0 else (mid, hi)
+        lo, hi = (mid, hi) if at_most(k, n, mid) > delta else (lo, mid)
     return hi
 
 
-def cutoffs(good: dict[tuple[str | None, str], list[int]], alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str | None, str], int]:
-    """For each stratum and rule the lowest grid step that stands (GRID: none, nothing is rejected).
+def needed(strata: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """Good labels without which no step of a stratum can stand."""
+    return math.ceil(math.log(delta / strata) / math.log1p(-alpha))
+
 
-    good[stratum, rule][s]: good holdout documents whose score lies in step s (0 .. GRID - 1).
-    A cutoff at step s rejects scores in steps s and above.
+def pooled(labels: dict[str, int], alpha: float = ALPHA, delta: float = DELTA) -> set[str]:
+    """The strata that have too few labels to be tested alone, and those that join them."""
+    alone = [s for s, _ in sorted(labels.items(), key=lambda x: (-x[1], x[0]))]
+    pool: list[str] = []
+    while alone and labels[alone[-1]] < needed(len(alone) + bool(pool), alpha, delta):
+        pool.append(alone.pop())
+    while alone and pool and sum(labels[s] for s in pool) < needed(len(alone) + 1, alpha, delta):
+        pool.append(alone.pop())
+    return set(pool)
+
+
+def cutoffs(good: dict[str, list[int]], alpha: float = ALPHA, delta: float = DELTA) -> dict[str, int]:
+    """For each stratum the lowest step that stands (GRID: none, nothing is rejected).
+
+    good[stratum][s]: good holdout documents whose place is step s (0 .. GRID - 1). A cutoff at
+    step s rejects places in steps s and above.
     """
-    strata = {s for s, _ in good}
-    each = delta / max(1, len(strata) * len(_RULES))
     out = {}
-    for key, by_step in good.items():
-        n, gone, step = sum(by_step), 0, GRID
-        while step > 1 and upper_bound(gone + by_step[step - 1], n, each) <= alpha / len(_RULES):
+    for stratum, by_step in good.items():
+        n, gone, step = sum(by_step), 0, len(by_step)
+        # the upper bound is at most alpha just if so few are improbable at alpha
+        while step > 1 and (k := gone + by_step[step - 1]) < n and at_most(k, n, alpha) <= delta / len(good):
             step -= 1
             gone += by_step[step]
-        out[key] = step
+        out[stratum] = step
     return out
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Counts, rule steps (s_<rule>) and base_failed of each document."""
+    """Counts, place (step on the path), the rule that sets it (the first of equal ones) and base_failed of each document."""
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(lang as string) stratum", "cast(text as string) text").mapInArrow(_measure, _COUNTS)
-    steps = {f"s_{k}": F.expr(f"cast(floor(least(greatest({v}, 0), 0.999999D) * {GRID}) as int)") for k, v in _RULES.items()}
-    return rows.withColumns(steps | {"base_failed": F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words")})
+    shares = [F.greatest(F.lit(0.0), F.expr(f"if(n_words = 0, 0D, {v})")) for v in RULES.values()]
+    worst = F.greatest(*shares)
+    rule = F.coalesce(*[F.when(x == worst, F.lit(k)) for k, x in zip(RULES, shares, strict=True)])
+    place = F.floor(F.least(worst, F.lit(0.999999)) * GRID).cast("int")
+    return rows.withColumns({"place": place, "rule": rule, "base_failed": F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words")})
+
+
+#: Names of the pool and of the stratum without language, which no language has.
+_POOL, _NONE = "\1", "\0"
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per row of docs (doc_id, text, lang): the base counts, base_failed and kept, and which rules reject."""
-    rows = bl.cut(measured(docs))
+    """One row per row of docs (doc_id, text, lang): the base counts, base_failed, kept, and rejected_by: the rule that rejects, if one does."""
+    rows = bl.cut(measured(docs)).withColumn("_s", F.coalesce("stratum", F.lit(_NONE)))
     good = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1")
-    held = rows.where("not base_failed").join(good, "doc_id")
-    top = [r["stratum"] for r in held.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(STRATA).collect()]
-    stratum = F.when(F.coalesce(F.array_contains(F.array(*[F.lit(x) for x in top if x is not None] or [F.lit("")]), F.col("stratum")), F.lit(None in top)), F.coalesce("stratum", F.lit("\0"))).otherwise(F.lit("\1"))
-    per = held.select(stratum.alias("stratum"), F.explode(F.create_map(*[x for k in _RULES for x in (F.lit(k), F.col(f"s_{k}"))])).alias("rule", "step"))
-    counted: dict = {}
-    for r in per.groupBy("stratum", "rule", "step").count().collect():
-        counted.setdefault((r["stratum"], r["rule"]), [0] * GRID)[r["step"]] = r["count"]
-    stand = cutoffs(counted, alpha, delta)
-    named = rows.withColumn("_s", stratum)
-    for k in _RULES:
-        steps = [(s, c) for (s, rule), c in stand.items() if rule == k and c < GRID]
-        hit = F.lit(False)
-        for s, c in steps:
-            hit = hit | ((F.col("_s") == s) & (F.col(f"s_{k}") >= c))
-        named = named.withColumn(f"rejects_{k}", hit)
-    kept = ~F.col("base_failed")
-    for k in _RULES:
-        kept = kept & ~F.col(f"rejects_{k}")
-    return named.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *[f"rejects_{k}" for k in _RULES])
+    held = bl.cut(rows.where("not base_failed").join(good, "doc_id").groupBy("_s", "place").count())  # narrow: one row a language and step
+    most = {r["_s"]: r["n"] for r in held.groupBy("_s").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "_s").limit(STRATA).collect()}
+    alone = sorted(most.keys() - pooled(most, alpha, delta))
+    stratum = F.when(F.col("_s").isin(alone), F.col("_s")).otherwise(_POOL) if alone else F.lit(_POOL)
+    by_step: dict[str, list[int]] = {}
+    for r in held.groupBy(stratum.alias("_s"), "place").agg(F.sum("count").alias("n")).collect():
+        by_step.setdefault(r["_s"], [0] * GRID)[r["place"]] = r["n"]
+    stand = [(s, c) for s, c in cutoffs(by_step, alpha, delta).items() if c < GRID]
+    hit = F.lit(False)
+    for s, c in stand:
+        hit = hit | ((stratum == s) & (F.col("place") >= c))
+    rejected = F.when(~F.col("base_failed") & hit, F.col("rule"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & rejected.isNull()).alias("kept"), rejected.alias("rejected_by"))

@@ -3,8 +3,10 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 from cases import documents, rows
 from pyspark.sql import functions as F
 
@@ -31,9 +33,85 @@ def compare(got, docs):
         assert not (r.base_failed and r.kept)
 
 
-def test_table(spark, sf_dir):
-    docs = [tuple(x) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    compare(queries.op8_quality_rules(spark, sf_dir).collect(), docs)
+def place(t):
+    """Step on the path, computed from the text."""
+    n, chars, symbols, dup, repeated = brute(t)
+    if not n:
+        return 0
+    lines = sum(1 for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x))
+    return math.floor(min(max(0, symbols / n, 2 * repeated / n, dup / max(lines, 1), chars / n / 20, 1 - chars / n / 4), 0.999999) * 100)
+
+
+def least_step(places, delta):
+    """The strictest step that stands, by sums of binomial probabilities."""
+    n, step = len(places), 100
+    while step > 1:
+        k = sum(p >= step - 1 for p in places)
+        # the bound is at most ALPHA exactly if k or fewer of n have probability delta or less at ALPHA
+        if k >= n or math.fsum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1)) > delta:
+            break
+        step -= 1
+    return step
+
+
+def verdicts(docs, marks):
+    """kept by row, independently: docs (doc_id, text, lang), marks (doc_id, quality)."""
+    good = {d for d, q in marks if d is not None and q == 1}
+    failed = lambda t: brute(t)[0] < 50 or 100 * brute(t)[4] > 50 * brute(t)[0]
+    base, places = [failed(t) for _, t, _ in docs], [place(t or "") for _, t, _ in docs]
+    held = defaultdict(list)
+    for (d, _, lang), b, p in zip(docs, base, places, strict=True):
+        if d in good and not b:
+            held[lang].append(p)
+    order = sorted(held, key=lambda x: (len(held[x]), [-ord(c) for c in x or ""]))
+    need = lambda m: next(n for n in range(10**4) if 0.98**n <= 0.05 / m)
+    pool = []
+    while order and len(held[order[0]]) < need(len(order) + bool(pool)):
+        pool.append(order.pop(0))
+    while order and pool and sum(len(held[x]) for x in pool) < need(len(order) + 1):
+        pool.append(order.pop(0))
+    groups = {x: held[x] for x in order} | ({"pool": [p for x in pool for p in held[x]]} if pool else {})
+    cut = {x: least_step(p, 0.05 / len(groups)) for x, p in groups.items()}
+    return [(d, not b and p < cut.get(lang if lang in order else "pool", 100)) for (d, _, lang), b, p in zip(docs, base, places, strict=True)]
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_table(spark, folder):
+    """Counts and verdicts of the whole table, computed a second time from the texts."""
+    docs = [tuple(x) for x in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    marks = [tuple(x) for x in spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality").collect()]
+    got = queries.op8_quality_rules(spark, folder).collect()
+    compare(got, [d[:2] for d in docs])
+    assert sorted((r.doc_id, r.kept) for r in got) == sorted(verdicts(docs, marks))
+    rejected = [r for r in got if not r.base_failed and not r.kept]
+    assert all((r.rejected_by is None) == (r.kept or r.base_failed) for r in got)
+    if folder.endswith("0.01"):
+        assert len(rejected) > 20  # the rules have power
+
+
+def test_small_strata_are_pooled():
+    assert quality.needed(1) == 149 and 0.98**149 <= 0.05 < 0.98**148
+    assert quality.pooled({"en": 5000, "de": 400}) == set()
+    assert quality.pooled({"en": 5000, "de": 100, "fr": 90, "es": 80}) == {"de", "fr", "es"}
+    assert quality.pooled({"en": 214, "fr": 47, "de": 36, "es": 30}) == {"en", "fr", "de", "es"}  # three together are too few
+    assert quality.pooled({}) == set() and quality.pooled({"en": 3}) == {"en"}
+
+
+def test_strata(spark):
+    """A language with labels of its own, a small one that shares the pool with null, and more languages than labels."""
+    rng, docs, marks = random.Random(14), [], []
+    for k in range(1500):
+        bad = k % 5 == 0
+        lang = ["en", "en", "en", "de", None][k % 7 % 5]
+        words = [f"{rng.choice('abcdefg')}{rng.randrange(10**6)}x" for _ in range(60)]
+        for i in rng.sample(range(60), rng.randrange(25, 50) if bad else rng.randrange(4)):
+            words[i] = "##"
+        docs.append((k, " ".join(words), lang))
+        marks.append((k, int(not bad)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = quality.judge(df, labels(spark, [(d, q, 0) for d, q in marks])).collect()
+    assert sorted((r.doc_id, r.kept) for r in got) == sorted(verdicts(docs, marks))
+    assert {r.rejected_by for r in got} == {None, "symbols"}
 
 
 def labels(spark, rows_):
@@ -73,12 +151,14 @@ def test_bound_is_exact():
 
 
 def test_cutoffs_keep_their_promise_often():
-    """Over many drawn holdouts, rules reject more than ALPHA of the good in at most DELTA of them."""
-    rng, failures = random.Random(8), 0
-    for _ in range(60):
-        steps = [0] * quality.GRID
-        for _ in range(2000):
-            steps[min(quality.GRID - 1, int(rng.expovariate(0.15)))] += 1
-        c = quality.cutoffs({("en", k): steps for k in quality._RULES})["en", "symbols"]
-        failures += math.exp(-0.15 * c) > quality.ALPHA / len(quality._RULES)
-    assert failures <= 3
+    """Over many drawn holdouts, some of several strata lose more than ALPHA of the good in at most DELTA of them."""
+    rng, failures, powerful = np.random.default_rng(8), 0, 0
+    for _ in range(200):
+        drawn = {}
+        for name, n in (("a", 300), ("b", 700), ("c", 2000)):
+            places = np.minimum(quality.GRID - 1, rng.exponential(7, n).astype(int))
+            drawn[name] = np.bincount(places, minlength=quality.GRID).tolist()
+        cut = quality.cutoffs(drawn)
+        failures += any(c < quality.GRID and math.exp(-c / 7) > quality.ALPHA for c in cut.values())
+        powerful += sum(c < quality.GRID for c in cut.values())
+    assert failures <= 200 * quality.DELTA + 8 and powerful > 500
