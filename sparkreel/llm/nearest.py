@@ -46,7 +46,7 @@ from . import blocks as bl
 from . import textkit as tk
 
 TABLES, WIDTH, NORM = 8, 2.0, 0.999
-PART_ROWS = 4000
+PART_ROWS, SAMPLE = 16_000, 1024
 #: Lengths of vectors that have tables; queries of rarer lengths are searched exactly.
 LENGTHS = 1000
 OUT = "query_id long, rank int, vec_id long, score double"
@@ -259,25 +259,33 @@ def search_part(qid, q, n_probes, probes, vid, v, key, k):
     at = np.minimum(np.searchsorted(key[start], probes), len(start) - 1)
     hit = key[start][at] == probes
     who, at = who[hit], at[hit]
-    out = []
-    for a in range(0, len(qid), 256):
-        lo, hi = np.searchsorted(who, (a, a + 256))
-        g = np.full((min(256, len(qid) - a), len(vid)), -np.inf)
-        by = np.argsort(at[lo:hi], kind="stable")
-        cut = np.flatnonzero(np.append(True, np.diff(at[lo:hi][by]) != 0)) if hi > lo else np.zeros(0, int)
-        for i, j in zip(cut, np.append(cut[1:], hi - lo), strict=False):
-            mine, b = who[lo:hi][by[i:j]] - a, at[lo + by[i]]
-            g[mine, start[b] : end[b]] = q[a + mine] @ v[start[b] : end[b]].T
-        g[qid[a : a + 256, None] == vid[None, :]] = -np.inf
-        if len(vid) > k:
-            edge = np.partition(g, len(vid) - k, axis=1)[:, len(vid) - k, None]
-            near = np.where(np.isfinite(edge), edge - 1e-9 * np.maximum(1, np.abs(edge)), -np.inf)
-            i, j = np.nonzero((g >= near) & (g > -np.inf))
-        else:
-            i, j = np.nonzero(g > -np.inf)
-        i = i + a
-        out.append(best(qid[i], vid[j], exact(q[i], v[j]), k))
-    qid, _, vid, score = (np.concatenate(x) for x in zip(*out, strict=True))
+    # a bound for the k-th best of each query from some rows, which are candidates as well; only what reaches it is kept
+    some = np.unique(np.linspace(0, len(vid) - 1, SAMPLE).astype(np.int64))
+    g = q @ v[some].T
+    g[qid[:, None] == vid[some][None, :]] = -np.inf
+    bound = np.partition(g, len(some) - k, axis=1)[:, len(some) - k] if len(some) > k else np.full(len(qid), -np.inf)
+    bound = np.where(np.isfinite(bound), bound - 1e-9 * np.maximum(1, np.abs(bound)), -np.inf)
+    i, j = np.nonzero((g >= bound[:, None]) & (g > -np.inf))
+    found = [(i, some[j], g[i, j])]
+    by = np.argsort(at, kind="stable")
+    cut = np.flatnonzero(np.append(True, np.diff(at[by]) != 0)) if len(by) else np.zeros(0, int)
+    for i, j in zip(cut, np.append(cut[1:], len(by)), strict=False):
+        mine, b = who[by[i:j]], at[by[i]]
+        g = q[mine] @ v[start[b] : end[b]].T
+        r, c = np.nonzero(g >= bound[mine, None])
+        found.append((mine[r], start[b] + c, g[r, c]))
+    i, j, g = (np.concatenate(x) for x in zip(*found, strict=True))
+    other = qid[i] != vid[j]
+    i, j, g = i[other], j[other], g[other]
+    # the k best by these products, with those that rounding may bring to the place, are ranked exactly
+    order = np.lexsort((-g, i))
+    i, j, g = i[order], j[order], g[order]
+    first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, int)
+    size = np.diff(np.append(first, len(i)))
+    edge = g[np.minimum(first + 2 * k, first + size) - 1]  # a row may stand twice, from the sample and its bucket
+    keep = g >= np.repeat(edge - 1e-9 * np.maximum(1, np.abs(edge)), size)
+    i, j = i[keep], j[keep]
+    qid, _, vid, score = best(qid[i], vid[j], exact(q[i], v[j]), k)
     return qid, vid, score
 
 
