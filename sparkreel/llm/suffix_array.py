@@ -1,18 +1,22 @@
-"""Suffix arrays by induced sorting, in array passes.
+"""Suffix arrays by induced sorting.
 
 classify -> sort the substrings between leftmost-smaller (LMS) positions by one
 round of induction and name them -> order the LMS suffixes by recursion on the
-string of names -> induce the whole array from them. Induction walks the 256 byte
-buckets in order and moves a whole bucket at a time, which is linear in the text.
-The string of names has a large alphabet, where a bucket holds few entries; there
-the recursion continues by doubling the sorted length of those names that are
-still tied. Public algorithm: Nong, Zhang, Chan, "Linear Suffix Array Construction
-by Almost Pure Induced-Sorting", 2009; permuted common prefixes after Karkkainen,
-Manzini, Puglisi, "Permuted Longest-Common-Prefix Array", 2009.
+string of names -> induce the whole array from them. Nothing is sorted by comparison.
+
+The text has 256 buckets: induction walks them in order and moves a whole bucket at a time in
+array passes; places inside come from a stable order of bytes, which numpy counts out (radix).
+A string of names has many buckets of few entries: there the same induction goes entry by entry.
+Each level has at most half of the entries of the one above (about a seventh of the bytes, in
+prose). Public algorithm: Nong, Zhang, Chan, "Linear Suffix Array Construction by Almost Pure
+Induced-Sorting", 2009; permuted common prefixes after Karkkainen, Manzini, Puglisi, "Permuted
+Longest-Common-Prefix Array", 2009.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 PAD = 16
@@ -112,38 +116,73 @@ def _same(words, a, b, length):
     return out
 
 
-def rank_suffixes(names: np.ndarray) -> np.ndarray:
-    """Positions of a string of names (from 0) in suffix order."""
+def _induce_names(ordered: np.ndarray, name: np.ndarray, large_before: array, small_before: array, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """Suffixes of a string of names in order, given the LMS suffixes in order.
+
+    large_before[p]: the name before p if the suffix there is large, else -1, and so small_before;
+    both have an entry for the end of the text, which is the smallest suffix, and one of -1, which
+    is what an empty place finds.
+    """
+    n = len(name)
+    # LMS suffixes stand at the ends of their buckets
+    own = name[ordered]
+    by = np.argsort(own.astype(np.uint16) if tails.size <= 1 << 16 else own, kind="stable")  # counted out, by digits if there are many
+    last = np.cumsum(np.bincount(own, minlength=tails.size))
+    place = np.full(n, -1, np.int32)
+    place[tails[own[by]] - last[own[by]] + np.arange(len(by))] = ordered[by]
+    sa, at = array("i", place.tobytes()), array("i", heads.astype(np.int32).tobytes())
+    c = large_before[n]
+    if c >= 0:
+        sa[at[c]] = n - 1
+        at[c] += 1
+    for p in sa:  # places ahead are filled on the way
+        c = large_before[p]
+        if c >= 0:
+            k = at[c]
+            sa[k] = p - 1
+            at[c] = k + 1
+    at = array("i", tails.astype(np.int32).tobytes())
+    for p in reversed(sa):
+        c = small_before[p]
+        if c >= 0:
+            at[c] = k = at[c] - 1
+            sa[k] = p - 1
+    return np.frombuffer(sa, np.int32).copy()
+
+
+def rank_names(names: np.ndarray) -> np.ndarray:
+    """Positions of a string of names (from 0) in suffix order, by induced sorting and recursion."""
     n = len(names)
-    rank = names.astype(np.int64) + 1
-    order = np.argsort(rank, kind="stable")
-    s = rank[order]
-    first = np.ones(n, bool)
-    first[1:] = s[1:] != s[:-1]
-    # a rank is the place of the first of its group, so that groups can split in place
-    start = np.flatnonzero(first)
-    rank[order] = np.repeat(start, np.diff(np.append(start, n)))
-    k = 1
-    tied = ~first
-    tied[:-1] |= ~first[1:]
-    live = np.flatnonzero(tied)
-    while len(live):
-        pos = order[live]
-        nxt = pos + k
-        second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)], -1)
-        own = rank[pos]
-        by = np.lexsort((second, own))
-        pos, own, second = pos[by], own[by], second[by]
-        order[live] = pos
-        new = np.ones(len(pos), bool)
-        new[1:] = (own[1:] != own[:-1]) | (second[1:] != second[:-1])
-        at = np.flatnonzero(new)
-        rank[pos] = np.repeat(live[at], np.diff(np.append(at, len(pos))))
-        still = ~new
-        still[:-1] |= ~new[1:]
-        live = live[still]
-        k *= 2
-    return order
+    if n < 2:
+        return np.arange(n)
+    small = suffix_types(names)
+    is_lms = np.append(False, small[1:] & ~small[:-1])
+    lms = np.flatnonzero(is_lms)
+    tails = np.cumsum(np.bincount(names))
+    heads = np.append(0, tails[:-1])
+    before = np.append(-1, names)
+    kinds = (np.append(False, ~small), np.append(False, small))  # of the suffix before each position; the end of the text has one, too
+    large_before, small_before = (array("i", np.append(np.where(k, before, -1), -1).astype(np.int32).tobytes()) for k in kinds)
+    induced = lambda order: _induce_names(order, names, large_before, small_before, heads, tails)
+    if len(lms) > 1:
+        sa = induced(lms)
+        ordered = sa[is_lms[sa]]
+        length = np.zeros(n, np.int64)
+        length[lms] = np.diff(np.append(lms, n - 1)) + 1
+        a, b = ordered[:-1], ordered[1:]
+        # the last substring ends with the text, which no other does
+        same = (length[a] == length[b]) & (a != lms[-1]) & (b != lms[-1])
+        live, k = np.flatnonzero(same), 0
+        while len(live):
+            differ = names[a[live] + k] != names[b[live] + k]
+            same[live[differ]] = False
+            live, k = live[~differ & (length[a[live]] > k + 1)], k + 1
+        if same.any():
+            name = np.empty(n, np.int64)
+            name[ordered] = np.append(0, np.cumsum(~same))
+            ordered = lms[rank_names(name[lms])]
+        lms = ordered
+    return induced(lms)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -170,7 +209,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         name = np.empty(n, np.int32)
         name[ordered] = np.append(0, np.cumsum(~equal))
         if equal.any():
-            lms = lms[rank_suffixes(name[lms])]
+            lms = lms[rank_names(name[lms])]
         else:
             lms = ordered
     return _induce(t, small, lms, heads, tails)

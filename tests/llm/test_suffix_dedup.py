@@ -76,3 +76,19 @@ def test_suffix_array(data):
     for k in range(1, len(want)):
         a, b = data[want[k - 1] :], data[want[k] :]
         assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(st.lists(st.integers(0, 300), max_size=80), st.lists(st.integers(0, 2), max_size=200), st.lists(st.integers(0, 3), min_size=1, max_size=6).map(lambda x: x * 30)))
+def test_names_are_ranked_by_recursion(names):
+    _, dense = np.unique(np.array(names, np.int64), return_inverse=True)
+    assert suffix_array.rank_names(dense).tolist() == sorted(range(len(names)), key=lambda k: names[k:])
+
+
+def test_deep_recursion():
+    """Words of few letters, so that several levels have equal names, against sorting by comparison."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("ab", k=rng.randrange(1, 5))) for _ in range(12)]
+    data = " ".join(rng.choices(vocabulary, k=3000)).encode() * 2
+    sa = suffix_array.suffix_array(np.frombuffer(data, np.uint8)).tolist()
+    assert sa == sorted(range(len(data)), key=lambda k: data[k:])
