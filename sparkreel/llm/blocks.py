@@ -13,9 +13,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.cluster import cut, qualified, shared_dir
+
+__all__ = ["cut", "qualified", "shared_dir"]
+
 BLOCK_SCHEMA = "bucket long, block binary"
 _ARROW = pa.schema([("bucket", pa.int64()), ("block", pa.binary())])
 
@@ -103,9 +107,20 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(column).cast("long")).alias("n")).first()["n"] or 0)
 
 
-def regrouped(df: DataFrame) -> DataFrame:
+#: Bytes of text for each shuffle partition, where that makes more of them than the session asks for.
+PARTITION_BYTES = 96 << 20
+
+
+def spread(df: DataFrame, total: int) -> DataFrame:
+    """Rows by bucket, in partitions that follow the bytes of text; as the session has it, if that is enough."""
+    want = -(-total // PARTITION_BYTES)
+    return df.repartition(want, "bucket") if want > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def regrouped(df: DataFrame, total: int = 0) -> DataFrame:
     """Blocks of a bucket side by side in one task."""
-    return df.repartition("bucket").sortWithinPartitions("bucket")
+    wide = spread(df, total)
+    return (df.repartition("bucket") if wide is df else wide).sortWithinPartitions("bucket")
 
 
 def each_bucket(work: Callable[[int, list[bytes]], Iterator]) -> Callable:
@@ -147,20 +162,3 @@ def to_documents(doc: np.ndarray, bits: int, *arrays: np.ndarray) -> Iterator[tu
     b = doc_bucket(doc, bits)
     order = np.lexsort((doc, b))
     yield from by_bucket(b[order], doc[order], *(x[order] for x in arrays), delta=(0,))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where none is set, as in tests, one is made in the warehouse."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage: the rows are written to the shared folder and read back from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -631,7 +631,7 @@ def _bitmap(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def _second(spark, by_doc, joined: DataFrame, found: DataFrame, doc_bits: int) -> DataFrame:
+def _second(spark, by_doc, joined: DataFrame, found: DataFrame, doc_bits: int, total: int) -> DataFrame:
     """Components after the second round in large regions: members far from their pivot and in no component with it visit those in their windows."""
     far = joined.where("n < 0").select(F.col("u").alias("doc"), F.col("v").alias("region"), (F.col("n") + STEPS).alias("step"))
     for side in ("doc", "region"):
@@ -642,8 +642,8 @@ def _second(spark, by_doc, joined: DataFrame, found: DataFrame, doc_bits: int) -
         return found
     layout = _layout(joined.where("n > 0").select(F.col("u").alias("region"), F.col("v").alias("step"), "n"), visits)
     blocks = joined.where("bucket is not null").select("bucket", "block").union(visits.mapInArrow(_visitors(doc_bits), bl.BLOCK_SCHEMA))
-    sets = by_doc.cogroup(blocks.groupBy("bucket")).applyInArrow(_windows(spark.sparkContext.broadcast(layout)), bl.BLOCK_SCHEMA)
-    links = bl.regrouped(sets).mapInArrow(bl.each_bucket(_meet), "bucket long, block binary, u long, v long, n long").select("u", "v")
+    sets = by_doc.cogroup(bl.spread(blocks, total).groupBy("bucket")).applyInArrow(_windows(spark.sparkContext.broadcast(layout)), bl.BLOCK_SCHEMA)
+    links = bl.regrouped(sets, total).mapInArrow(bl.each_bucket(_meet), "bucket long, block binary, u long, v long, n long").select("u", "v")
     return components(links.union(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
@@ -657,17 +657,17 @@ def groups(docs: DataFrame) -> DataFrame:
     frequent = spark.sparkContext.broadcast(_bitmap(census.where("df is not null").groupBy("h").agg(F.sum("df").alias("df"))))
     leads = docs.mapInArrow(_lead_rows(frequent, bits, doc_bits), bl.BLOCK_SCHEMA)
     schema = "bucket long, block binary, u long, v long, n long"
-    both = bl.cut(bl.regrouped(leads).mapInArrow(_pivots(doc_bits), schema))
+    both = bl.cut(bl.regrouped(leads, total).mapInArrow(_pivots(doc_bits), schema))
     large = _large(both.where("n is not null").select("u", "n"))
-    by_doc = bl.texts(docs, doc_bits).groupBy("bucket")
+    by_doc = bl.spread(bl.texts(docs, doc_bits), total).groupBy("bucket")
     pairs = both.where("bucket is not null").select("bucket", "block")
-    sets = by_doc.cogroup(pairs.groupBy("bucket")).applyInArrow(_members(bits, spark.sparkContext.broadcast(large)), bl.BLOCK_SCHEMA)
-    joined = bl.regrouped(sets).mapInArrow(_regions(doc_bits), schema)
+    sets = by_doc.cogroup(bl.spread(pairs, total).groupBy("bucket")).applyInArrow(_members(bits, spark.sparkContext.broadcast(large)), bl.BLOCK_SCHEMA)
+    joined = bl.regrouped(sets, total).mapInArrow(_regions(doc_bits), schema)
     joined = bl.cut(joined) if len(large[0]) else joined
     link = "v is not null and n is null"
     found = components(joined.where(link).union(both.where(link)).select("u", "v"))
     if len(large[0]):
-        found = _second(spark, by_doc, joined, found, doc_bits)
+        found = _second(spark, by_doc, joined, found, doc_bits, total)
     return census.where("df is null").select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

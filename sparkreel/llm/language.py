@@ -1,7 +1,8 @@
 """Language identification with language-bitmask n-gram filters.
 
-An n-gram is GRAM bytes of the text after case folding, with runs of everything that is
-no letter as one blank. A profile holds, for each language, the PROFILE n-grams that are
+An n-gram is GRAM bytes of the text after case folding (of Latin, Greek and Cyrillic letters;
+other scripts with capitals have them as letters of their own), with runs of everything that
+is no letter, among ASCII, as one blank. In scripts of several bytes a letter it is fewer letters. A profile holds, for each language, the PROFILE n-grams that are
 in most of its training documents (and in MIN_DOCS at least). All profiles go into one
 Bloom filter whose slots are bitmasks, one bit a language (a bit-sliced filter): the AND
 of an n-gram's PROBES slots is the set of languages that contain it. A text's score for
@@ -56,15 +57,21 @@ def _fold() -> np.ndarray:
 
 
 _FOLD = _fold()
+#: Capitals in two bytes: first byte, range of the second, distance of the small letters (Latin-1, Greek, Cyrillic).
+_CAPITALS = ((0xC3, 0x80, 0x9E, 32), (0xCE, 0x91, 0xAB, 32), (0xD0, 0x90, 0xAF, 32), (0xD0, 0x80, 0x8F, 80))
 
 
 def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of the n-grams of all rows; a blank stands before and after each row."""
     t = _FOLD[buf]
-    upper = np.flatnonzero(buf == 0xC3)
-    upper = upper[upper + 1 < len(buf)] + 1
-    cap = upper[(buf[upper] >= 0x80) & (buf[upper] <= 0x9E) & (buf[upper] != 0x97)]
-    t[cap] += 32
+    for first, low, high, step in _CAPITALS:
+        at = np.flatnonzero(buf[:-1] == first) + 1
+        at = at[(buf[at] >= low) & (buf[at] <= high)]
+        if first == 0xC3:
+            at = at[buf[at] != 0x97]  # the multiplication sign
+        moved = (buf[at] & 0x3F).astype(np.int64) + (step & 0x3F)
+        t[at] = 0x80 | (moved & 0x3F)
+        t[at - 1] = first + (moved >> 6) + (step >> 6)
     n = np.diff(off)
     row = np.repeat(np.arange(len(n)), n)
     # rows apart, each between blanks
@@ -205,7 +212,8 @@ def identify(docs: DataFrame) -> DataFrame:
 def known(docs: DataFrame) -> DataFrame:
     """The rows of docs whose text has a language: not `und`, and a score of LEAST_SCORE or more. Columns stay."""
     spark = docs.sparkSession
-    model, schema, at = spark.sparkContext.broadcast(fitted(docs)), docs.schema, docs.columns.index("text")
+    model, at = spark.sparkContext.broadcast(fitted(docs)), docs.columns.index("text")
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names may hold dots
 
     def run(stream):
         predict = predictor(model.value)
@@ -214,4 +222,4 @@ def known(docs: DataFrame) -> DataFrame:
             names, scores = predict(one)
             yield rb.filter(pa.array([n != UNKNOWN and s >= LEAST_SCORE for n, s in zip(names, scores.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -3,7 +3,8 @@
 A source's token share p becomes the weight p**a / sum(p**a). The exponent a is found by
 bisection on [0, 1]: the smallest (flattest) one for which no source is repeated more than
 `repetitions` times and, if `entropy` is given, the weights' entropy is at most that part
-of its maximum. Both fall as a grows. a is rounded up to six digits.
+of its maximum. Both fall as a grows. a is rounded up to six digits. If no exponent up to 1
+meets both, it is 1, the nearest to the limits (sources in proportion), and `met` in the plan is false.
 
 The weights are realised in tokens. With `budget` None the mix is the smallest one that
 reads every source in full at least once, so nothing is dropped; otherwise `budget` is the
@@ -37,8 +38,8 @@ STEPS = 40
 FEW_SOURCES = 10_000
 
 
-def _exponent(repetitions: float, entropy: float | None, budget: float | None) -> str:
-    """SQL for the exponent, from an array `shares` of positive shares."""
+def _exponent(repetitions: float, entropy: float | None, budget: float | None) -> tuple[str, str]:
+    """SQL for whether there is an exponent and for it, from an array `shares` of positive shares."""
     z = "aggregate(shares, 0D, (s, p) -> s + pow(p, (b.lo + b.hi) / 2))"
     low, high = "array_min(shares)", "array_max(shares)"
     if budget is None:
@@ -51,22 +52,24 @@ def _exponent(repetitions: float, entropy: float | None, budget: float | None) -
         h = f"ln({z}) - (b.lo + b.hi) / 2 * aggregate(shares, 0D, (s, p) -> s + pow(p, (b.lo + b.hi) / 2) * ln(p)) / {z}"
         fits += f" and {h} <= {entropy}D * ln(size(shares))"
     new = f"if({fits}, named_struct('lo', b.lo, 'hi', (b.lo + b.hi) / 2), named_struct('lo', (b.lo + b.hi) / 2, 'hi', b.hi))"
-    return f"ceil(aggregate(sequence(1, {STEPS}), named_struct('lo', 0D, 'hi', 1D), (b, i) -> {new}).hi * 1e6D) / 1e6D"
+    at_one = fits.replace("(b.lo + b.hi) / 2", "1D")
+    return at_one, f"ceil(aggregate(sequence(1, {STEPS}), named_struct('lo', 0D, 'hi', 1D), (b, i) -> {new}).hi * 1e6D) / 1e6D"
 
 
 def plan(docs: DataFrame, repetitions: float = REPETITIONS, entropy: float | None = None, budget: float | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per source of docs (_source, _tokens): tokens, weight, exponent, the tokens to read (quota) and its blocks."""
+    """One row per source of docs (_source, _tokens): tokens, weight, exponent, whether it meets the limits, the tokens to read (quota) and its blocks."""
     each = docs.groupBy("_source").agg(F.sum("_tokens").alias("tokens"))
     total = each.agg(F.sum("tokens").alias("total"), F.expr("collect_list(tokens) filter (where tokens > 0)").alias("all"))
     a = total.withColumn("shares", F.expr("array_sort(transform(all, t -> t / total))"))
-    a = a.withColumn("exponent", F.expr(_exponent(repetitions, entropy, budget)))
+    met, exponent = _exponent(repetitions, entropy, budget)
+    a = a.withColumns({"exponent": F.expr(exponent), "met": F.coalesce(F.expr(met), F.lit(True))})
     a = a.withColumn("z", F.expr("aggregate(shares, 0D, (s, p) -> s + pow(p, exponent))"))
     size = "pow(array_max(shares), 1 - exponent) * z * total" if budget is None else f"{budget}D * total"
-    a = a.withColumn("size", F.expr(size)).select("total", "exponent", "z", "size")
+    a = a.withColumn("size", F.expr(size)).select("total", "exponent", "met", "z", "size")
     out = each.crossJoin(a).withColumn("weight", F.expr("if(tokens > 0, pow(tokens / total, exponent) / z, 0D)"))
     quota = "cast(round(size * weight) as long)"
     out = out.withColumn("quota", F.expr(f"greatest({quota}, tokens)" if budget is None else quota))
-    return out.select("_source", "tokens", "exponent", "weight", "quota", F.expr(f"cast(ceil(greatest(tokens, 1) / {block_tokens}) as long)").alias("blocks"))
+    return out.select("_source", "tokens", "exponent", "met", "weight", "quota", F.expr(f"cast(ceil(greatest(tokens, 1) / {block_tokens}) as long)").alias("blocks"))
 
 
 def _hash(*parts) -> F.Column:
@@ -76,8 +79,10 @@ def _hash(*parts) -> F.Column:
 def mix(docs: DataFrame, repetitions: float = REPETITIONS, entropy: float | None = None, budget: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
     """The mix: rows of docs (doc_id, text, source, ...), each as often as it is read, with epoch, block, block_rank, position and tokens."""
     s = F.lit(seed)
-    name = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    rows = docs.withColumns({"_source": name, "_tokens": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("n"))})
+    own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}  # any column name may clash with those used here
+    name = F.coalesce(F.concat(F.lit("s"), F.col(own["source"]).cast("string")), F.lit("n"))
+    tokens = F.coalesce(F.regexp_count(F.col(own["text"]), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    rows = docs.toDF(*own.values()).withColumns({"_source": name, "_tokens": tokens, "_id": F.coalesce(F.col(own["doc_id"]).cast("string"), F.lit("n"))})
     sources = cut(plan(rows.select("_source", "_tokens"), repetitions, entropy, budget, block_tokens))
     if sources.count() <= FEW_SOURCES:
         sources = F.broadcast(sources)
@@ -93,12 +98,12 @@ def mix(docs: DataFrame, repetitions: float = REPETITIONS, entropy: float | None
     blocks = blocks.withColumns({"_rank": F.row_number().over(order).cast("long") - 1, "_before": F.sum("_size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("_size")})
     blocks = blocks.withColumn("_left", F.col("quota") - F.col("_epoch") * F.col("tokens") - F.col("_before")).where(f"_left > 0 or tokens = 0{all_once}").select("_source", "_block", "_epoch", "_rank", "_left", "tokens")
 
-    read = in_block(rows).drop("tokens", "exponent", "weight", "quota", "blocks").join(blocks, ["_source", "_block"])
-    inside = W.partitionBy("_source", "_block", "_epoch").orderBy(_hash(F.col("_id"), F.col("_epoch"), s), "_id", F.xxhash64("text"))
+    read = in_block(rows).drop("tokens", "exponent", "met", "weight", "quota", "blocks").join(blocks, ["_source", "_block"])
+    inside = W.partitionBy("_source", "_block", "_epoch").orderBy(_hash(F.col("_id"), F.col("_epoch"), s), "_id", F.xxhash64(own["text"]))
     read = read.withColumns({"_position": F.row_number().over(inside).cast("long") - 1, "_upto": F.sum("_tokens").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("_tokens")})
     read = read.where(f"_upto < _left or tokens = 0{all_once}")
     extra = {"epoch": "_epoch", "block": "_block", "block_rank": "_rank", "position": "_position", "tokens": "_tokens"}
-    return read.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(v).alias(k) for k, v in extra.items() if k not in docs.columns])
+    return read.select(*[F.col(v).alias(k) for k, v in own.items()], *[F.col(v).alias(k) for k, v in extra.items() if k not in docs.columns])
 
 
 #: The mix of `documents` with the parameters of op3 in DuckDB.

@@ -245,9 +245,9 @@ def _repeats(docs: DataFrame, by_doc, doc_bits: int, total: int, id_column: str
     """Blocks of (document, start, tag) of all repeated windows; by_doc: the documents (with these names), grouped by bucket."""
     bits = bl.bits_for(total, 6 << 20)
     scan = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_scan(bits, doc_bits), bl.BLOCK_SCHEMA)
-    shared = bl.regrouped(scan).mapInArrow(_meet(doc_bits), bl.BLOCK_SCHEMA)
-    full = by_doc.cogroup(shared.groupBy("bucket")).applyInArrow(_extend(bits, doc_bits, id_column, text, first_stays), bl.BLOCK_SCHEMA)
-    return bl.regrouped(full).mapInArrow(_meet(doc_bits, first_stays), bl.BLOCK_SCHEMA)
+    shared = bl.regrouped(scan, total).mapInArrow(_meet(doc_bits), bl.BLOCK_SCHEMA)
+    full = by_doc.cogroup(bl.spread(shared, total).groupBy("bucket")).applyInArrow(_extend(bits, doc_bits, id_column, text, first_stays), bl.BLOCK_SCHEMA)
+    return bl.regrouped(full, total).mapInArrow(_meet(doc_bits, first_stays), bl.BLOCK_SCHEMA)
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -255,9 +255,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     docs = docs.select("doc_id", "text")
     total = bl.text_bytes(docs)
     doc_bits = bl.bits_for(total, 4 << 20)
-    by_doc = bl.texts(docs, doc_bits).groupBy("bucket")
+    by_doc = bl.spread(bl.texts(docs, doc_bits), total).groupBy("bucket")
     repeats = _repeats(docs, by_doc, doc_bits, total)
-    return by_doc.cogroup(repeats.groupBy("bucket")).applyInArrow(_finish(with_text), OUT + ", kept_text string" * with_text)
+    return by_doc.cogroup(bl.spread(repeats, total).groupBy("bucket")).applyInArrow(_finish(with_text), OUT + ", kept_text string" * with_text)
 
 
 def rewritten(docs: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def rewritten(docs: DataFrame) -> DataFrame:
     own = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     rows = docs.toDF(*names).withColumns({own["doc_id"]: F.col(own["doc_id"]).cast("long"), own["text"]: F.col(own["text"]).cast("string")})
     schema = rows.schema
-    by_doc = rows.withColumn("bucket", bl.doc_bucket_sql(own["doc_id"], doc_bits)).groupBy("bucket")
+    by_doc = bl.spread(rows.withColumn("bucket", bl.doc_bucket_sql(own["doc_id"], doc_bits)), total).groupBy("bucket")
     repeats = _repeats(docs, by_doc, doc_bits, total, own["doc_id"], own["text"], True)
 
     def work(group: pa.Table, held: pa.Table) -> pa.Table:
@@ -287,4 +287,4 @@ def rewritten(docs: DataFrame) -> DataFrame:
             out = out.set_column(k, own["n_chars"], pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(group.schema.field(k).type))
         return out.select(names)
 
-    return by_doc.cogroup(repeats.groupBy("bucket")).applyInArrow(work, schema).toDF(*docs.columns)
+    return by_doc.cogroup(bl.spread(repeats, total).groupBy("bucket")).applyInArrow(work, schema).toDF(*docs.columns)

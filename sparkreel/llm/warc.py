@@ -11,8 +11,8 @@ to a WARC header, and owns the records that start inside its range; it reads the
 past the end of the range. Members follow each other, so after one valid member the next is
 tried where it ended, and only damage makes the task scan again. Damaged members are passed.
 
-Files go through pyarrow's file systems (local paths, HDFS, object stores) by the address
-that the session's shared folder names. A retried writing task makes a new file; only files
+Files go through pyarrow's file systems (local paths, HDFS, object stores); a path without
+scheme is where Spark itself would look for it. A retried writing task makes a new file; only files
 that a finished task reports are read, from a table that is written once.
 
 Defined cases: null html is an empty payload (always a response). A null url becomes
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import cut, shared_dir
+from .blocks import cut, qualified, shared_dir
 
 MIN_DEDUP, SPLIT = 1000, 4 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -47,7 +47,7 @@ RECORDS = "page_id long, record_type string, uri string, payload_bytes long, pay
 def _open(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(uri)
 
 
 def record_id(page_id) -> str:
@@ -85,25 +85,25 @@ def _write(folder: str):
     def run(stream):
         system, base = _open(folder)
         system.create_dir(base, recursive=True)
-        path, out, size, n = f"{base}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", None, 0, 0
+        name, out, size, n = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", None, 0, 0
         for rb in stream:
             for page_id, url, html, digest, refers in zip(*(c.to_pylist() for c in rb.columns), strict=True):
                 if out is None:
-                    out = system.open_output_stream(path, compression=None)
+                    out = system.open_output_stream(f"{base}/{name}", compression=None)
                     info = record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                     size += out.write(info)
                 size += out.write(page_record(page_id, url, html or b"", digest, refers))
                 n += 1
         if out is not None:
             out.close()
-            scheme = folder.split("://")[0] + "://" if "://" in folder else ""
-            yield pa.RecordBatch.from_pydict({"path": [scheme + path], "bytes": pa.array([size], pa.int64()), "records": pa.array([n], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder.rstrip('/')}/{name}"], "bytes": pa.array([size], pa.int64()), "records": pa.array([n], pa.int64())})
 
     return run
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html) into archives under folder; (path, bytes, records) of each."""
+    folder = qualified(pages.sparkSession, folder)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html")).withColumn("digest", F.sha1("html"))
     keep = rows.where(F.octet_length("html") >= MIN_DEDUP).groupBy("digest").agg(F.max("page_id").alias("keep"))
     named = rows.join(keep, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("keep").eqNullSafe(F.col("page_id")), F.col("keep")).alias("refers_to"))
@@ -160,20 +160,50 @@ def members(r: Range, end: int):
         r.need(at + 3)
 
 
+def _number(text: str | None) -> int | None:
+    try:
+        return int(text)
+    except (TypeError, ValueError):
+        return None
+
+
+def _digest(text: str | None) -> str | None:
+    """The value of a digest field, SHA-1 in lower-case hex whether it was written in base 32 or hex."""
+    algorithm, colon, value = (text or "").strip().partition(":")
+    if not colon:
+        return None
+    if algorithm.lower() == "sha1" and len(value) == 32:
+        try:
+            return base64.b32decode(value.upper()).hex()
+        except ValueError:
+            return value
+    return value.lower() if algorithm.lower() == "sha1" else value
+
+
 def parse(content: bytes) -> dict | None:
-    """The row of a record, or None if it is neither response nor revisit."""
+    """The row of a record, or None if it is neither response nor revisit.
+
+    Foreign records are taken as they are: field names in any case, no or an unreadable length (the
+    block is then the rest of the member), no HTTP head (the block is the payload), no digest
+    (a response's is computed; digest_ok is null), a digest of another kind (digest_ok is null).
+    """
     head, _, rest = content.partition(b"\r\n\r\n")
-    f = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    kind = f.get("WARC-Type")
+    f = {k.strip().lower(): v.strip() for k, colon, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:]) if colon}
+    kind = f.get("warc-type", "").lower()
     if kind not in ("response", "revisit"):
         return None
-    block = rest[: int(f["Content-Length"])]
-    payload = block.partition(b"\r\n\r\n")[2]
-    algorithm, _, value = f["WARC-Payload-Digest"].partition(":")
-    digest = base64.b32decode(value).hex() if algorithm == "sha1" else value
-    number = lambda k: int(f[k]) if k in f else None
-    ok = kind == "revisit" or hashlib.sha1(payload).hexdigest() == digest
-    return {"page_id": number("X-Page-ID"), "record_type": kind, "uri": f.get("WARC-Target-URI"), "payload_bytes": len(payload) if kind == "response" else number("X-Payload-Length"), "payload_digest": digest, "refers_to": number("X-Refers-To-Page-ID"), "digest_ok": ok, "payload": payload if kind == "response" else None}
+    size = _number(f.get("content-length"))
+    block = rest.removesuffix(b"\r\n\r\n") if size is None or size < 0 else rest[:size]
+    payload = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
+    named = f.get("warc-payload-digest")
+    digest, ok = _digest(named), None
+    if kind == "response":
+        own = hashlib.sha1(payload).hexdigest()
+        ok = own == digest if digest is not None and named.strip().lower().startswith("sha1:") else None
+        digest = own if digest is None else digest
+    elif digest is not None:
+        ok = True
+    return {"page_id": _number(f.get("x-page-id")), "record_type": kind, "uri": f.get("warc-target-uri"), "payload_bytes": len(payload) if kind == "response" else _number(f.get("x-payload-length")), "payload_digest": digest, "refers_to": _number(f.get("x-refers-to-page-id")), "digest_ok": ok, "payload": payload if kind == "response" else None}
 
 
 _SCHEMA = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("digest_ok", pa.bool_()), ("payload", pa.binary())])
@@ -204,7 +234,9 @@ def _read(with_payload: bool):
 def read(files: DataFrame, with_payload: bool = True, split: int = SPLIT) -> DataFrame:
     """The response and revisit records of archives, from rows (path, bytes)."""
     total = files.agg(F.sum("bytes").alias("n")).first()["n"] or 0
-    ranges = files.where("bytes > 0").select("path", F.col("bytes"), F.explode(F.expr(f"sequence(0L, bytes - 1, {split}L)")).alias("start"))
+    local = qualified(files.sparkSession, "/").rstrip("/")  # of a path without scheme, as Spark resolves it
+    path = F.when(F.col("path").startswith("/"), F.concat(F.lit(local), "path")).otherwise(F.col("path")).alias("path")
+    ranges = files.where("bytes > 0").select(path, F.col("bytes"), F.explode(F.expr(f"sequence(0L, bytes - 1, {split}L)")).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + split, F.col("bytes")).alias("end")).repartition(max(1, -(-total // split)), "path", "start")
     return ranges.mapInArrow(_read(with_payload), RECORDS if with_payload else RECORDS.rsplit(",", 1)[0])
 

@@ -75,3 +75,18 @@ def test_more_than_64_languages(spark):
     want = {r[0]: r[2] for r in rows}
     assert len(got) == len(rows) and {r.lang_pred for r in got} == set(names)
     assert all(r.lang_pred == want[r.doc_id] for r in got)
+
+
+def test_capitals_are_small_letters():
+    import numpy as np
+    import pyarrow as pa
+
+    from sparkreel.llm import textkit as tk
+
+    def of(text):
+        buf, off = tk.flat(pa.array([text]))
+        return language.grams(buf, off)[0].tolist()
+
+    for text in ("Hello World", "ÀÉÎÕÜÞ × ß", "ΑΒΓΔ ΟΠΡΣΤΥΦΧΨΩ", "ЁЂЏ АБВП РСТЯ", "日本語 É"):
+        assert of(text) == of(text.lower()) and len(of(text)) > 0
+    assert of("÷×") != of("÷÷") and np.unique(of("ПР")).size == len(of("ПР"))

@@ -61,3 +61,17 @@ def test_texts_without_tokens_in_the_largest_source(spark):
     for seed in range(3):
         first = [x.doc_id for x in mixing.mix(df, block_tokens=100, seed=seed).where("epoch = 0").select("doc_id").collect()]
         assert sorted(first) == sorted(r[0] for r in rows_)
+
+
+def test_limits_that_cannot_be_met(spark):
+    df = spark.createDataFrame([("a", 900), ("b", 100)], "_source string, _tokens long")
+    for given in ({"repetitions": 1e9, "entropy": 0.1}, {"repetitions": 0.5}):
+        assert {(r["exponent"], r["met"]) for r in mixing.plan(df, budget=1.0, **given).collect()} == {(1.0, False)}
+    assert all(r["met"] for r in mixing.plan(df, repetitions=2.0, entropy=0.9, budget=1.0).collect())
+
+
+def test_clashing_names(spark):
+    names = "doc_id text source tokens blocks quota weight met exponent epoch _source _tokens _c0".split()
+    df = spark.createDataFrame([(k, "a b c", "s", *[f"{n}{k}" for n in names[3:]]) for k in range(5)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names[3:]))
+    got = mixing.mix(df)
+    assert got.columns[: len(names)] == names and sorted(map(tuple, got.select(*names).distinct().collect())) == sorted(map(tuple, df.collect()))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import uuid
@@ -59,7 +60,7 @@ def test_any_split_gives_each_record_once(spark):
 
 def test_files_are_gzip_and_damage_is_passed(spark, tmp_path):
     df = spark.createDataFrame([(k, "u", f"<p>{k}</p>") for k in range(50)], "page_id long, url string, html string").coalesce(1)
-    path = warc.write(df, str(tmp_path)).first().path
+    path = warc.write(df, str(tmp_path)).first().path.removeprefix("file:")
     raw = open(path, "rb").read()
     assert gzip.decompress(raw).count(b"WARC/1.1\r\n") == 51
     at = [k for k in range(len(raw)) if raw[k : k + 3] == warc.MAGIC]
@@ -73,3 +74,33 @@ def test_files_are_gzip_and_damage_is_passed(spark, tmp_path):
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(df).count() == 0
+
+
+def test_foreign_records(spark, tmp_path):
+    """Records of other writers: nothing in them stops the reader."""
+    page = b"HTTP/1.0 200 OK\r\n\r\n<p>x</p>"
+    sha = hashlib.sha1(b"<p>x</p>").hexdigest()
+    b32 = base64.b32encode(bytes.fromhex(sha)).decode()
+
+    def made(*fields, body=page):
+        return gzip.compress(b"WARC/1.0\r\n" + b"".join(x.encode() + b"\r\n" for x in fields) + b"\r\n" + body + b"\r\n\r\n")
+
+    n = f"Content-Length: {len(page)}"
+    records = [
+        (made("WARC-Type: response", n), ("response", 8, sha, None)),
+        (made("warc-type:response", "content-LENGTH:many", f"WARC-Payload-Digest: sha1:{b32}"), ("response", 8, sha, True)),
+        (made("WARC-Type: response", n, f"WARC-Payload-Digest: sha1:{sha.upper()}"), ("response", 8, sha, True)),
+        (made("WARC-Type: response", n, "WARC-Payload-Digest: sha1:" + "A" * 32), ("response", 8, "0" * 40, False)),
+        (made("WARC-Type: response", n, "WARC-Payload-Digest: md5:abc"), ("response", 8, "abc", None)),
+        (made("WARC-Type: response", "Content-Length: -4", "X-Page-ID: seven"), ("response", 8, sha, None)),
+        (made("WARC-Type: response", "Content-Length: 5", body=b"plain"), ("response", 5, hashlib.sha1(b"plain").hexdigest(), None)),
+        (made("WARC-Type: revisit", "Content-Length: 0", body=b""), ("revisit", None, None, None)),
+        (made("WARC-Type: revisit", "Content-Length: 0", "WARC-Payload-Digest: none", body=b""), ("revisit", None, None, None)),
+        (made("WARC-Type: metadata", "Content-Length: 0", body=b""), None),
+        (made("no colon here", "WARC-Type: response", n), ("response", 8, sha, None)),
+    ]
+    (tmp_path / "f.warc.gz").write_bytes(b"".join(r for r, _ in records))
+    size = (tmp_path / "f.warc.gz").stat().st_size
+    for name in (str(tmp_path / "f.warc.gz"), f"file://{tmp_path}/f.warc.gz"):
+        got = warc.read(spark.createDataFrame([(name, size)], "path string, bytes long"), split=200).collect()
+        assert sorted(map(repr, ((r.record_type, r.payload_bytes, r.payload_digest, r.digest_ok) for r in got))) == sorted(repr(x) for _, x in records if x)
