@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.cluster import small_side
 from . import blocks as bl
 from . import textkit as tk
 from .components import components
@@ -585,6 +586,21 @@ def _windows(layout):
     return work
 
 
+def _in_windows(layout):
+    """The documents of blocks that have a place in the layout."""
+
+    def run(stream):
+        keys = layout.value[0]
+        for rb in stream:
+            for block in rb.column(1).to_pylist():
+                x, region, step, role = bl.unpack(block)
+                key = tk.mix(region.view(np.uint64), 7) + step.astype(np.uint64)
+                placed = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(x[placed | (role == VISITOR)]))], names=["_doc"])
+
+    return run
+
+
 def _meet(_, held):
     """Links of visitors to the members of a part of a window."""
     region, role, member, s = _held_sets(held)
@@ -631,7 +647,7 @@ def _bitmap(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def _second(spark, by_doc, joined: DataFrame, found: DataFrame, doc_bits: int, total: int) -> DataFrame:
+def _second(spark, docs: DataFrame, joined: DataFrame, found: DataFrame, doc_bits: int, total: int) -> DataFrame:
     """Components after the second round in large regions: members far from their pivot and in no component with it visit those in their windows."""
     far = joined.where("n < 0").select(F.col("u").alias("doc"), F.col("v").alias("region"), (F.col("n") + STEPS).alias("step"))
     for side in ("doc", "region"):
@@ -641,8 +657,12 @@ def _second(spark, by_doc, joined: DataFrame, found: DataFrame, doc_bits: int, t
     if visits.isEmpty():
         return found
     layout = _layout(joined.where("n > 0").select(F.col("u").alias("region"), F.col("v").alias("step"), "n"), visits)
+    layout = spark.sparkContext.broadcast(layout)
     blocks = joined.where("bucket is not null").select("bucket", "block").union(visits.mapInArrow(_visitors(doc_bits), bl.BLOCK_SCHEMA))
-    sets = by_doc.cogroup(bl.spread(blocks, total).groupBy("bucket")).applyInArrow(_windows(spark.sparkContext.broadcast(layout)), bl.BLOCK_SCHEMA)
+    # texts of documents that meet anyone, and no others, are read again
+    some = docs.join(small_side(blocks.mapInArrow(_in_windows(layout), "_doc long").distinct()), F.col("doc_id") == F.col("_doc"), "left_semi")
+    by_doc = bl.spread(bl.texts(some, doc_bits), total).groupBy("bucket")
+    sets = by_doc.cogroup(bl.spread(blocks, total).groupBy("bucket")).applyInArrow(_windows(layout), bl.BLOCK_SCHEMA)
     links = bl.regrouped(sets, total).mapInArrow(bl.each_bucket(_meet), "bucket long, block binary, u long, v long, n long").select("u", "v")
     return components(links.union(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
@@ -667,7 +687,7 @@ def groups(docs: DataFrame) -> DataFrame:
     link = "v is not null and n is null"
     found = components(joined.where(link).union(both.where(link)).select("u", "v"))
     if len(large[0]):
-        found = _second(spark, by_doc, joined, found, doc_bits, total)
+        found = _second(spark, docs, joined, found, doc_bits, total)
     return census.where("df is null").select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -680,7 +700,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     def kept(rows, key):
         gone = groups(rows.select(F.col(key).alias("doc_id"), "text")).where("component_id <> doc_id")
-        return rows.join(gone.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")
+        return rows.join(small_side(gone.select(F.col("doc_id").alias(key)).distinct()), key, "left_anti")  # beyond its limit a shuffle of the rows
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
     shared = bl.cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
