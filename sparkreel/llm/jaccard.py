@@ -61,6 +61,9 @@ IDENTITY, PARTS = 1 << 40, 1 << 62
 #: A set's hashes have 64 - ROW_BITS bits; their low bits are 0.
 ROW_BITS = 12
 
+#: Bytes of text handled at once; below 2**21, so that the tables of powers stay at 32 MB a worker.
+SLICE = 2_000_000
+
 _SCAN = "doc_id long, n_shingles long, h long, df long"
 
 
@@ -86,7 +89,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _slices(rb: pa.RecordBatch):
     """Slices of at most 2**ROW_BITS rows."""
     for k in range(0, rb.num_rows, 1 << ROW_BITS):
-        for a, b, buf, off in tk.text_slices(rb.slice(k, 1 << ROW_BITS), "text", 2 << 20):
+        for a, b, buf, off in tk.text_slices(rb.slice(k, 1 << ROW_BITS), "text", SLICE):
             yield a + k, b + k, buf, off
 
 
@@ -119,7 +122,7 @@ def _census(stream):
             m = b - a
             yield pa.RecordBatch.from_arrays([rb.column(0).slice(a, m), pa.array(np.diff(edge).astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=schema)
             held.append(h)
-            if sum(map(len, held)) > 8_000_000:
+            if sum(map(len, held)) > 4_000_000:
                 count()
     if held:
         count()

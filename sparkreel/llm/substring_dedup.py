@@ -44,6 +44,8 @@ from . import blocks as bl
 from . import textkit as tk
 
 WINDOW = 35
+#: Bytes of text handled at once; below 2**21, so that the tables of powers stay at 32 MB a worker.
+SLICE = 2_000_000
 #: A perfect difference set: every residue modulo 21 is a difference of two members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 
@@ -161,7 +163,7 @@ def _scan(bits, doc_bits):
     def rows(stream):
         for rb in stream:
             ids = rb.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            for a, b, buf, off in tk.text_slices(rb, "text"):
+            for a, b, buf, off in tk.text_slices(rb, "text", SLICE):
                 h, row, pos = anchors(buf, off)
                 yield from _send(h, None, ids[a:b][row], pos.astype(np.uint32), None, bits, doc_bits)
 
@@ -172,7 +174,7 @@ def _slices(table: pa.Table, id_column: str = "doc_id", text: str = "text"):
     """(ids, texts' bytes, offsets) of a group of documents, some MB at a time."""
     for rb in table.combine_chunks().to_batches():
         ids = rb.column(rb.schema.get_field_index(id_column))
-        for a, b, buf, off in tk.text_slices(rb, text):
+        for a, b, buf, off in tk.text_slices(rb, text, SLICE):
             yield ids.slice(a, b - a), buf, off
 
 
