@@ -72,7 +72,9 @@ def coefficients(n: int, m: int, name: str) -> np.ndarray:
 
 
 def _pass(k: np.ndarray, img: np.ndarray) -> np.ndarray:
-    return np.clip((k @ img.astype(np.int64) + (1 << (BITS - 1))) >> BITS, 0, 255)
+    # products in double are exact here: sums stay far below 2**53
+    total = (k.astype(np.float64) @ img.astype(np.float64)).astype(np.int64)
+    return np.clip((total + (1 << (BITS - 1))) >> BITS, 0, 255)
 
 
 def resize(gray: np.ndarray, width: int, height: int, name: str) -> np.ndarray:

@@ -45,6 +45,8 @@ def test_resampling():
     assert (pixels.resize(flat, 17, 23, "lanczos") == 137).all()
     for name in ("bicubic", "lanczos"):
         k = pixels.coefficients(60, 17, name)
+        whole = np.clip((k @ g.T.astype(np.int64) + (1 << (pixels.BITS - 1))) >> pixels.BITS, 0, 255).T
+        assert (pixels.resize(g, 17, 40, name) == whole).all()
         assert np.abs(k.sum(axis=1) - (1 << pixels.BITS)).max() <= k.shape[1]
     assert pixels.box_mean(np.array([[0, 1], [1, 0]], np.uint8), 2).tolist() == [[1]]  # a half is rounded up
 
