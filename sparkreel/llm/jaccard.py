@@ -122,13 +122,14 @@ def _census(stream):
             m = b - a
             yield pa.RecordBatch.from_arrays([rb.column(0).slice(a, m), pa.array(np.diff(edge).astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=schema)
             held.append(h)
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 2_000_000:
                 count()
     if held:
         count()
     if often:
         h, n = np.concatenate([x[0] for x in often]), np.concatenate([x[1] for x in often])
         yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
+    bl.give_back()
 
 
 def leading(h: np.ndarray, edge: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -665,7 +666,7 @@ def _second(spark, docs: DataFrame, joined: DataFrame, found: DataFrame, doc_bit
     # texts of documents that meet anyone, and no others, are read again
     some = docs.join(small_side(blocks.mapInArrow(_in_windows(layout), "_doc long").distinct()), F.col("doc_id") == F.col("_doc"), "left_semi")
     by_doc = bl.spread(bl.texts(some, doc_bits), total).groupBy("bucket")
-    sets = by_doc.cogroup(bl.spread(blocks, total).groupBy("bucket")).applyInArrow(_windows(layout), bl.BLOCK_SCHEMA)
+    sets = by_doc.cogroup(bl.spread(blocks, total).groupBy("bucket")).applyInArrow(bl.tidy(_windows(layout)), bl.BLOCK_SCHEMA)
     links = bl.regrouped(sets, total).mapInArrow(bl.each_bucket(_meet), "bucket long, block binary, u long, v long, n long").select("u", "v")
     return components(links.union(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
@@ -684,7 +685,7 @@ def groups(docs: DataFrame) -> DataFrame:
     large = _large(both.where("n is not null").select("u", "n"))
     by_doc = bl.spread(bl.texts(docs, doc_bits), total).groupBy("bucket")
     pairs = both.where("bucket is not null").select("bucket", "block")
-    sets = by_doc.cogroup(bl.spread(pairs, total).groupBy("bucket")).applyInArrow(_members(bits, spark.sparkContext.broadcast(large)), bl.BLOCK_SCHEMA)
+    sets = by_doc.cogroup(bl.spread(pairs, total).groupBy("bucket")).applyInArrow(bl.tidy(_members(bits, spark.sparkContext.broadcast(large))), bl.BLOCK_SCHEMA)
     joined = bl.regrouped(sets, total).mapInArrow(_regions(doc_bits), schema)
     joined = bl.cut(joined) if len(large[0]) else joined
     link = "v is not null and n is null"

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import blocks as bl
 from . import textkit as tk
 
 GRAM, PROBES, SLOT_BITS = 4, 3, 20
@@ -221,5 +222,6 @@ def known(docs: DataFrame) -> DataFrame:
             one = pa.RecordBatch.from_arrays([rb.column(at).cast(pa.string())], names=["text"])
             names, scores = predict(one)
             yield rb.filter(pa.array([n != UNKNOWN and s >= LEAST_SCORE for n, s in zip(names, scores.tolist(), strict=True)], pa.bool_()))
+        bl.give_back()
 
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

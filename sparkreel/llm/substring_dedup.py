@@ -248,7 +248,7 @@ def _repeats(docs: DataFrame, by_doc, doc_bits: int, total: int, id_column: str
     bits = bl.bits_for(total, 6 << 20)
     scan = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_scan(bits, doc_bits), bl.BLOCK_SCHEMA)
     shared = bl.regrouped(scan, total).mapInArrow(_meet(doc_bits), bl.BLOCK_SCHEMA)
-    full = by_doc.cogroup(bl.spread(shared, total).groupBy("bucket")).applyInArrow(_extend(bits, doc_bits, id_column, text, first_stays), bl.BLOCK_SCHEMA)
+    full = by_doc.cogroup(bl.spread(shared, total).groupBy("bucket")).applyInArrow(bl.tidy(_extend(bits, doc_bits, id_column, text, first_stays)), bl.BLOCK_SCHEMA)
     return bl.regrouped(full, total).mapInArrow(_meet(doc_bits, first_stays), bl.BLOCK_SCHEMA)
 
 
@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     doc_bits = bl.bits_for(total, 4 << 20)
     by_doc = bl.spread(bl.texts(docs, doc_bits), total).groupBy("bucket")
     repeats = _repeats(docs, by_doc, doc_bits, total)
-    return by_doc.cogroup(bl.spread(repeats, total).groupBy("bucket")).applyInArrow(_finish(with_text), OUT + ", kept_text string" * with_text)
+    return by_doc.cogroup(bl.spread(repeats, total).groupBy("bucket")).applyInArrow(bl.tidy(_finish(with_text)), OUT + ", kept_text string" * with_text)
 
 
 def rewritten(docs: DataFrame) -> DataFrame:
@@ -289,4 +289,4 @@ def rewritten(docs: DataFrame) -> DataFrame:
             out = out.set_column(k, own["n_chars"], pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(group.schema.field(k).type))
         return out.select(names)
 
-    return by_doc.cogroup(bl.spread(repeats, total).groupBy("bucket")).applyInArrow(work, schema).toDF(*docs.columns)
+    return by_doc.cogroup(bl.spread(repeats, total).groupBy("bucket")).applyInArrow(bl.tidy(work), schema).toDF(*docs.columns)

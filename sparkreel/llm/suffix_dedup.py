@@ -290,6 +290,6 @@ def remove_covered(docs: DataFrame, with_text: bool = False) -> DataFrame:
     scan = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_scan(bits, doc_bits), bl.BLOCK_SCHEMA)
     shared = bl.regrouped(scan, total).mapInArrow(_meet(doc_bits), bl.BLOCK_SCHEMA)
     by_doc = bl.spread(bl.texts(docs, doc_bits), total).groupBy("bucket")
-    dealt = by_doc.cogroup(bl.spread(shared, total).groupBy("bucket")).applyInArrow(_deal(bits, doc_bits), bl.BLOCK_SCHEMA)
+    dealt = by_doc.cogroup(bl.spread(shared, total).groupBy("bucket")).applyInArrow(bl.tidy(_deal(bits, doc_bits)), bl.BLOCK_SCHEMA)
     ranges = bl.regrouped(dealt, total).mapInArrow(_shard(doc_bits), bl.BLOCK_SCHEMA)
-    return by_doc.cogroup(bl.spread(ranges, total).groupBy("bucket")).applyInArrow(_finish(with_text), OUT + ", kept binary" * with_text)
+    return by_doc.cogroup(bl.spread(ranges, total).groupBy("bucket")).applyInArrow(bl.tidy(_finish(with_text)), OUT + ", kept binary" * with_text)
