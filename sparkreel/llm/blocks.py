@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cluster import cut, qualified, shared_dir
+from . import textkit as tk
 
 __all__ = ["cut", "qualified", "shared_dir"]
 
@@ -69,6 +70,7 @@ def joined(blocks: list[bytes]) -> list[np.ndarray]:
 
 def give_back() -> None:
     """Returns freed memory to the system: workers stay alive between stages, and what they hold counts for their executor."""
+    tk.forget()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -662,7 +662,8 @@ def _second(spark, docs: DataFrame, joined: DataFrame, found: DataFrame, doc_bit
         return found
     layout = _layout(joined.where("n > 0").select(F.col("u").alias("region"), F.col("v").alias("step"), "n"), visits)
     layout = spark.sparkContext.broadcast(layout)
-    blocks = joined.where("bucket is not null").select("bucket", "block").union(visits.mapInArrow(_visitors(doc_bits), bl.BLOCK_SCHEMA))
+    guests = bl.cut(visits.mapInArrow(_visitors(doc_bits), bl.BLOCK_SCHEMA))  # else tasks below have two workers at once
+    blocks = joined.where("bucket is not null").select("bucket", "block").union(guests)
     # texts of documents that meet anyone, and no others, are read again
     some = docs.join(small_side(blocks.mapInArrow(_in_windows(layout), "_doc long").distinct()), F.col("doc_id") == F.col("_doc"), "left_semi")
     by_doc = bl.spread(bl.texts(some, doc_bits), total).groupBy("bucket")

@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from . import blocks as bl
 from . import textkit as tk
 
 LENGTH, END = 4096, 2
@@ -251,6 +252,7 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 
 def _pack(path):
     def run(stream):
+        bl.give_back()  # what former stages left in this worker
         words, held = encoder(path), _Stream(TaskContext.get().partitionId() << 33)
         for rb in stream:
             ids = rb.column(0)
@@ -258,7 +260,10 @@ def _pack(path):
                 held.add(*words.encode(buf, off), ids.slice(a, b - a).to_pylist())
                 if len(held.ids) >= CHUNK:
                     yield _batch(held.finish(False))
+                    bl.give_back()
         yield _batch(held.finish(True))
+        del held
+        bl.give_back()
 
     return run
 
