@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, html_tree, jaccard, language, mixing, nearest, packing, quality, substring_dedup, suffix_dedup, warc
+from . import bpe, conversations, html_tree, jaccard, language, mixing, nearest, packing, quality, substring_dedup, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_temperature_mixing, op4_jaccard_join, op5_html_extraction, op6_substring_dedup, op7_packing, op8_quality_rules, op9_language, op10_nearest, op11_conversation_repair, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_temperature_mixing, op4_jaccard_join, op5_html_extraction, op6_substring_dedup, op7_packing, op8_quality_rules, op9_language, op10_nearest, op11_conversation_repair, op12_bpe_round_trip, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
