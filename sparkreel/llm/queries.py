@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, html_tree, jaccard, language, mixing, nearest, packing, quality, substring_dedup, suffix_dedup, warc
+from . import bpe, codes, conversations, html_tree, jaccard, language, mixing, nearest, packing, quality, substring_dedup, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,8 +77,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_temperature_mixing, op4_jaccard_join, op5_html_extraction, op6_substring_dedup, op7_packing, op8_quality_rules, op9_language, op10_nearest, op11_conversation_repair, op12_bpe_round_trip, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_temperature_mixing, op4_jaccard_join, op5_html_extraction, op6_substring_dedup, op7_packing, op8_quality_rules, op9_language, op10_nearest, op11_conversation_repair, op12_bpe_round_trip, op13_vector_codes, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_temperature_mixing": mixing.ORACLE}
+    return {"op3_temperature_mixing": mixing.ORACLE, "op13_vector_codes": codes.ORACLE}
