@@ -28,7 +28,7 @@ def full(kind: bytes, fmt: str, *values) -> bytes:
 
 def movie(sizes, durations, shifts, sync, per_chunk, config=b"configuration", handler=b"vide", moov_first=False) -> tuple[bytes, list[bytes]]:
     """A small MP4 with one track, and its samples."""
-    samples = [bytes([65 + k]) * n for k, n in enumerate(sizes)]
+    samples = [bytes([65 + k % 190]) * n for k, n in enumerate(sizes)]
     n = len(samples)
     entry = struct.pack(">I4s", 0, b"avc1") + b"\0" * 78 + box(b"pasp", b"avcC in the wrong place") + box(b"avcC", config)
     entry = struct.pack(">I", len(entry)) + entry[4:]
@@ -148,3 +148,86 @@ def test_names_and_stalls(spark):
     assert [r[0] for r in got] == ["mail_03_seg1_t2.500.png", "mail_03_seg1_t2.500_stitched.png", "mail_03_seg1_t2.500_p2of3.png", "image_003.png"]
     silent = spark.createDataFrame([(True, 180_000), (True, 180_001), (True, 600_001), (False, 900_000)], "running boolean, ms long")
     assert [r[0] for r in silent.select(X.stall(F.col("running"), F.col("ms"))).collect()] == [None, "warn", "abort", None]
+
+
+def columns(rows):
+    return [(r.number, r.cts, r.duration, r.is_sync, r.offset, r.size) for r in sorted(rows, key=lambda r: r.number)]
+
+
+@pytest.mark.parametrize("per_chunk", [1, 3, 50])
+def test_mp4_source_splits_a_file(spark, tmp_path, per_chunk):
+    """Any split gives the samples that one pass over the whole bytes gives, with their bytes."""
+    n = 50
+    data, made = movie([1 + 7 * k % 30 for k in range(n)], [10 + k % 3 for k in range(n)], [(-5) ** (k % 2) * k for k in range(n)], [1, 20, 41], per_chunk, moov_first=per_chunk == 3)
+    (tmp_path / "a.mp4").write_bytes(data)
+    want = mp4.track(data)
+    assert [data[s[4] : s[4] + s[5]] for s in want["samples"]] == made
+    for split in (1 << 20, 400, 37):
+        got = mp4.samples(spark, str(tmp_path), media=True, bytes_per_partition=split)
+        assert got.rdd.getNumPartitions() == -(-len(data) // split)
+        rows = got.collect()
+        assert columns(rows) == want["samples"]
+        assert [bytes(r.data) for r in sorted(rows, key=lambda r: r.number)] == made
+        assert {(r.codec, bytes(r.description), r.timescale, r.error) for r in rows} == {("avc", b"configuration", 600, None)}
+
+
+def test_mp4_source_of_odd_files(spark, tmp_path):
+    other, _ = movie([1], [1], [0], [1], 1, handler=b"soun")
+    bad = {"none": b"A" * 4096, "length": struct.pack(">I4s8x", 3, b"ftyp"), "bare": box(b"ftyp", b"12345678") + box(b"moov", box(b"mvhd", b"\0" * 100)), "sound": other, "empty": b""}
+    for name, content in bad.items():
+        (tmp_path / f"{name}.MOV").write_bytes(content)
+    (tmp_path / "notes.txt").write_bytes(b"no video")
+    rows = mp4.samples(spark, str(tmp_path), bytes_per_partition=64).collect()
+    assert sorted(r.path.rsplit("/")[-1] for r in rows) == sorted(f"{n}.MOV" for n in bad) and all(r.error for r in rows)
+    assert mp4.samples(spark, str(tmp_path / "sound.MOV")).collect()[0].error == "no video track"
+
+
+def test_mp4_source_of_a_file_over_2_gb(spark, tmp_path):
+    """Media first, tables last, 3 GB between: the tables are found by seeking and no task reads the rest."""
+    gap, n = 3 << 30, 2000
+    media = [bytes([k % 251]) * 5 for k in range(n)]
+    head = box(b"ftyp", b"isom\0\0\0\0")
+    body = struct.pack(">I4sQ", 1, b"mdat", 16 + gap + 5 * n)
+    first = len(head) + 16 + gap
+    entry = struct.pack(">I4s", 0, b"hvc1") + b"\0" * 78 + box(b"hvcC", b"cfg")
+    entry = struct.pack(">I", len(entry)) + entry[4:]
+    stbl = box(
+        b"stbl",
+        box(b"stsd", struct.pack(">II", 0, 1), entry),
+        full(b"stts", ">III", 1, n, 20),
+        full(b"stsz", ">II", 5, n),
+        full(b"stsc", ">IIII", 1, 1, 100, 1),
+        full(b"co64", f">I{n // 100}Q", n // 100, *[first + 500 * k for k in range(n // 100)]),
+    )
+    tail = box(b"moov", box(b"trak", box(b"mdia", full(b"mdhd", ">IIIIHH", 0, 0, 600, 20 * n, 0, 0), full(b"hdlr", ">I4s12x", 0, b"vide"), box(b"minf", stbl))))
+    with open(tmp_path / "long.mp4", "wb") as f:
+        f.write(head + body)
+        f.seek(first)
+        f.write(b"".join(media) + tail)
+    got = mp4.samples(spark, str(tmp_path / "long.mp4"), media=True)
+    assert got.rdd.getNumPartitions() == 13
+    rows = sorted(got.collect(), key=lambda r: r.number)
+    assert [bytes(r.data) for r in rows] == media and [r.cts for r in rows] == [20 * k for k in range(n)]
+    assert rows[-1].offset == first + 5 * (n - 1) and rows[0].codec == "hevc" and all(r.is_sync for r in rows)
+
+
+def test_mp4_tables_are_read_by_range():
+    """A run in the middle costs its own sizes, not the file's."""
+    n = 60_000
+    data, _ = movie([1 + k % 5 for k in range(n)], [10] * n, [0] * n, list(range(1, n, 100)), 30)
+
+    class Counted(io.BytesIO):
+        read_ = 0
+
+        def read(self, size=-1):
+            got = super().read(size)
+            self.read_ += len(got)
+            return got
+
+    f = Counted(data)
+    t = mp4.open_track(f, len(data))
+    head = f.read_
+    got = t.samples(f, 100, 200)
+    assert head < 2000 and f.read_ - head < 1_200_000 < len(data)  # run-length tables are read block by block
+    want = mp4.track(data)["samples"][100:200]
+    assert list(zip(*(c.tolist() for c in got.values()), strict=True)) == want
