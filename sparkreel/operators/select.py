@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import expr as X
+from .cluster import cut, small_side
 
 
 def stability(segmented: DataFrame, distance: int = K.STABLE_DISTANCE) -> DataFrame:
@@ -32,31 +34,167 @@ def candidates(stable: DataFrame) -> DataFrame:
     return mails.unionByName(images)
 
 
-def greedy(items: DataFrame, keys: list[str], order: list[str], h: str = "h", distance: int = K.DUP_DISTANCE) -> DataFrame:
+#: Different hashes of a key that one task judges in order; neighbours of a key that one task folds.
+FOLD_HASHES, FOLD_EDGES = 20_000, 1_000_000
+
+
+def greedy(items: DataFrame, keys: list[str], order: list[str], h: str = "h", distance: int = K.DUP_DISTANCE, most: int = FOLD_HASHES, edges: int = FOLD_EDGES) -> DataFrame:
     """Items in order, with `kept`: no kept item before is within `distance` bits.
 
-    The rule depends on the order and is not transitive. Items without any neighbour within the
-    distance are kept at once; they are told by near_pairs, without a pass over a whole key. The
-    others are judged in order in one fold per key, which sees only them, each with its earlier
-    neighbours.
+    The kept items are the lexicographically first maximal independent set of the near graph. Of
+    equal hashes of a key only the first matters: if it goes, what it is too near to stands before
+    all of them. So keys are judged by their different hashes. Keys with up to `most` of them are
+    one small fold each; larger ones are judged in rounds over all tasks (_rounds). Items without a
+    hash are near nothing. Rows that share a place and a hash are judged as one.
     """
+    if not keys:
+        return greedy(items.withColumn("_all", F.lit(0)), ["_all"], order, h, distance, most, edges).drop("_all")
     place = F.struct(*[F.col(f"`{f}`").alias(f) for f in order])
-    near = near_pairs(items.select(*keys, place.alias("_at"), F.col(h).alias("_h")), keys, "_at", "_h", distance, min(distance + 1, 8))
-    earlier = near.groupBy(*keys, F.col("b").alias("_at")).agg(F.collect_set("a").alias("_before"))
+    narrow = items.select(*keys, place.alias("_at"), F.col(h).cast("long").alias("_h")).where("_h is not null")
+    first = cut(narrow.groupBy(*keys, "_h").agg(F.min("_at").alias("_at")))
+    large = cut(first.groupBy(*keys).count().where(F.col("count") > most).select(*keys))
+    if large.isEmpty():
+        kept = _folded(first, keys, distance)
+    else:
+        large = small_side(large)
+        kept = _folded(_in(first, large, keys, "left_anti"), keys, distance)
+        kept = kept.unionByName(_rounds(cut(_in(first, large, keys, "left_semi")), keys, distance, most, edges))
+    kept = kept.withColumn("_kept", F.lit(True))
+    marked = items.withColumn("_at", place).withColumn("_h", F.col(h).cast("long"))
+    joined = _joined(marked, kept, [*keys, "_at", "_h"])
+    return joined.withColumn("kept", F.col("_h").isNull() | F.col("_kept").isNotNull()).select(*[F.col(f"`{c}`") for c in items.columns], "kept")
+
+
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """A join in which null keys are equal to each other."""
+    right = right.select(*[F.col(c).alias(f"_r{k}") for k, c in enumerate(on)], *[c for c in right.columns if c not in on])
+    same = F.lit(True)
+    for k, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"_r{k}"))
+    return left.join(right, same, how).drop(*[f"_r{k}" for k in range(len(on))])
+
+
+def _in(rows: DataFrame, some: DataFrame, keys: list[str], how: str) -> DataFrame:
+    return _joined(rows, some, keys, how)
+
+
+def _folded(first: DataFrame, keys: list[str], distance: int) -> DataFrame:
+    """The kept of (*keys, _h, _at), key by key in one pass over its hashes."""
+
+    def fold(group: pa.Table) -> pa.Table:
+        places = [tuple((x is not None, x) for x in at.values()) for at in group["_at"].to_pylist()]
+        hashes = np.asarray(group["_h"], np.int64).view(np.uint64)
+        kept, n, out = np.zeros(len(places), np.uint64), 0, []
+        for k in sorted(range(len(places)), key=lambda k: (places[k], int(hashes[k]))):
+            if not n or int(np.bitwise_count(kept[:n] ^ hashes[k]).min()) > distance:
+                kept[n] = hashes[k]
+                n += 1
+                out.append(k)
+        return group.take(pa.array(out, pa.int64()))
+
+    columns = [*keys, "_at", "_h"]
+    first = first.select(*columns)
+    return first.groupBy(*keys).applyInArrow(fold, first.schema)
+
+
+def _cells(rows: DataFrame, keys: list[str], distance: int) -> tuple[DataFrame, list[str]]:
+    """Each item once for each of distance + 1 bands of its hash: near items share the bits of a band at least."""
+    bands = distance + 1
+    width = 64 // bands
+    bits = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("_h", k * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("bits")) for k in range(bands)]
+    return rows.select(*keys, "_at", "_h", F.explode(F.array(*bits)).alias("_c")).select(*keys, "_at", "_h", "_c.band", "_c.bits"), [*keys, "band", "bits"]
+
+
+def _swept(rows: DataFrame, keys: list[str], distance: int) -> DataFrame:
+    """The undecided items with `_sure` (no undecided item before is near) and `_lost` (a sure one is), as far as the first item of each cell tells.
+
+    An item that comes first in all its cells has no near item before it; and it comes first in each
+    cell that it shares with a near item, so comparing items with the first of their cells finds
+    all that it removes. Rows are items times bands, however near they are.
+    """
+    cells, by = _cells(rows, keys, distance)
+    head = F.min(F.struct("_at", "_h")).over(W.partitionBy(*by))
+    seen = cells.withColumn("_f", head).withColumn("_own", (F.col("_f._at") == F.col("_at")) & (F.col("_f._h") == F.col("_h")))
+    near = ~F.col("_own") & (X.hamming(F.col("_h"), F.col("_f._h")) <= distance)
+    told = seen.groupBy(*keys, "_at", "_h").agg(F.min("_own").alias("_sure"), F.collect_set(F.when(near, F.col("_f"))).alias("_by"))
+    told = cut(told)
+    sure = told.where("_sure").select(*keys, F.struct("_at", "_h").alias("_f"), F.lit(True).alias("_hit"))
+    asked = told.where("size(_by) > 0").select(*keys, "_at", "_h", F.explode("_by").alias("_f"))
+    lost = _joined(asked, sure, [*keys, "_f"], "left_semi").select(*keys, "_at", "_h").distinct().withColumn("_lost", F.lit(True))
+    return _joined(told.drop("_by"), lost, [*keys, "_at", "_h"]).withColumn("_lost", F.col("_lost").isNotNull())
+
+
+def _rounds(rows: DataFrame, keys: list[str], distance: int, most: int, edges: int) -> DataFrame:
+    """The kept of (*keys, _h, _at), a round over all keys at a time.
+
+    First sweeps by cells, as long as one decides a tenth of what is left. Keys with up to `most`
+    items left are folded. Of the others the near pairs are made, and in each round the items
+    without an undecided neighbour before them stay and their neighbours go; keys with up to `edges`
+    pairs left are folded by their pairs.
+    """
+    columns = [*keys, "_at", "_h"]
+    kept, left = [], rows.count()
+    while left:
+        swept = cut(_swept(rows, keys, distance))
+        kept.append(swept.where("_sure").select(*columns))
+        rows = swept.where("not _sure and not _lost").select(*columns)
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+        few = small_side(counts.where(F.col("_n") <= most).select(*keys))
+        kept.append(_folded(_in(rows, few, keys, "left_semi"), keys, distance))
+        rows = cut(_in(rows, few, keys, "left_anti"))
+        before, left = left, rows.count()
+        if left > 0.9 * before:
+            break
+    if left:
+        pairs = cut(near_pairs(rows.select(*keys, F.struct("_at", "_h").alias("_x"), "_h"), keys, "_x", "_h", distance, min(distance + 1, 8)).drop("distance"))
+        node = lambda end: F.col(end).alias("_x")
+        lost = []
+        while True:
+            sizes = pairs.groupBy(*keys).count()
+            over = small_side(sizes.where(F.col("count") > edges).select(*keys))
+            lost.append(_lost_by_pairs(_in(pairs, over, keys, "left_anti"), keys))
+            pairs = _in(pairs, over, keys, "left_semi")
+            if over.isEmpty():
+                break
+            pairs = cut(pairs)
+            waits = pairs.select(*keys, node("b")).distinct()
+            gone = cut(_joined(pairs.withColumn("_x", F.col("a")), waits, [*keys, "_x"], "left_anti").select(*keys, node("b")).distinct())
+            lost.append(gone)
+            for end in ("a", "b"):
+                pairs = _joined(pairs.withColumn("_x", F.col(end)), gone, [*keys, "_x"], "left_anti").drop("_x")
+            pairs = cut(pairs)
+        everything = lost[0]
+        for part in lost[1:]:
+            everything = everything.unionByName(part)
+        kept.append(_joined(rows.withColumn("_x", F.struct("_at", "_h")), everything, [*keys, "_x"], "left_anti").select(*columns))
+    out = kept[0]
+    for part in kept[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _lost_by_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, _x) of the items that a kept one precedes, by one fold over each key's pairs."""
+
+    def order(x: dict) -> tuple:
+        return (*((v is not None, v) for v in x["_at"].values()), x["_h"])
 
     def fold(group: pa.Table) -> pa.Table:
-        """The items that a kept one precedes; an earlier neighbour that is not among them is kept."""
-        rows = sorted((tuple(at.values()), [tuple(x.values()) for x in before], k) for k, (at, before) in enumerate(zip(group["_at"].to_pylist(), group["_before"].to_pylist(), strict=True)))
-        gone, places = set(), []
-        for at, before, k in rows:
-            if any(x not in gone for x in before):
-                gone.add(at)
-                places.append(k)
-        return group.take(pa.array(places, pa.int64())).drop_columns(["_before"])
-
-    lost = earlier.groupBy(*keys).applyInArrow(fold, earlier.drop("_before").schema).withColumn("_gone", F.lit(True))
-    marked = items.withColumn("_at", place)
-    return marked.join(lost, [*keys, "_at"], "left").withColumn("kept", F.col("_gone").isNull()).select(*[F.col(f"`{c}`") for c in items.columns], "kept")
+        before: dict[tuple, list] = {}
+        row_of = {}
+        for k, (a, b) in enumerate(zip(group["a"].to_pylist(), group["b"].to_pylist(), strict=True)):
+            before.setdefault(order(b), []).append(order(a))
+            row_of[order(b)] = k
+        gone = set()
+        for b in sorted(before):
+            if any(a not in gone for a in before[b]):
+                gone.add(b)
+        rows = group.take(pa.array([row_of[b] for b in gone], pa.int64()))
+        return rows.drop_columns(["a"]).rename_columns([*keys, "_x"])
+
+    shaped = pairs.select(*keys, "a", "b")
+    out = shaped.select(*keys, F.col("b").alias("_x")).schema
+    return shaped.groupBy(*keys).applyInArrow(fold, out)
 
 
 def near_pairs(items: DataFrame, keys: list[str], place: str, h: str, distance: int, bands: int = 4) -> DataFrame:

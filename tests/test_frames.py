@@ -285,3 +285,49 @@ def test_stream_of_samples(spark, tmp_path):
             want.append((1, nxt, n))
             nxt += 1
     assert sorted(got) == want
+
+
+def plain_greedy(rows, distance=6):
+    """(key, place) of the kept of (key, place, hash)."""
+    seen, out = {}, set()
+    for key, at, h in sorted(rows, key=lambda r: (r[1], r[2] is None, r[2] and r[2] & (1 << 64) - 1)):
+        if h is None or all(((h ^ x) & (1 << 64) - 1).bit_count() > distance for x in seen.setdefault(key, [])):
+            out.add((key, at))
+            if h is not None:
+                seen[key].append(h)
+    return out
+
+
+@pytest.mark.parametrize("most, edges", [(20_000, 10**6), (5, 10**6), (0, 3)])
+def test_greedy_in_rounds_equals_the_fold(spark, most, edges):
+    """Clusters, chains of drifting hashes and lone items; large keys in sweeps, pairs and rounds."""
+    rng = random.Random(8)
+    rows, at = [], 0
+    for key in (1, 2, None):
+        centres = [rng.getrandbits(64) - (1 << 63) for _ in range(4)]
+        drift = rng.getrandbits(62)
+        for k in range(60):
+            drift ^= 1 << rng.randrange(62)
+            for h in (rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(63), rng.choice([0, 1, 3, 6]))), drift ^ (1 << rng.randrange(62)), rng.getrandbits(63) if k % 5 == 0 else None):
+                rows.append((key, at, h))
+                at += 1
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "video_id long, idx int, h long").repartition(3)
+    got = select.greedy(df, ["video_id"], ["idx"], "h", 6, most=most, edges=edges)
+    assert {(r.video_id, r.idx) for r in got.collect() if r.kept} == plain_greedy(rows) and got.count() == len(rows)
+    one = select.greedy(df, [], ["idx"], "h", 6, most=most, edges=edges)
+    assert {r.idx for r in one.collect() if r.kept} == {at for _, at in plain_greedy([(0, a, h) for _, a, h in rows])}
+
+
+def test_greedy_of_a_static_recording(spark):
+    """100,000 equal hashes of one key, and as many near another one: rows stay linear in the items."""
+    n, centre = 100_000, (1 << 62) + 77
+    noise = "case when id % 2 = 0 then 0L else shiftleft(1L, cast(id % 60 as int)) ^ shiftleft(1L, cast(floor(id / 60) % 60 as int)) end"
+    items = spark.range(2 * n).selectExpr("1L video_id", "id idx", f"case when id < {n} then 77L else {centre}L ^ {noise} end h")
+    first = {}
+    for r in items.collect():
+        first.setdefault(r.h, r.idx)
+    want = plain_greedy([(1, idx, h) for h, idx in first.items()], 2)
+    for most in (20_000, 100):
+        got = select.greedy(items, ["video_id"], ["idx"], "h", 2, most=most)
+        assert {(1, r.idx) for r in got.where("kept").collect()} == want
