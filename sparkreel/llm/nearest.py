@@ -11,15 +11,16 @@ neighbour: the sum of squared distances to the cell borders that must be crossed
 Wang, Charikar, Li, "Multi-Probe LSH", 2007). Candidates of all tables are ranked by their exact
 inner product in double precision.
 
-Parameters follow the number n of rows of a length: projections = 6 + 0.7 log2(n / 2000), and
-probes grow by 1.8 with each projection, since the borders to cross grow with them. Measured share of
-all rows that a query meets, and recall: see `shares` and the README.
+Parameters follow the number n of rows of a length, alike at every size: projections = 8 + 0.45 log2(n / 2000),
+and probes grow by 1.7 with each projection, since the borders to cross grow with them. Rows that
+stand in no bucket that a query visits are never compared with it. What a query meets of all rows, how
+many inner products that costs, and recall: see `shares` and the README.
 
 Scale. The first projections, about log2(n / PART_ROWS) of them, make a coarse cell, by which rows and
 queries meet in a shuffle; a query goes to each coarse cell once, with the keys of the buckets that
 it visits there, and only those are multiplied. A coarse cell is split into salted parts whose number
-follows n. Copies of a vector beyond the k + 1 smallest ids of a batch go nowhere, as no ranking
-can use them, so a very common vector costs k + 1 rows a batch. A part keeps the k best of each
+follows n. Of the copies of a vector only one row of each of the k + 1 smallest ids of a batch goes on, as no ranking
+can use more, so a very common vector costs k + 1 rows a batch. A part keeps the k best of each
 query before anything leaves it.
 
 Every row is indexed and every query row is searched. Queries for which the tables find fewer than
@@ -45,8 +46,8 @@ from pyspark.sql import functions as F
 from . import blocks as bl
 from . import textkit as tk
 
-TABLES, WIDTH, NORM = 8, 2.0, 0.999
-PART_ROWS, SAMPLE = 16_000, 1024
+TABLES, WIDTH, NORM = 4, 2.0, 0.999
+PART_ROWS = 16_000
 #: Lengths of vectors that have tables; queries of rarer lengths are searched exactly.
 LENGTHS = 1000
 OUT = "query_id long, rank int, vec_id long, score double"
@@ -54,9 +55,9 @@ OUT = "query_id long, rank int, vec_id long, score double"
 
 def fitting(n: int) -> dict:
     """projections, probes, coarse (projections of the coarse cell) and parts for n rows."""
-    k = max(4, round(6 + 0.7 * math.log2(max(n, 1) / 2000)))
+    k = max(4, round(8 + 0.45 * math.log2(max(n, 1) / 2000)))
     coarse = min(k, max(1, round(math.log2(max(n, 1) / PART_ROWS)))) if n > PART_ROWS else 1
-    return {"projections": k, "probes": round(24 * 1.8 ** (k - 6)), "coarse": coarse, "parts": max(1, math.ceil(n * 0.6**coarse / (4 * PART_ROWS)))}
+    return {"projections": k, "probes": round(400 * 1.7 ** (k - 8)), "coarse": coarse, "parts": max(1, math.ceil(n * 0.6**coarse / (4 * PART_ROWS)))}
 
 
 class Hashes:
@@ -118,18 +119,19 @@ class Hashes:
 
 
 def few_copies(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
-    """Which rows a ranking can use: of each vector the k + 1 smallest ids."""
-    order = np.argsort(ids, kind="stable")
-    bits = np.ascontiguousarray(v.astype(np.float64)).view(np.uint64).reshape(len(v), -1)[order]
+    """Which rows a ranking can use: of each vector one row for each of its k + 1 smallest ids."""
+    bits = np.ascontiguousarray(v.astype(np.float64)).view(np.uint64).reshape(len(v), -1)
     h = tk.window_hashes(bits.ravel(), bits.shape[1])[:: bits.shape[1]]
-    by = np.argsort(h, kind="stable")
-    s = h[by]
-    start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    size = np.diff(np.append(start, len(s)))
-    nth, lead = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
-    nth[by], lead[by] = np.arange(len(s)) - np.repeat(start, size), np.repeat(by[start], size)
-    keep = np.empty(len(s), bool)
-    keep[order] = (nth <= k) | (bits != bits[lead]).any(axis=1)
+    by = np.lexsort((ids, h))
+    h, i, bits = h[by], ids[by], bits[by]
+    new = np.append(True, h[1:] != h[:-1])
+    other = new | np.append(True, i[1:] != i[:-1])  # the first row of an id among its hash
+    start = np.flatnonzero(new)
+    lead = np.repeat(start, np.diff(np.append(start, len(h))))
+    nth = np.cumsum(other)
+    nth -= nth[lead]
+    keep = np.empty(len(h), bool)
+    keep[by] = (other & (nth <= k)) | (bits != bits[lead]).any(axis=1)  # another vector of the same hash stays
     return keep
 
 
@@ -247,48 +249,68 @@ def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.add.reduce(q * v, axis=1)
 
 
+def kth(who: np.ndarray, vid: np.ndarray, g: np.ndarray, queries: int, k: int) -> np.ndarray:
+    """The k-th best product of each query, an id counted once; -inf with fewer ids. A little less, as rounding may change places."""
+    order = np.lexsort((-g, vid, who))
+    who, vid, g = who[order], vid[order], g[order]
+    first = np.append(True, (who[1:] != who[:-1]) | (vid[1:] != vid[:-1])) if len(who) else np.zeros(0, bool)
+    who, g = who[first], g[first]
+    order = np.lexsort((-g, who))
+    who, g = who[order], g[order]
+    at = np.searchsorted(who, np.arange(queries)) + k - 1
+    ok = np.flatnonzero(at < len(who))
+    ok = ok[who[at[ok]] == ok]
+    out = np.full(queries, -np.inf)
+    out[ok] = g[at[ok]] - 1e-9 * np.maximum(1, np.abs(g[at[ok]]))
+    return out
+
+
 def search_part(qid, q, n_probes, probes, vid, v, key, k):
-    """The k best of each query among the rows of the buckets it visits (equal keys)."""
+    """The k best of each query among the rows of the buckets it visits (equal keys), the likeliest first.
+
+    The first buckets, up to some multiple of k rows, give a bound for the k-th best, and of the others only
+    what reaches it is kept.
+    """
     keep = few_copies(vid, v, k)
     vid, v, key = vid[keep], v[keep], key[keep]
     order = np.argsort(key, kind="stable")
     vid, v, key = vid[order], v[order], key[order]
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    end = np.append(start[1:], len(key))
+    size = np.diff(np.append(start, len(key)))
     who = np.repeat(np.arange(len(qid)), n_probes)
     at = np.minimum(np.searchsorted(key[start], probes), len(start) - 1)
     hit = key[start][at] == probes
     who, at = who[hit], at[hit]
-    # a bound for the k-th best of each query from some rows, which are candidates as well; only what reaches it is kept
-    some = np.unique(np.linspace(0, len(vid) - 1, SAMPLE).astype(np.int64))
-    g = q @ v[some].T
-    g[qid[:, None] == vid[some][None, :]] = -np.inf
-    bound = np.partition(g, len(some) - k, axis=1)[:, len(some) - k] if len(some) > k else np.full(len(qid), -np.inf)
-    bound = np.where(np.isfinite(bound), bound - 1e-9 * np.maximum(1, np.abs(bound)), -np.inf)
-    i, j = np.nonzero((g >= bound[:, None]) & (g > -np.inf))
-    found = [(i, some[j], g[i, j])]
-    by = np.argsort(at, kind="stable")
-    cut = np.flatnonzero(np.append(True, np.diff(at[by]) != 0)) if len(by) else np.zeros(0, int)
-    for i, j in zip(cut, np.append(cut[1:], len(by)), strict=False):
-        mine, b = who[by[i:j]], at[by[i]]
-        g = q[mine] @ v[start[b] : end[b]].T
-        r, c = np.nonzero(g >= bound[mine, None])
-        found.append((mine[r], start[b] + c, g[r, c]))
-    i, j, g = (np.concatenate(x) for x in zip(*found, strict=True))
-    other = qid[i] != vid[j]
-    i, j, g = i[other], j[other], g[other]
-    # the k best by these products, with those that rounding may bring to the place, are ranked exactly
-    order = np.lexsort((-g, i))
-    i, j, g = i[order], j[order], g[order]
-    first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, int)
-    size = np.diff(np.append(first, len(i)))
-    edge = g[np.minimum(first + 2 * k, first + size) - 1]  # a row may stand twice, from the sample and its bucket
-    keep = g >= np.repeat(edge - 1e-9 * np.maximum(1, np.abs(edge)), size)
-    i, j = i[keep], j[keep]
+    ahead = np.cumsum(size[at]) - size[at]
+    lead = np.searchsorted(who, np.arange(len(qid)))
+    early = ahead - np.append(ahead, 0)[lead][who] < 4 * k
+    bound, found = np.full(len(qid), -np.inf), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for now in (early, ~early):
+        w, b = who[now], at[now]
+        by = np.argsort(b, kind="stable")
+        for _, places in _runs(b[by]):
+            mine, bucket = w[by[places]], b[by[places.start]]
+            rows = slice(start[bucket], start[bucket] + size[bucket])
+            g = q[mine] @ v[rows].T
+            r, c = np.nonzero((g >= bound[mine, None]) & (qid[mine][:, None] != vid[rows][None, :]))
+            found.append((mine[r], rows.start + c, g[r, c]))
+        i, j, g = (np.concatenate(x) for x in zip(*found, strict=True))
+        bound = kth(i, vid[j], g, len(qid), k)
+        keep = g >= bound[i]
+        i, j, g = i[keep], j[keep], g[keep]
+        found = [(i, j, g)]
+    # what is left, with what rounding may bring to a place, is ranked exactly
     qid, _, vid, score = best(qid[i], vid[j], exact(q[i], v[j]), k)
     return qid, vid, score
 
 
+def _runs(a: np.ndarray):
+    """(value, slice) of the runs of equal values."""
+    cut = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
+    for x, y in zip(cut.tolist(), np.append(cut[1:], len(a)).tolist(), strict=False):
+        yield a[x], slice(x, y)
+
+
 def _search(k, query_bits):
     def work(_, held):
         by: dict[int, tuple[list, list]] = {}
@@ -340,17 +362,19 @@ def nearest(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding
     return first.join(full.select(F.col("id").alias("query_id")), "query_id", "left_semi").unionByName(again)
 
 
-def shares(ids: np.ndarray, v: np.ndarray, k: int = 20, every: int = 20, seed: int = 1, **given) -> tuple[float, float]:
-    """(recall, share of all rows that a query meets) of the parameters for these rows, against brute force in memory: for samples."""
+def shares(ids: np.ndarray, v: np.ndarray, k: int = 20, every: int = 20, seed: int = 1, **given) -> tuple[float, float, float]:
+    """(recall, share of all rows that a query meets, inner products a query as a share of brute force's) of the parameters for these rows: for samples."""
     v = np.asarray(v, np.float64)
     hashes = Hashes(v.shape[1], float(np.quantile(np.linalg.norm(v, axis=1), NORM)), TABLES, WIDTH, seed, **fitting(len(v)) | given)
     asks = np.flatnonzero(ids % every == 0)
-    met = np.zeros((len(asks), len(v)), bool)
+    met, products = np.zeros((len(asks), len(v)), bool), 0
     for t in range(hashes.tables):
         key, probes = hashes.keys(hashes.completed(v, False), t)[1], hashes.probes(hashes.completed(v[asks], True), t)[1]
         for row, own in zip(met, probes, strict=True):
-            row |= np.isin(key, own)
+            hit = np.isin(key, own)
+            row |= hit
+            products += int(hit.sum())
     scores = v[asks] @ v.T
     scores[ids[asks][:, None] == ids[None, :]] = -np.inf
     top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    return float(np.take_along_axis(met, top, 1).mean()), float(met.mean())
+    return float(np.take_along_axis(met, top, 1).mean()), float(met.mean()), products / met.size

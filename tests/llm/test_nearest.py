@@ -101,8 +101,9 @@ def test_share_falls_with_the_rows(spark):
     for n in (2000, 8000, 32000):
         v = rng.normal(size=(n, 64))
         seen.append(nearest.shares(np.arange(n), v / np.linalg.norm(v, axis=1, keepdims=True), every=n // 40))
-    assert all(r >= 0.9 for r, _ in seen)
+    assert all(r >= 0.9 for r, _, _ in seen)
     assert seen[0][1] > seen[1][1] > seen[2][1] and seen[2][1] < 0.65
+    assert seen[0][2] > seen[1][2] > seen[2][2] and seen[1][2] < 1
 
 
 def test_a_common_vector(spark):
@@ -113,5 +114,47 @@ def test_a_common_vector(spark):
     ids = np.arange(900)
     keep = nearest.few_copies(ids, v, 20)
     assert keep.sum() == 600 + 21 and keep[:63:3].all()
+    many = np.concatenate([np.ones(500, np.int64), ids])  # one id five hundred times
+    keep = nearest.few_copies(many, np.concatenate([np.repeat(v[:1], 500, axis=0), v]), 20)
+    assert keep.sum() == 600 + 21 and keep[:500].sum() == 1
     got = collected(nearest.nearest(spark.createDataFrame([(int(k), x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)))
     assert recall(got, brute(ids, v.astype(np.float64))) >= 0.9
+
+
+def by_ids(ids, v, k=20, every=20):
+    """Brute force over distinct ids: each with its best row."""
+    out = {}
+    for i in np.flatnonzero(ids % every == 0):
+        s = nearest.exact(np.broadcast_to(v[i], v.shape), v)
+        found = {}
+        for j in np.flatnonzero(ids != ids[i]):
+            found[int(ids[j])] = max(s[j], found.get(int(ids[j]), -np.inf))
+        mine = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k]
+        out.setdefault(int(ids[i]), []).append(mine)
+    return out
+
+
+def test_repeated_ids(spark):
+    """An id in many rows, of one vector or of several, takes one place; in buckets and in the exact way alike."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(40, 8))
+    rows = [(1, base[0])] * 30 + [(i, base[0]) for i in range(2, 12)] + [(20, base[0]), (20, base[0])]
+    rows += [(50, base[1] * (1 + k / 50)) for k in range(60)] + [(100 + k, base[k]) for k in range(2, 40)] + [(60, base[1])]
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in rows], "vec_id long, embedding array<double>")
+    want = by_ids(ids, v)
+    for parts in (1, 5):
+        for given in ({"projections": 4, "probes": 81, "width": 100.0}, {"tables": 1, "width": 0.05, "probes": 1}):
+            got = collected(nearest.nearest(df.repartition(parts), **given))
+            assert set(got) == set(want)
+            for q, (mine, *rest) in want.items():
+                assert not [r for r in rest if r != mine] and [x for _, x, _ in got[q]] == [x for x, _ in mine]
+
+
+def test_only_visited_buckets(monkeypatch):
+    """Rows of buckets that a query does not visit are not compared with it."""
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(300, 8))
+    key = np.arange(300, dtype=np.uint64) // np.uint64(50)
+    q, vid, _ = nearest.search_part(np.array([1000]), rng.normal(size=(1, 8)), np.array([2]), np.array([3, 1], np.uint64), np.arange(300), v, key, 20)
+    assert len(vid) == 20 and set(vid // 50) <= {1, 3} and set(q) == {1000}
