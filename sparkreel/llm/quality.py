@@ -8,21 +8,21 @@ largest share. Where a stratum (language) stops on that path is not chosen by ha
 Labelled good documents that pass the base are the holdout, and the steps are tested
 from the most lenient on. A step stands if the exact binomial (Clopper-Pearson) upper
 bound of the share of good documents it rejects is at most ALPHA, at confidence
-1 - DELTA / strata (Bonferroni); testing stops at the first that fails (fixed-sequence
+1 - DELTA / tested strata (Bonferroni); testing stops at the first that fails (fixed-sequence
 testing, so the path itself costs no correction). With probability 1 - DELTA, no stratum
 loses more than ALPHA of its good documents to these rules. The path is fixed
 beforehand, so no label is used twice.
 
-Small strata. A step can stand at all only with n good labels such that
-(1 - ALPHA)^n <= DELTA / strata. Strata with fewer are pooled into one; while that is too
-small too, the smallest other stratum joins it. The guarantee is then for the pool. This looks at
-the numbers of labels only, never at scores. With too few labels in all (148 for one
-stratum at the default parameters), everything that passes the base is kept.
+Every stratum is judged by its own labels. A step can stand at all only with n good labels such that
+(1 - ALPHA)^n <= DELTA / strata; a stratum with fewer can reject nothing, so it is not tested and
+takes no part of DELTA. Which ones are tested follows from the numbers of labels alone, never from scores: the
+m strata with most labels, m as large as all of them have enough for m. In the others, and in
+languages without labels, everything that passes the base is kept. With too few labels in every stratum
+(148 at the default parameters) that is so everywhere.
 
 Scale. One pass over texts makes one narrow row per document, which is written to the
-shared folder once; labels join those rows by doc_id, and only counts per stratum and step
-reach the driver (at most (STRATA + 1) * GRID numbers). More languages than STRATA share
-the pool.
+shared folder once; labels join those rows by doc_id. Strata are tested in tasks, each from its GRID counts, and
+their cutoffs join the rows, broadcast if they are few. No number of strata is special.
 
 Defined cases: null or empty text has no words and fails the base. A null language is a
 stratum of its own. A doc_id labelled several times counts as good if any label is good;
@@ -38,13 +38,15 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.cluster import small_side
 from . import blocks as bl
 from . import textkit as tk
 
 ALPHA, DELTA = 0.02, 0.05
-STRATA, GRID = 64, 100
+GRID = 100
 MIN_WORDS = 50
 
 _COUNTS = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
@@ -124,32 +126,36 @@ def needed(strata: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
     return math.ceil(math.log(delta / strata) / math.log1p(-alpha))
 
 
-def pooled(labels: dict[str, int], alpha: float = ALPHA, delta: float = DELTA) -> set[str]:
-    """The strata that have too few labels to be tested alone, and those that join them."""
-    alone = [s for s, _ in sorted(labels.items(), key=lambda x: (-x[1], x[0]))]
-    pool: list[str] = []
-    while alone and labels[alone[-1]] < needed(len(alone) + bool(pool), alpha, delta):
-        pool.append(alone.pop())
-    while alone and pool and sum(labels[s] for s in pool) < needed(len(alone) + 1, alpha, delta):
-        pool.append(alone.pop())
-    return set(pool)
+def tested(strata: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Of (_s, n) the strata that are tested, with `_m`, how many they are; equal n by name."""
+    enough = strata.where(F.col("n") >= needed(1, alpha, delta)).withColumn("_rank", F.row_number().over(W.orderBy(F.desc("n"), "_s")))
+    stands = F.col("n") >= F.ceil(F.log(F.lit(delta) / F.col("_rank")) / math.log1p(-alpha))
+    m = F.max(F.when(stands, F.col("_rank"))).over(W.partitionBy())
+    return enough.withColumn("_m", m).where(F.col("_rank") <= F.col("_m")).select("_s", "_m")
 
 
-def cutoffs(good: dict[str, list[int]], alpha: float = ALPHA, delta: float = DELTA) -> dict[str, int]:
-    """For each stratum the lowest step that stands (GRID: none, nothing is rejected).
+def cutoff(by_step: list[int], strata: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """The lowest step that stands in one of `strata` tested strata (GRID: none, nothing is rejected).
 
-    good[stratum][s]: good holdout documents whose place is step s (0 .. GRID - 1). A cutoff at
+    by_step[s]: good holdout documents whose place is step s (0 .. GRID - 1). A cutoff at
     step s rejects places in steps s and above.
     """
-    out = {}
-    for stratum, by_step in good.items():
-        n, gone, step = sum(by_step), 0, len(by_step)
-        # the upper bound is at most alpha just if so few are improbable at alpha
-        while step > 1 and (k := gone + by_step[step - 1]) < n and at_most(k, n, alpha) <= delta / len(good):
-            step -= 1
-            gone += by_step[step]
-        out[stratum] = step
-    return out
+    n, gone, step = sum(by_step), 0, len(by_step)
+    # the upper bound is at most alpha just if so few are improbable at alpha
+    while step > 1 and (k := gone + by_step[step - 1]) < n and at_most(k, n, alpha) <= delta / strata:
+        step -= 1
+        gone += by_step[step]
+    return step
+
+
+def _cutoffs(alpha: float, delta: float):
+    def run(group: pa.Table) -> pa.Table:
+        by_step = [0] * GRID
+        for place, n in zip(group["place"].to_pylist(), group["count"].to_pylist(), strict=True):
+            by_step[place] += n
+        return pa.table({"_cs": group["_s"].slice(0, 1), "_cut": pa.array([cutoff(by_step, group["_m"][0].as_py(), alpha, delta)], pa.int32())})
+
+    return run
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -162,8 +168,8 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"place": place, "rule": rule, "base_failed": F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words")})
 
 
-#: Names of the pool and of the stratum without language, which no language has.
-_POOL, _NONE = "\1", "\0"
+#: The name of the stratum without language, which no language has.
+_NONE = "\0"
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -171,15 +177,9 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     rows = bl.cut(measured(docs)).withColumn("_s", F.coalesce("stratum", F.lit(_NONE)))
     good = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1")
     held = bl.cut(rows.where("not base_failed").join(good, "doc_id").groupBy("_s", "place").count())  # narrow: one row a language and step
-    most = {r["_s"]: r["n"] for r in held.groupBy("_s").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "_s").limit(STRATA).collect()}
-    alone = sorted(most.keys() - pooled(most, alpha, delta))
-    stratum = F.when(F.col("_s").isin(alone), F.col("_s")).otherwise(_POOL) if alone else F.lit(_POOL)
-    by_step: dict[str, list[int]] = {}
-    for r in held.groupBy(stratum.alias("_s"), "place").agg(F.sum("count").alias("n")).collect():
-        by_step.setdefault(r["_s"], [0] * GRID)[r["place"]] = r["n"]
-    stand = [(s, c) for s, c in cutoffs(by_step, alpha, delta).items() if c < GRID]
-    hit = F.lit(False)
-    for s, c in stand:
-        hit = hit | ((stratum == s) & (F.col("place") >= c))
-    rejected = F.when(~F.col("base_failed") & hit, F.col("rule"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & rejected.isNull()).alias("kept"), rejected.alias("rejected_by"))
+    chosen = tested(held.groupBy("_s").agg(F.sum("count").alias("n")), alpha, delta)
+    cuts = held.join(chosen, "_s").select("_s", "place", "count", "_m").groupBy("_s").applyInArrow(_cutoffs(alpha, delta), "_cs string, _cut int")
+    joined = rows.join(small_side(cuts.where(F.col("_cut") < GRID)), F.col("_s") == F.col("_cs"), "left")
+    hit = ~F.col("base_failed") & F.coalesce(F.col("place") >= F.col("_cut"), F.lit(False))
+    rejected = F.when(hit, F.col("rule"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & rejected.isNull()).alias("kept"), rejected.alias("rejected_by"))

@@ -63,16 +63,11 @@ def verdicts(docs, marks):
     for (d, _, lang), b, p in zip(docs, base, places, strict=True):
         if d in good and not b:
             held[lang].append(p)
-    order = sorted(held, key=lambda x: (len(held[x]), [-ord(c) for c in x or ""]))
+    order = sorted(held, key=lambda x: (-len(held[x]), x or ""))
     need = lambda m: next(n for n in range(10**4) if 0.98**n <= 0.05 / m)
-    pool = []
-    while order and len(held[order[0]]) < need(len(order) + bool(pool)):
-        pool.append(order.pop(0))
-    while order and pool and sum(len(held[x]) for x in pool) < need(len(order) + 1):
-        pool.append(order.pop(0))
-    groups = {x: held[x] for x in order} | ({"pool": [p for x in pool for p in held[x]]} if pool else {})
-    cut = {x: least_step(p, 0.05 / len(groups)) for x, p in groups.items()}
-    return [(d, not b and p < cut.get(lang if lang in order else "pool", 100)) for (d, _, lang), b, p in zip(docs, base, places, strict=True)]
+    m = max((k for k in range(1, len(order) + 1) if len(held[order[k - 1]]) >= need(k)), default=0)
+    cut = {x: least_step(held[x], 0.05 / m) for x in order[:m]}
+    return [(d, not b and p < cut.get(lang, 100)) for (d, _, lang), b, p in zip(docs, base, places, strict=True)]
 
 
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
@@ -89,16 +84,36 @@ def test_table(spark, folder):
         assert len(rejected) > 20  # the rules have power
 
 
-def test_small_strata_are_pooled():
+def test_strata_with_enough_labels_are_tested(spark):
     assert quality.needed(1) == 149 and 0.98**149 <= 0.05 < 0.98**148
-    assert quality.pooled({"en": 5000, "de": 400}) == set()
-    assert quality.pooled({"en": 5000, "de": 100, "fr": 90, "es": 80}) == {"de", "fr", "es"}
-    assert quality.pooled({"en": 214, "fr": 47, "de": 36, "es": 30}) == {"en", "fr", "de", "es"}  # three together are too few
-    assert quality.pooled({}) == set() and quality.pooled({"en": 3}) == {"en"}
+    cases = [({"en": 5000, "de": 400}, {"en", "de"}), ({"en": 5000, "de": 182, "fr": 182}, {"en"}), ({"en": 5000, "de": 183, "fr": 183}, {"en", "de"}), ({"en": 214, "fr": 47, "de": 36}, {"en"}), ({"en": 148}, set()), ({}, set())]
+    for labels_, want in cases:
+        got = quality.tested(spark.createDataFrame(list(labels_.items()), "_s string, n long")).collect()
+        assert {r._s for r in got} == want and {r._m for r in got} <= {len(want)}
+    many = {f"l{k:03d}": 1000 for k in range(200)}  # no number of languages is special
+    assert len(quality.tested(spark.createDataFrame(list(many.items()), "_s string, n long")).collect()) == 200
+
+
+def symbols_text(rng, share):
+    words = [f"{rng.choice('abcdefg')}{rng.randrange(10**6)}x" for _ in range(100)]
+    for i in rng.sample(range(100), share):
+        words[i] = f"#{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_small_strata_lose_nothing(spark):
+    """Good texts of a tiny stratum look like what a large one may reject, and so do texts of a language without labels: all stay."""
+    rng = random.Random(15)
+    docs = [(k, symbols_text(rng, 5), "en") for k in range(1000)] + [(2000 + k, symbols_text(rng, 60), "en") for k in range(50)]
+    docs += [(3000 + k, symbols_text(rng, 50), "zz") for k in range(5)] + [(4000 + k, symbols_text(rng, 90), lang) for k, lang in enumerate(["yy", None, "yy"])]
+    marks = [(k, 1, 0) for k in range(1000)] + [(2000 + k, 0, 0) for k in range(50)] + [(3000 + k, 1, 0) for k in range(5)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels(spark, marks)).collect()}
+    assert all(got[d] == (not 2000 <= d < 3000) for d in got)
+    assert sorted(got.items()) == sorted(verdicts(docs, [m[:2] for m in marks]))
 
 
 def test_strata(spark):
-    """A language with labels of its own, a small one that shares the pool with null, and more languages than labels."""
+    """Languages with labels of their own, a small one, and rows without a language."""
     rng, docs, marks = random.Random(14), [], []
     for k in range(1500):
         bad = k % 5 == 0
@@ -158,7 +173,7 @@ def test_cutoffs_keep_their_promise_often():
         for name, n in (("a", 300), ("b", 700), ("c", 2000)):
             places = np.minimum(quality.GRID - 1, rng.exponential(7, n).astype(int))
             drawn[name] = np.bincount(places, minlength=quality.GRID).tolist()
-        cut = quality.cutoffs(drawn)
+        cut = {name: quality.cutoff(by_step, len(drawn)) for name, by_step in drawn.items()}
         failures += any(c < quality.GRID and math.exp(-c / 7) > quality.ALPHA for c in cut.values())
         powerful += sum(c < quality.GRID for c in cut.values())
     assert failures <= 200 * quality.DELTA + 8 and powerful > 500
