@@ -236,22 +236,52 @@ def select_events(stable: DataFrame, distance: int = K.DUP_DISTANCE) -> DataFram
     return judged.select("video_id", "seg", "kind", "idx", "bm", "h", "from_stable", event.alias("event"), F.when(~F.col("kept"), "duplicate").alias("reason"))
 
 
-def close_segments(segs: list[dict], distance: int, limit: int, seen: list[int] | None = None) -> list[tuple]:
+class HashIndex:
+    """Hashes by the bits of 4 bands of 16: whether one within `distance` bits is held.
+
+    Near hashes differ in one band by at most distance // 4 bits, so a look asks for the cells with
+    that few bits flipped: a fixed number, however many hashes are held. `cells` maps (band, bits) to a
+    list of hashes; a state store's map will do.
+    """
+
+    WIDTH = 16
+
+    def __init__(self, distance: int, cells=None):
+        self.distance, self.cells = distance, {} if cells is None else cells
+        flips = distance * self.WIDTH // 64
+        self.masks = [sum(1 << b for b in c) for k in range(flips + 1) for c in combinations(range(self.WIDTH), k)]
+
+    def _bits(self, h: int) -> list[tuple[int, int]]:
+        return [(band, h >> band * self.WIDTH & (1 << self.WIDTH) - 1) for band in range(64 // self.WIDTH)]
+
+    def near(self, h: int) -> bool:
+        for band, bits in self._bits(h):
+            for mask in self.masks:
+                if any(((h ^ x) & (1 << 64) - 1).bit_count() <= self.distance for x in self.cells.get((band, bits ^ mask), ())):
+                    return True
+        return False
+
+    def add(self, h: int) -> None:
+        for cell in self._bits(h):
+            self.cells[cell] = [*self.cells.get(cell, ()), h]
+
+
+def close_segments(segs: list[dict], distance: int, limit: int, seen: HashIndex | None = None) -> list[tuple]:
     """Events of one video under the streaming rule: images are held per segment against what is
     seen and held, at most `limit`; at the end of the segment the mail is judged, then the held images. `seen` is what was selected before, and grows."""
     near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= distance
-    seen = [] if seen is None else seen
+    seen = HashIndex(distance) if seen is None else seen
     out = []
     for s in segs:
         held, over = [], []
         for im in s["images"]:
-            if any(near(im["h"], x) for x in seen) or any(near(im["h"], x["h"]) for x in held):
+            if seen.near(im["h"]) or any(near(im["h"], x["h"]) for x in held):
                 continue
             (held if len(held) < limit else over).append(im)
         for kind, x in [("mail", s["mail"])] * (s["mail"] is not None) + [("image", x) for x in held]:
-            dup = any(near(x["h"], y) for y in seen)
+            dup = seen.near(x["h"])
             if not dup:
-                seen.append(x["h"])
+                seen.add(x["h"])
             out.append((s["seg"], kind, x["idx"], x["bm"], x["h"], x["from_stable"], "skipped" if dup else "selected", "duplicate" if dup else None))
         out += [(s["seg"], "image", x["idx"], x["bm"], x["h"], True, "skipped", "pending_overflow") for x in over]
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -162,3 +163,73 @@ def test_events_carry_their_job(spark, tmp_path):
         assert seen == {"job-1", "job-2"} and max(r[3] for r in progress.rows() if r[0] == "job-2" and r[1] == "progress") == 5
     finally:
         spark.streams.removeListener(progress)
+
+
+def run_live(spark, batches, schema, op, tmp_path):
+    """Batches one by one under one running query, until each has been read; then time passes until the timers have fired."""
+    folder, name = tmp_path / "live", f"l{random.getrandbits(40)}"
+    folder.mkdir()
+    source = spark.readStream.schema(schema).parquet(str(folder / "*"))
+    q = op(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "live-state")).trigger(processingTime="200 milliseconds").start()
+    states = lambda: [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+
+    def until(done, seconds=40):
+        end = time.time() + seconds
+        while not done() and time.time() < end:
+            assert q.exception() is None
+            time.sleep(0.1)
+        assert done()
+
+    try:
+        seen, total = [], 0
+        for k, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"b={k}"))
+            total += len(rows)
+            until(lambda: sum(p["numInputRows"] for p in q.recentProgress) >= total)
+            seen.append(len(spark.table(name).collect()))
+        until(lambda: states()[-1] == 0)
+        time.sleep(1)
+        return seen, [tuple(r) for r in spark.table(name).collect()], states()[-1]
+    finally:
+        q.stop()
+
+
+def test_a_silent_video_is_flushed_once(spark, tmp_path):
+    """No end row: after the silence the held frame comes out, the state is gone, and a later frame starts anew."""
+    schema = "video_id long, n long, ts_us long, dur_us long, end boolean"
+    batches = [[(1, k, k * 500_000, 500_000, False) for k in range(3)], [(2, 0, 7_000_000, 1_000_000, False)]]
+    seen, got, left = run_live(spark, batches, schema, lambda s: streams.sample(s, silence_ms=6000), tmp_path)
+    assert seen[0] == 6 and left == 0  # two frames of three slots each; the third is held
+    assert sorted(got) == [(1, slot, slot // 3) for slot in range(9)] + [(2, slot, 0) for slot in range(6)]
+
+
+def test_a_silent_segment_is_closed_once(spark, tmp_path):
+    schema = "video_id long, seg int, idx int, cat string, bm double, h long, end boolean"
+    batches = [[(1, 0, 0, "detail", 0.5, 7, False), (1, 0, 1, "detail", 0.6, 7, False)], [(1, 1, 2, "detail", 0.5, 7, False)]]
+    seen, got, left = run_live(spark, batches, schema, lambda s: streams.select(s, silence_ms=6000), tmp_path)
+    assert seen == [0, 1] and left == 0
+    assert [(r[1], r[3], r[7]) for r in sorted(got)] == [(0, 1, "selected"), (1, 2, "skipped")]
+
+
+def test_an_index_asks_for_a_fixed_number_of_cells():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    rng = random.Random(11)
+    index = select.HashIndex(6, Counted())
+    held, costs = [], []
+    for k in range(3000):
+        h = rng.getrandbits(64) - (1 << 63) if k % 3 else rng.choice(held or [0]) ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(10)))
+        near = any(((h ^ x) & (1 << 64) - 1).bit_count() <= 6 for x in held)
+        index.cells.asked = 0
+        assert index.near(h) == near
+        costs.append(index.cells.asked)
+        if not near:
+            held.append(h)
+            index.add(h)
+    assert max(costs) == 4 * 17 and len(held) > 1500 and max(map(len, index.cells.values())) < 12
+
