@@ -5,7 +5,8 @@ watermarks, and a frame out of order is an error of the source. The end of a vid
 row (end = true), which flushes what the state still holds. sample(), segment() and select() are stateful
 processors with a timer for each video: one that is silent for `silence_ms` of processing time
 is flushed as if it had ended, once, and its state goes. Their state needs the RocksDB store, which they
-choose if the session has named none. State survives restarts by the query's checkpoint.
+choose if the session has named none. Timers need batches without data, so a query with the trigger availableNow
+ends only with spark.sql.streaming.noDataMicroBatches.enabled set to false (and then leaves timers alone). State survives restarts by the query's checkpoint.
 """
 
 from __future__ import annotations

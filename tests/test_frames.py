@@ -254,7 +254,12 @@ def run_stream(spark, rows, schema, op, tmp_path, parts):
         part = rows[k * len(rows) // parts : (k + 1) * len(rows) // parts]
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder / f"b={k}"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "*"))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # as many state stores
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else timers keep it running
     q = op(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     q.awaitTermination(120)
     assert q.exception() is None
     return [tuple(r) for r in spark.table(name).collect()]
