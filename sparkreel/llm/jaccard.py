@@ -677,7 +677,7 @@ def groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     total = bl.text_bytes(docs)
-    doc_bits, bits = bl.bits_for(total, 4 << 20), bl.bits_for(total, 12 << 20)
+    doc_bits, bits = bl.bits_for(total, 2 << 20), bl.bits_for(total, 12 << 20)
     census = bl.cut(docs.mapInArrow(_census, _SCAN))
     frequent = spark.sparkContext.broadcast(_bitmap(census.where("df is not null").groupBy("h").agg(F.sum("df").alias("df"))))
     leads = docs.mapInArrow(_lead_rows(frequent, bits, doc_bits), bl.BLOCK_SCHEMA)
