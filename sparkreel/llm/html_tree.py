@@ -15,10 +15,11 @@ counts as important, in it and above it.
 The main container is found by importance too: from the root on, the only child that holds MAIN_SHARE of
 the host's text, each block weighed by its content importance, as long as pages hold it once. Then, on
 a host of MIN_PAGES different pages or more,
-1. branches under LEAST go, wherever they are;
-2. outside the main container branches under STRICT go: what is not wholly page by page;
-3. names are hints: an element named as advertisement, menu, notice and the like, or a header, goes if it
-   is outside the main container, or if it is inside and its branch is under STRICT. Headings never do.
+1. outside the main container branches under BESIDE go, and those that are all links if they are under STRICT;
+2. inside it no branch goes by its importance alone, as text that a host's authors repeat is main text, too;
+3. names break ties: an element named as advertisement, menu, notice and the like, or a header, goes if it
+   is outside the main container, or if it is inside and its branch is under STRICT.
+Headings are judged with the block that they stand in, so none goes alone.
 On smaller hosts, where entropy cannot tell, names decide as a prior: named elements and headers outside
 articles go; the article and main elements are the text if they hold at least as many characters as all
 else outside links; blocks outside them that are nearly all links go.
@@ -47,6 +48,7 @@ from __future__ import annotations
 import hashlib
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,7 +56,7 @@ from pyspark.sql import functions as F
 
 from .blocks import cut
 
-MIN_PAGES, LEAST, STRICT, DECAY, MAIN_SHARE = 8, 0.25, 0.98, 0.9, 0.75
+MIN_PAGES, BESIDE, STRICT, DECAY, MAIN_SHARE = 8, 0.8, 0.98, 0.9, 0.75
 BROADCAST_BYTES, SALT = 64 << 20, 32
 
 OUT = "page_id long, url string, text string, n_chars long"
@@ -86,13 +88,12 @@ _COMMENTS = frozenset("comment comments disqus replies".split())
 _HEADERS = frozenset("header masthead head sitehead".split())
 _ARTICLE = frozenset("article main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What is no node of a style tree.
+_FLAT = _INLINE | _HEADINGS
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.DOTALL,
-)
+_COMMENT, _SECTION = r"<!--(?:.*?-->|.*)|", r"<!\[CDATA\[.*?\]\]>|"
+_TAGS = r"<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
+_TOKEN, _TOKEN_PLAIN = re.compile(_COMMENT + _SECTION + _TAGS, re.DOTALL), re.compile(_COMMENT + _TAGS, re.DOTALL)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*+(?:=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
@@ -138,21 +139,37 @@ def _below(path: str, style: str) -> str:
     return got
 
 
+def _tokens(html: str):
+    """Matches of markup. No search goes to the end for something that isn't there: sections are looked for as
+    long as an end of one follows, and nothing but a comment starts behind the last end of a tag."""
+    section, tag, at = html.rfind("]]>"), html.rfind(">") + 1, 0
+    while at < tag and (m := (_TOKEN if at <= section else _TOKEN_PLAIN).search(html, at, tag)):
+        yield m
+        at = m.end()
+    if (k := html.find("<!--", max(at, tag))) >= 0:
+        yield _TOKEN_PLAIN.match(html, k)
+
+
 def walk(html: str):
     """Events of a page in order: ("open", node), ("close", node), ("text", node, text), ("break", node)."""
     root = Node("", "", False, False, False)
     stack, at, hide = [root], 0, ""
+    count: Counter[str] = Counter()  # open elements by tag, so that nothing is looked for in vain
+    closes: dict[str, int] = {}  # the last end of each kind that hides what it contains
 
     def pop_to(k):
         while len(stack) > k:
+            count[stack[-1].tag] -= 1
             yield "close", stack.pop()
 
-    for m in _TOKEN.finditer(html):
+    for m in _tokens(html):
         if m.start() > at and not hide:
             yield "text", stack[-1], html[at : m.start()]
         at = max(at, m.end())
         tag = m[2] or m[5]
         if not tag:
+            if html.startswith("<!--", m.start()) and not html.startswith("-->", m.end() - 3):
+                at = len(html)  # a comment without an end hides the rest
             continue
         tag, ends, attrs = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if hide:
@@ -163,12 +180,12 @@ def walk(html: str):
             if tag == "br":
                 yield "break", stack[-1]
                 continue
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if count[tag] else ():
                 if stack[k].tag == tag:
                     yield from pop_to(k)
                     break
             continue
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and count["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     yield from pop_to(k)
@@ -177,7 +194,7 @@ def walk(html: str):
                     break
         if tag in _ENDS:
             kinds, limits = _ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(count[x] for x in kinds) else ():
                 if stack[k].tag in limits:
                     break
                 if stack[k].tag in kinds:
@@ -187,7 +204,9 @@ def walk(html: str):
             yield "break", stack[-1]
             continue
         if tag in _RAW or tag in _CLOSED:
-            if not attrs.rstrip().endswith("/") and (tag in _RAW or re.compile(f"</{tag}[\\s>/]", re.IGNORECASE).search(html, at)):
+            if tag in _CLOSED and tag not in closes:
+                closes[tag] = max((x.start() for x in re.finditer(f"</{tag}[\\s>/]", html, re.IGNORECASE)), default=-1)
+            if not attrs.rstrip().endswith("/") and (tag in _RAW or closes[tag] >= at):
                 hide = tag
             continue
         style, words, hidden = _style(tag, attrs)
@@ -204,9 +223,11 @@ def walk(html: str):
             yield "close", node
         else:
             stack.append(node)
+            count[tag] += 1
     if at < len(html) and not hide:
         tail = html[at:]
-        yield "text", stack[-1], tail[: tail.find("<")] if re.search(r"<[a-zA-Z/!][^>]*$", tail) else tail
+        unfinished = re.compile(r"<[a-zA-Z/!]").search(tail, tail.rfind(">") + 1)  # a tag that the page's end cuts off
+        yield "text", stack[-1], tail[: unfinished.start()] if unfinished else tail
     yield from pop_to(1)
 
 
@@ -223,26 +244,32 @@ def features(html: str) -> list[tuple]:
     """(path, path above, presentation digest, content digest, own characters outside links, those of the branch, elements,
     whether it is named) of each style path of a page, and a row of the page itself, with the empty path."""
     seen = {"": _Seen("", False)}
-    stack = [(Node("", "", False, False, False), seen[""])]  # open blocks
+    stack = [(Node("", "", False, False, False), seen[""], [0])]  # open blocks, with the characters of their branches so far
     links = 0  # open links
     for event in walk(html):
         node = event[1]
         links += (event[0] == "open") - (event[0] == "close") if node.tag == "a" else 0
         if event[0] == "open":
-            if node.tag not in _INLINE:
-                stack.append((node, seen.setdefault(node.path, _Seen(stack[-1][0].path, node.named)) if not node.removed else _Seen("", False)))
+            if node.tag not in _FLAT:
+                stack.append((node, seen.setdefault(node.path, _Seen(stack[-1][0].path, node.named)) if not node.removed else _Seen("", False), [0]))
         elif event[0] == "close":
-            if node.tag not in _INLINE and node.path:
-                _, own = stack.pop()
+            if node.tag not in _FLAT and node.path:
+                _, own, held = stack.pop()
                 own.looks.append(",".join(c for k, c in enumerate(node.children) if not k or c != node.children[k - 1]))
                 own.texts.append(" ".join("".join(node.texts).split()))
                 own.times += 1
+                own.below += held[0]
+                stack[-1][2][0] += held[0]
         elif event[0] == "text" and not node.removed:
             stack[-1][0].texts.append(event[2])
             if not links and (n := len(event[2].strip())):
                 stack[-1][1].chars += n
-                for path in {block.path for block, _ in stack}:
-                    seen[path].below += n
+                stack[-1][2][0] += n
+    while stack:  # the root, and what a page leaves open
+        _, own, held = stack.pop()
+        own.below += held[0]
+        if stack:
+            stack[-1][2][0] += held[0]
     digest = lambda parts: hashlib.blake2b("\1".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
     return [(p, o.above, digest(o.looks), digest(o.texts) if any(o.texts) else "", o.chars, o.below, o.times, o.named) for p, o in seen.items()]
 
@@ -364,7 +391,7 @@ def judged(nodes: list[dict]) -> tuple[str, list[str]]:
     while p:  # what the main container stands in is no branch beside it
         p = at[p]["above"]
         above.add(p)
-    low = lambda p: best[p] < LEAST or best[p] < STRICT and (p not in within or at[p]["named"])
+    low = lambda p: best[p] < (STRICT if at[p]["named"] else 0.0 if p in within else BESIDE if at[p]["below"] else STRICT)
     return main, sorted(p for p in order if p and p not in above and p != main and low(p))
 
 
@@ -376,7 +403,7 @@ def low_branches(nodes: DataFrame) -> DataFrame:
     """
     marks = nodes.where(F.col("m") < MIN_PAGES).groupBy("host", F.col("above").alias("path")).agg(F.lit(True).alias("rare"), F.sum("below").alias("rare_chars"))
     shared = nodes.where(F.col("m") >= MIN_PAGES).join(marks, ["host", "path"], "left").fillna(False, ["rare"]).fillna(0, ["rare_chars"])
-    names = ["path", "above", "named", "m", "kinds", "look", "content", "filled", "chars", "times", "rare", "rare_chars"]
+    names = ["path", "above", "named", "m", "kinds", "look", "content", "filled", "chars", "below", "times", "rare", "rare_chars"]
     tree = shared.groupBy("host").agg(F.collect_list(F.struct(*names)).alias("nodes")).where(F.exists("nodes", lambda n: n["path"] == ""))
 
     def prune(stream):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import time
 
 import pytest
 from cases import as_set
@@ -134,16 +135,37 @@ def test_comments_go_everywhere(spark):
 
 
 def test_names_do_not_decide_on_large_hosts(spark):
-    """Entropy keeps changing parts that are named like a menu or a notice and drops fixed ones inside an article."""
-    story = '<body><article><h2 id="discussion">Discussion {k}</h2><section id="notice"><p>Notice {n}</p></section><div class="search-history">Search of {n}</div><div class="social-policy">Policy of {k}</div><div class=x>Fixed line</div></article></body>'
+    """Entropy keeps changing parts that are named like a menu or a notice; fixed text inside an article stays, unless it is named."""
+    story = '<body><article><h2 id="discussion">Discussion {k}</h2><section id="notice"><p>Notice {n}</p></section><div class="search-history">Search of {n}</div><div class="social-policy">Policy of {k}</div><div class=x>Fixed line</div><div class=share>Tell your friends</div></article></body>'
     date = '<body><div class="post-date">Day {k}</div><div class=c><p>Story {k} says {n} in many words</p></div></body>'
     rows = [(k, f"http://one.example/{k}", story.format(k=k, n=k * k)) for k in range(20)] + [(100 + k, f"http://two.example/{k}", date.format(k=k, n=k * k)) for k in range(20)]
     got = {r.page_id: r.text for r in html_tree.extract(pages(spark, rows)).collect()}
     for k in range(20):
-        assert got[k] == f"Discussion {k}\nNotice {k * k}\nSearch of {k * k}\nPolicy of {k}"
+        assert got[k] == f"Discussion {k}\nNotice {k * k}\nSearch of {k * k}\nPolicy of {k}\nFixed line"
         assert got[100 + k] == f"Day {k}\nStory {k} says {k * k} in many words"
 
 
 def test_small_article_does_not_hide_the_rest():
     page = "<body><article><p>teaser</p></article><div><p>A text that is much longer than the teaser.</p></div></body>"
     assert html_tree.main_text(page) == "teaser\nA text that is much longer than the teaser."
+
+
+def test_titles_and_headings_stay(spark):
+    """A title beside the main container that two of 20 pages share, and headings that all pages repeat inside it."""
+    story = '<body>{ad}<h1>{title}</h1><div class=c><h3>Summary</h3><p>Story {k} says {n} in many words</p><h3>Details</h3><p>Again {n} and {k}</p></div><div class=z><p>All rights reserved</p></div></body>'
+    for wrap in ("{}", "<div class=t>{}</div>"):
+        made = story.replace("<h1>{title}</h1>", wrap.format("<h1>{title}</h1>"))
+        rows = [(k, f"http://one.example/{k}", made.format(ad="", title=f"Title {max(k, 1)}", k=k, n=k * k)) for k in range(20)]
+        got = {r.page_id: r.text for r in html_tree.extract(pages(spark, rows)).collect()}
+        assert got == {k: f"Title {max(k, 1)}\nSummary\nStory {k} says {k * k} in many words\nDetails\nAgain {k * k} and {k}" for k in range(20)}
+
+
+@pytest.mark.parametrize("unit", ["<![CDATA[ x ", "<svg><p>a", "<a ", '<a ">" ', "<div>", "<div></b>", "<div>x ", "<b>x<hr>", "<div><li>x", "<!-", "<table><td>"])
+def test_long_odd_pages_take_linear_time(unit):
+    """1 MB of what can't be parsed well, in seconds."""
+    page = unit * (1_000_000 // len(unit))
+    began = time.monotonic()
+    html_tree.main_text(page)
+    html_tree.features(page)
+    assert time.monotonic() - began < 40
+
