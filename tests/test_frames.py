@@ -336,3 +336,29 @@ def test_greedy_of_a_static_recording(spark):
     for most in (20_000, 100):
         got = select.greedy(items, ["video_id"], ["idx"], "h", 2, most=most)
         assert {(1, r.idx) for r in got.where("kept").collect()} == want
+
+
+def plain_match(canvas, band, every):
+    b = band - band.mean()
+    best = -1.0
+    for y in range(0, len(canvas) - len(band) + 1, every):
+        part = canvas[y : y + len(band)] - canvas[y : y + len(band)].mean()
+        if part.any():
+            best = max(best, float((b * part).sum() / np.sqrt((b * b).sum() * (part * part).sum())))
+    return best
+
+
+def test_band_match_by_transform():
+    """Eight bands of a canvas of 4,736 rows, true ones and strange ones, against the loop over its rows."""
+    rng = np.random.default_rng(21)
+    canvas = np.kron(rng.integers(0, 256, (592, 24)), np.ones((8, 2))).astype(np.uint8)
+    canvas[700:1100] = 255  # rows without contrast
+    for k in range(8):
+        band = canvas[k * 590 : k * 590 + 60].astype(np.float64)
+        if k % 2:
+            band = np.clip(band + rng.normal(0, 40, band.shape), 0, 255)
+        band = band.astype(np.uint8)
+        for every in (1, 7):
+            assert stitch.best_match(canvas, band, every, columns=20) == pytest.approx(plain_match(canvas.astype(np.float64), band.astype(np.float64), every), abs=1e-9)
+    assert stitch.best_match(canvas, canvas[800:860]) == 1.0 and stitch.best_match(canvas[:10], canvas[:20]) == -1.0
+
