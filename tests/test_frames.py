@@ -362,3 +362,32 @@ def test_band_match_by_transform():
             assert stitch.best_match(canvas, band, every, columns=20) == pytest.approx(plain_match(canvas.astype(np.float64), band.astype(np.float64), every), abs=1e-9)
     assert stitch.best_match(canvas, canvas[800:860]) == 1.0 and stitch.best_match(canvas[:10], canvas[:20]) == -1.0
 
+
+def test_automatic_header_over_tasks(spark):
+    """Segments spread over tasks begin with the estimates that one pass in order carries to them; the result is the serial one."""
+    rng = np.random.default_rng(22)
+    rows, want, heights = [], {}, {1: [30, 30, 30, 30], 2: [48, 30, 60, 30, 24, 30]}
+    for video, tops in heights.items():
+        header, idx = stitch.Header(auto=True), 0
+        for seg, fixed in enumerate(tops):
+            page, top = rng.integers(0, 256, (500, 64)).astype(np.uint8), np.full((fixed, 64), 90, np.uint8)
+            moves = (0, 0, 0) if seg == 1 else (0, 9, 9, 25, 50)  # a segment that doesn't scroll teaches nothing
+            grays = []
+            for y in moves:
+                gray = np.concatenate([np.zeros((11, 64), np.uint8), top, page[y : y + 189 - fixed]])
+                rows.append((video, idx, 64, 200, 3, np.repeat(gray[:, :, None], 3, axis=2).tobytes(), seg))
+                grays.append(pixels.gray_cv(images.rgb(rows[-1][5], 200, 64, 3))[11:])
+                idx += 1
+            begins = (video, seg, header.rows, header.known)
+            made = list(stitch.decisions(grays, header))
+            want[video, seg] = (*begins, sum(d["accepted"] and d["reason"] is None for d in made), sum(d["add_rows"] for d in made))
+    frames = spark.createDataFrame([r[:6] for r in rows], images.PIXELS).repartition(4)
+    seg = spark.createDataFrame([(r[0], r[1], "detail", r[6]) for r in rows], "video_id long, idx int, cat string, seg int")
+    joined = frames.join(seg.drop("cat"), ["video_id", "idx"])
+    got = {(r.video_id, r.seg): tuple(r) for r in recordings.headers(joined).collect()}
+    assert got == {k: w[:4] for k, w in want.items()}
+    assert len({w[2:4] for w in want.values()}) >= 4
+    out = {(r.video_id, r.seg): r for r in recordings.stitched(frames, seg, auto=True).collect()}
+    assert {k: r.accepted for k, r in out.items()} == {k: w[4] for k, w in want.items()}
+    assert all(r.height == want[k][5] for k, r in out.items() if r.accepted)
+
