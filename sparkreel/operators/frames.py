@@ -5,7 +5,7 @@ All orders are explicit: (video_id, idx). One shuffle on video_id serves every w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -63,3 +63,13 @@ def totals(frames: DataFrame, summary: DataFrame) -> DataFrame:
     r = rises(frames).groupBy("video_id").agg(F.count_if("rise").alias("boundary_rises"))
     s = summary.groupBy("video_id").agg(F.count("*").alias("segments"), F.count_if(F.col("n_detail") > 0).alias("mail_segments"))
     return r.join(s, "video_id", "left").fillna(0, ["segments", "mail_segments"])
+
+
+def counted(stable: DataFrame, name: str | None = None) -> tuple[DataFrame, Observation]:
+    """The frames, and counters that are filled in passing when they are first read: no pass of their own.
+
+    frames, details, stable, last_frame over all rows; `observation.get` waits for the first action.
+    """
+    seen = Observation(name) if name else Observation()
+    counters = [F.count(F.lit(1)).alias("frames"), F.count_if(F.col("cat") == "detail").alias("details"), F.count_if("stable").alias("stable"), F.max("idx").cast("long").alias("last_frame")]
+    return stable.observe(seen, *counters), seen

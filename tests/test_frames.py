@@ -17,7 +17,8 @@ from sparkreel.functions import correlate, pixels, stitch
 from sparkreel.functions import expr as X
 from sparkreel.operators import frames as fr
 from sparkreel.operators import select
-from sparkreel.plans import recordings
+from sparkreel.plans import bindings as B
+from sparkreel.plans import queries, recordings
 from sparkreel.sources import images, mp4
 from sparkreel.streaming import frames as streams
 
@@ -391,3 +392,21 @@ def test_automatic_header_over_tasks(spark):
     assert {k: r.accepted for k, r in out.items()} == {k: w[4] for k, w in want.items()}
     assert all(r.height == want[k][5] for k, r in out.items() if r.accepted)
 
+
+def test_counters_in_passing(spark, sf_dir, tmp_path):
+    """The counters of a written table are those of the counting query, and writing stays one pass over the frames."""
+    stable = select.stability(fr.segments(B.frames(spark, sf_dir)))
+    rows, seen = fr.counted(stable)
+    group = f"g{random.getrandbits(40)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    rows.write.parquet(str(tmp_path / "out"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    alone = f"g{random.getrandbits(40)}"
+    spark.sparkContext.setJobGroup(alone, "plain")
+    stable.write.parquet(str(tmp_path / "plain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    assert len(jobs(group)) == len(jobs(alone))
+    by_video = queries.a5_counters(spark, sf_dir).agg(F.sum("frames").alias("frames"), F.sum("details").alias("details"), F.sum("stable").alias("stable"), F.max("last_frame").alias("last_frame")).first()
+    assert seen.get == by_video.asDict()
+
