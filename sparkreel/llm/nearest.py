@@ -16,7 +16,7 @@ and probes grow by 1.7 with each projection, since the borders to cross grow wit
 stand in no bucket that a query visits are never compared with it. What a query meets of all rows, how
 many inner products that costs, and recall: see `shares` and the README.
 
-Scale. The first projections, about log2(n / PART_ROWS) of them, make a coarse cell, by which rows and
+Scale. The first projections, about log2(n / 4 PART_ROWS) of them, make a coarse cell, by which rows and
 queries meet in a shuffle; a query goes to each coarse cell once, with the keys of the buckets that
 it visits there, and only those are multiplied. A coarse cell is split into salted parts whose number
 follows n. Of the copies of a vector only one row of each of the k + 1 smallest ids of a batch goes on, as no ranking
@@ -56,7 +56,7 @@ OUT = "query_id long, rank int, vec_id long, score double"
 def fitting(n: int) -> dict:
     """projections, probes, coarse (projections of the coarse cell) and parts for n rows."""
     k = max(4, round(8 + 0.45 * math.log2(max(n, 1) / 2000)))
-    coarse = min(k, max(1, round(math.log2(max(n, 1) / PART_ROWS)))) if n > PART_ROWS else 1
+    coarse = min(k, max(1, round(math.log2(max(n, 1) / (4 * PART_ROWS)))))
     return {"projections": k, "probes": round(400 * 1.7 ** (k - 8)), "coarse": coarse, "parts": max(1, math.ceil(n * 0.6**coarse / (4 * PART_ROWS)))}
 
 
@@ -268,8 +268,8 @@ def kth(who: np.ndarray, vid: np.ndarray, g: np.ndarray, queries: int, k: int) -
 def search_part(qid, q, n_probes, probes, vid, v, key, k):
     """The k best of each query among the rows of the buckets it visits (equal keys), the likeliest first.
 
-    The first buckets, up to some multiple of k rows, give a bound for the k-th best, and of the others only
-    what reaches it is kept.
+    The first buckets give a bound for the k-th best, and of the others only what reaches it is kept; the
+    bound is made anew after 8, 64 and 512 times k rows.
     """
     keep = few_copies(vid, v, k)
     vid, v, key = vid[keep], v[keep], key[keep]
@@ -283,10 +283,10 @@ def search_part(qid, q, n_probes, probes, vid, v, key, k):
     who, at = who[hit], at[hit]
     ahead = np.cumsum(size[at]) - size[at]
     lead = np.searchsorted(who, np.arange(len(qid)))
-    early = ahead - np.append(ahead, 0)[lead][who] < 4 * k
+    phase = np.searchsorted(np.array([8, 64, 512]) * k, ahead - np.append(ahead, 0)[lead][who], "right")
     bound, found = np.full(len(qid), -np.inf), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    for now in (early, ~early):
-        w, b = who[now], at[now]
+    for now in range(4):
+        w, b = who[phase == now], at[phase == now]
         by = np.argsort(b, kind="stable")
         for _, places in _runs(b[by]):
             mine, bucket = w[by[places]], b[by[places.start]]
