@@ -33,9 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cluster import BROADCAST_ROWS
 from .blocks import cut, qualified, shared_dir
 
-MIN_DEDUP, SPLIT = 1000, 4 << 20
+MIN_DEDUP, SPLIT, SALT = 1000, 4 << 20, 32
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -101,12 +102,21 @@ def _write(folder: str):
     return run
 
 
+def _joined(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Pages with what is known of their digest, if several have it: by broadcast if that is small, so payloads aren't
+    shuffled; else by digest and salt, so that pages of one digest are many tasks' work."""
+    if shared.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(shared), "digest", "left")
+    salted = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(salted, ["digest", "_salt"], "left")
+
+
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html) into archives under folder; (path, bytes, records) of each."""
     folder = qualified(pages.sparkSession, folder)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html")).withColumn("digest", F.sha1("html"))
-    keep = rows.where(F.octet_length("html") >= MIN_DEDUP).groupBy("digest").agg(F.max("page_id").alias("keep"))
-    named = rows.join(keep, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("keep").eqNullSafe(F.col("page_id")), F.col("keep")).alias("refers_to"))
+    shared = cut(rows.where(F.octet_length("html") >= MIN_DEDUP).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("digest", "keep"))
+    named = _joined(rows, shared).select("page_id", "url", "html", "digest", F.when(~F.col("keep").eqNullSafe(F.col("page_id")), F.col("keep")).alias("refers_to"))
     return cut(named.mapInArrow(_write(folder), FILES))
 
 

@@ -104,3 +104,25 @@ def test_foreign_records(spark, tmp_path):
     for name in (str(tmp_path / "f.warc.gz"), f"file://{tmp_path}/f.warc.gz"):
         got = warc.read(spark.createDataFrame([(name, size)], "path string, bytes long"), split=200).collect()
         assert sorted(map(repr, ((r.record_type, r.payload_bytes, r.payload_digest, r.digest_ok) for r in got))) == sorted(repr(x) for _, x in records if x)
+
+
+def test_a_common_payload(spark, monkeypatch):
+    """A third of the pages share a payload: by broadcast payloads aren't shuffled, and by salt the copies are many tasks' work."""
+    rows = [(k, f"u{k}", "same payload " * 100 if k % 3 == 0 else f"page {k} " * 150) for k in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert as_set(warc.round_trip(df), *COLUMNS) == brute(rows)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", -1)
+    assert as_set(warc.round_trip(df), *COLUMNS) == brute(rows)
+    named = df.selectExpr("page_id", "url", "cast(html as binary) html", "sha1(html) digest")
+    shared = named.groupBy("digest").agg({"page_id": "max"}).toDF("digest", "keep")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)  # so that small partitions stay apart
+    try:
+        joined = warc._joined(named, shared)
+        plan = joined._jdf.queryExecution().toString().split("Physical Plan")[1]
+        assert "_salt" in plan and joined.count() == 600
+        sizes = joined.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+        assert max(sizes) < 600 / 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
