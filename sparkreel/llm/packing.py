@@ -45,7 +45,7 @@ from . import textkit as tk
 LENGTH, END = 4096, 2
 SENTENCE, INSIDE, LONG = 4, 64, 256
 CHUNK = 1 << 19
-WORDS_HELD = 400_000
+WORDS_HELD = 500_000
 _BAR = "|"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
