@@ -266,44 +266,90 @@ class HashIndex:
             self.cells[cell] = [*self.cells.get(cell, ()), h]
 
 
+class OpenSegment:
+    """The streaming rule for one segment: an image is held if it is near nothing seen or held, up to
+    `limit`; at the end the mail is judged, then the held images. `seen` is what was selected before,
+    and grows. Items without a hash are near nothing."""
+
+    def __init__(self, seg: int, distance: int, limit: int, seen: HashIndex):
+        self.seg, self.distance, self.limit, self.seen, self.held = seg, distance, limit, seen, []
+
+    def _event(self, kind: str, x: dict, from_stable: bool, event: str, reason: str | None) -> tuple:
+        return (self.seg, kind, x["idx"], x["bm"], x["h"], from_stable, event, reason)
+
+    def image(self, x: dict) -> list[tuple]:
+        """The event of an image that is decided at once: one beyond the limit."""
+        h = x["h"]
+        if h is not None and (self.seen.near(h) or any(y["h"] is not None and ((h ^ y["h"]) & (1 << 64) - 1).bit_count() <= self.distance for y in self.held)):
+            return []
+        if len(self.held) < self.limit:
+            self.held.append(x)
+            return []
+        return [self._event("image", x, True, "skipped", "pending_overflow")]
+
+    def close(self, mail: dict | None) -> list[tuple]:
+        out = []
+        for kind, x in [("mail", mail)] * (mail is not None) + [("image", x) for x in self.held]:
+            dup = x["h"] is not None and self.seen.near(x["h"])
+            if not dup and x["h"] is not None:
+                self.seen.add(x["h"])
+            out.append(self._event(kind, x, x["from_stable"], "skipped" if dup else "selected", "duplicate" if dup else None))
+        return out
+
+
 def close_segments(segs: list[dict], distance: int, limit: int, seen: HashIndex | None = None) -> list[tuple]:
-    """Events of one video under the streaming rule: images are held per segment against what is
-    seen and held, at most `limit`; at the end of the segment the mail is judged, then the held images. `seen` is what was selected before, and grows."""
-    near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= distance
+    """Events of one video under the streaming rule, segment by segment (OpenSegment)."""
     seen = HashIndex(distance) if seen is None else seen
     out = []
     for s in segs:
-        held, over = [], []
-        for im in s["images"]:
-            if seen.near(im["h"]) or any(near(im["h"], x["h"]) for x in held):
-                continue
-            (held if len(held) < limit else over).append(im)
-        for kind, x in [("mail", s["mail"])] * (s["mail"] is not None) + [("image", x) for x in held]:
-            dup = seen.near(x["h"])
-            if not dup:
-                seen.add(x["h"])
-            out.append((s["seg"], kind, x["idx"], x["bm"], x["h"], x["from_stable"], "skipped" if dup else "selected", "duplicate" if dup else None))
-        out += [(s["seg"], "image", x["idx"], x["bm"], x["h"], True, "skipped", "pending_overflow") for x in over]
+        segment = OpenSegment(s["seg"], distance, limit, seen)
+        over = [e for x in s["images"] for e in segment.image(x)]
+        out += segment.close(s["mail"]) + over
     return out
 
 
+#: Events of select_events_held, and how many of them a task gathers before it hands them over.
+HELD, HELD_ROWS = "video_id long, seg int, kind string, idx int, bm double, h long, from_stable boolean, event string, reason string", 10_000
+
+
 def select_events_held(stable: DataFrame, distance: int = K.DUP_DISTANCE, limit: int = K.MAX_PENDING) -> DataFrame:
-    """select_events under the streaming rule (held images, overflow). One group per video holds its candidates only."""
-    rows = candidates(stable)
-
-    def judge(pdf):
-        import pandas as pd
-
-        segs: dict[int, dict] = {}
-        for r in pdf.sort_values(["seg", "ord", "idx"]).to_dict("records"):
-            s = segs.setdefault(r["seg"], {"seg": r["seg"], "mail": None, "images": []})
-            if r["kind"] == "mail":
-                s["mail"] = r
-            else:
-                s["images"].append(r)
-        rows = close_segments([segs[k] for k in sorted(segs)], distance, limit)
-        out = pd.DataFrame(rows, columns=["seg", "kind", "idx", "bm", "h", "from_stable", "event", "reason"])
-        out.insert(0, "video_id", pdf["video_id"].iloc[0])
-        return out
+    """select_events under the streaming rule (held images, overflow).
 
-    return rows.groupBy("video_id").applyInPandas(judge, "video_id long, seg int, kind string, idx int, bm double, h long, from_stable boolean, event string, reason string")
+    The candidates pass through tasks in order, many videos to a task: a group per video would cost
+    far more than judging the few candidates in it. A task holds one segment's mail and held images
+    and what the video selected before, however long segments and videos are.
+    """
+    columns = ["video_id", "seg", "ord", "idx", "bm", "h", "from_stable"]
+    rows = candidates(stable).selectExpr("cast(video_id as long) video_id", "cast(seg as int) seg", "ord", "cast(idx as int) idx", "cast(bm as double) bm", "cast(h as long) h", "from_stable")
+    rows = rows.repartition("video_id").sortWithinPartitions("video_id", "seg", "ord", "idx")
+    schema = pa.schema([("video_id", pa.int64()), ("seg", pa.int32()), ("kind", pa.string()), ("idx", pa.int32()), ("bm", pa.float64()), ("h", pa.int64()), ("from_stable", pa.bool_()), ("event", pa.string()), ("reason", pa.string())])
+
+    def judge(batches):
+        out, at, seen, segment, mail = [], None, None, None, None
+
+        def handed() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for video, seg, ord_, idx, bm, h, from_stable in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if at != (video, seg):
+                    if segment is not None:
+                        out += [(at[0], *e) for e in segment.close(mail)]
+                    if segment is None or at[0] != video:
+                        seen = HashIndex(distance)
+                    at, segment, mail = (video, seg), OpenSegment(seg, distance, limit, seen), None
+                x = {"idx": idx, "bm": bm, "h": h, "from_stable": from_stable}
+                if ord_ == 0:
+                    mail = x
+                else:
+                    out += [(video, *e) for e in segment.image(x)]
+                if len(out) >= HELD_ROWS:
+                    yield handed()
+        if segment is not None:
+            out += [(at[0], *e) for e in segment.close(mail)]
+        if out:
+            yield handed()
+
+    return rows.mapInArrow(judge, HELD)

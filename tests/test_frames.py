@@ -191,6 +191,43 @@ def test_greedy_and_held_selection(spark):
     assert [(e[1], e[2], e[6], e[7]) for e in events] == [("mail", 9, "selected", None), ("image", 0, "skipped", "duplicate"), ("image", 1, "selected", None), ("image", 2, "selected", None), ("image", 3, "selected", None), ("image", 4, "skipped", "pending_overflow"), ("image", 5, "skipped", "pending_overflow")]
 
 
+def test_held_selection_of_many_videos(spark, capsys):
+    """No group per video; segments and videos go over Arrow batches, and a task hands over more than one batch of events."""
+    rng = random.Random(8)
+    base = [rng.getrandbits(62) for _ in range(5)]
+    rows = [(0, k, k, "detail", 0.5, base[k % 3] ^ (1 << rng.randrange(40))) for k in range(11_000)]
+    rows += [(None if v == 1 else v, k // 12, k, rng.choice(["detail", "fullscreen_image", "fullscreen_image", "list"]), rng.choice([None, 0.2, 0.7]), rng.choice([None, *base])) for v in range(1, 301) for k in range(30)]
+    near = lambda a, b, d: a is not None and b is not None and (a ^ b).bit_count() <= d
+    want, video = [], ...
+    for v, seg, idx, cat, bm, h in [*rows, (..., None, None, None, None, None)]:
+        if v != video or seg != at:  # the segment before is over
+            if video is not ...:
+                for kind, from_stable, b, i, x in ([("mail", mail[0], mail[3], -mail[2], mail[4])] if mail else []) + [("image", True, *y) for y in held]:
+                    dup = any(near(x, y, 6) for y in seen)
+                    seen += [] if dup or x in seen else [x]
+                    want.append((video, at, kind, i, b, x, from_stable, *(("skipped", "duplicate") if dup else ("selected", None))))
+                want += [(video, at, "image", i, b, x, True, "skipped", "pending_overflow") for b, i, x in over]
+            seen = seen if v == video else []
+            video, at, last, mail, held, over = v, seg, {}, None, [], []
+        stable = near(h, last.get(cat), 2)
+        last[cat] = h
+        if cat == "detail":
+            item = (stable, -1.0 if bm is None else bm, -idx, bm, h)
+            mail = item if mail is None or item[:3] > mail[:3] else mail
+        if cat == "fullscreen_image" and stable and not any(near(h, x, 6) for x in seen) and not any(near(h, x[2], 6) for x in held):
+            (held if len(held) < 2 else over).append((bm, idx, h))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = select.select_events_held(select.stability(spark.createDataFrame(rows, "video_id long, seg int, idx int, cat string, bm double, h long")), limit=2)
+        assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, want))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r[8] for r in want} == {None, "duplicate", "pending_overflow"}
+    got.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out
+
+
 def test_pairs_by_bands(spark):
     rng = random.Random(6)
     base = [rng.getrandbits(64) - (1 << 63) for _ in range(10)]
