@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from sparkreel.llm import nearest, queries
 
@@ -158,3 +161,69 @@ def test_only_visited_buckets(monkeypatch):
     key = np.arange(300, dtype=np.uint64) // np.uint64(50)
     q, vid, _ = nearest.search_part(np.array([1000]), rng.normal(size=(1, 8)), np.array([2]), np.array([3, 1], np.uint64), np.arange(300), v, key, 20)
     assert len(vid) == 20 and set(vid // 50) <= {1, 3} and set(q) == {1000}
+
+
+def traced(work):
+    """(result, peak MB of what it allocates)."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_bucket():
+    """One bucket of many rows and queries is searched in little memory, also where all products tie, with the same results."""
+    rng = np.random.default_rng(14)
+    v, q = rng.normal(size=(20_000, 8)), rng.normal(size=(1000, 8))
+    v[:, 0], q[500:, 1:] = 1, 0  # equal products of different rows
+    ids, asks = rng.permutation(20_000), np.arange(100_000, 101_000)
+    one = np.zeros(20_000, np.uint64)
+    (qid, vid, score), peak = traced(lambda: nearest.search_part(asks, q, np.ones(1000, np.int64), np.zeros(1000, np.uint64), ids, v, one, 20))
+    assert peak < 150
+    assert len(qid) == 20_000
+    for i in range(0, 1000, 37):
+        s = nearest.exact(np.broadcast_to(q[i], v.shape), v)
+        best = np.lexsort((ids, -s))[:20]
+        mine = qid == asks[i]
+        order = np.lexsort((vid[mine], -score[mine]))
+        assert vid[mine][order].tolist() == ids[best].tolist() and score[mine][order].tolist() == s[best].tolist()
+
+
+def test_what_is_sent_does_not_grow_with_the_probes():
+    """A query goes once to each shard and takes the same bytes there, however many buckets it visits; a row goes to one shard."""
+    rng = np.random.default_rng(15)
+    v = rng.normal(size=(4000, 32)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rb = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array(list(v), pa.list_(pa.float32()))], names=["id", "vector"])
+    for probes in (100, 10_000, 1_000_000):
+        made = {32: nearest.Hashes(32, 1.0, 1, nearest.WIDTH, 1, 10, probes, 2)}
+        counts = [(r["cell"], r["n"]) for b in nearest._cells(made)([rb]) for r in b.to_pylist()]
+        where = {(32, 0): nearest.shards(counts, 0, 500)}
+        (sent, peak) = traced(lambda: [r for b in nearest._send(made, where, 100, 20, 20)([rb]) for r in b.to_pylist()])
+        assert peak < 60
+        rows = [nearest._unpacked(r["block"]) for r in sent if not r["asks"]]
+        asks = [(r["shard"], nearest._unpacked(r["block"])[0]) for r in sent if r["asks"]]
+        assert sorted(np.concatenate([r[0] for r in rows]).tolist()) == list(range(4000)) and max(len(r[0]) for r in rows) <= 1000
+        pairs = [(s, i) for s, ids in asks for i in ids.tolist()]
+        assert len(pairs) == len(set(pairs)) and {i for _, i in pairs} == set(range(0, 4000, 20))
+        assert sum(len(r["block"]) for r in sent if r["asks"]) < 400 * len(pairs)
+
+
+def test_shards():
+    """Neighbouring cells share a shard, a large cell has several; no shard takes far more than its share."""
+    cells, first, parts = nearest.shards([(1, 40), (2, 60), (3, 30), (7, 1000), (8, 10), (9, 149)], 5, 100)
+    assert cells.tolist() == [1, 2, 3, 7, 8, 9]
+    assert first.tolist() == [5, 5, 6, 7, 17, 18] and parts.tolist() == [1, 1, 1, 10, 1, 1]
+
+
+def test_a_large_cell_in_parts(spark, monkeypatch):
+    """Shards of a few rows: cells cut by salt and whole searches in parts give what one shard gives."""
+    rng = np.random.default_rng(16)
+    v = np.concatenate([rng.normal(size=(600, 8)), 1 + 0.01 * rng.normal(size=(900, 8))])
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    wide = collected(nearest.nearest(df, tables=2))
+    monkeypatch.setattr(nearest, "SHARD_BYTES", 100 * 8 * 8)
+    assert collected(nearest.nearest(df, tables=2)) == wide
+    few = {"tables": 1, "width": 0.05, "probes": 1}
+    assert collected(nearest.nearest(df, **few)) == {q: [(r + 1, x, s) for r, (x, s) in enumerate(b)] for q, b in brute(np.arange(1500), v).items()}
